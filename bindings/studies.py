@@ -17,8 +17,12 @@ def _rounded(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _group_fact(v):
-    return diagnosis.diagnosis_fact_by_group(v.diagnosis_by_group(), AS_OF, CODES)
+def _group_fact(v, only=None):
+    return diagnosis.diagnosis_fact_by_group(v.diagnosis_by_group(), AS_OF, CODES, only=only)
+
+
+def _disease_ages(v):
+    return diagnosis.disease_ages(_group_fact(v), DISEASE, rows=_group_fact(v, only=[DISEASE]))
 
 
 def _measures(v):
@@ -26,7 +30,7 @@ def _measures(v):
 
 
 def _cohort_labs(v, **options):
-    return labs.cohort_lab_results(v.labs(), _group_fact(v), DISEASE, CODES, **options)
+    return labs.cohort_lab_results(v.labs(), _group_fact(v, only=[DISEASE]), DISEASE, CODES, **options)
 
 
 def _places(v, columns=("gender", "birthdate", "date_created")):
@@ -283,7 +287,7 @@ def _(v):
     age BETWEEN q1 - (q3 - q1) * 15e-1 AND q3 + (q3 - q1) * 15e-1 AS ok FROM ages JOIN q USING (city_village, gender))
     GROUP BY city_village, gender, q1, median, q3""")
 def _(v):
-    ages = diagnosis.disease_ages(_group_fact(v), DISEASE)
+    ages = _disease_ages(v)
     return _rounded(diagnosis.disease_age_boxes(ages), "q1", "median", "q3")
 
 
@@ -292,12 +296,12 @@ def _(v):
     SELECT city_village, gender, age, count(*) AS n FROM ages JOIN q USING (city_village, gender)
     WHERE age NOT BETWEEN q1 - (q3 - q1) * 15e-1 AND q3 + (q3 - q1) * 15e-1 GROUP BY 1, 2, 3""")
 def _(v):
-    return diagnosis.disease_age_outliers(diagnosis.disease_ages(_group_fact(v), DISEASE))
+    return diagnosis.disease_age_outliers(_disease_ages(v))
 
 
 @query("disease_age_histogram", ctes("ages") + ", " + _histogram_sql("ages", "age", "city_village, gender"))
 def _(v):
-    out = diagnosis.disease_age_histogram(diagnosis.disease_ages(_group_fact(v), DISEASE))
+    out = diagnosis.disease_age_histogram(_disease_ages(v))
     return _rounded(out, "bin_low", "bin_high")
 
 

@@ -21,7 +21,8 @@ def dashboard_frames(
     entries ``fact`` and ``measures`` when the panels are done."""
     fact = materialize(diagnosis.diagnosis_fact_by_class(t, as_of, codes))
     measures = materialize(labs.measure_by_person(t, as_of, measure_names, codes))
-    sexes = regions.region_sex_share(t, min_year=min_year, min_month=min_month)
+    cells = regions.enrolment_cells(t, min_year, min_month)
+    sexes = regions.region_sex_share(t, cells=cells)
     ages = diagnosis.disease_ages(fact, disease)
     fixed = labs.repaired(measures)
     return {
@@ -29,7 +30,7 @@ def dashboard_frames(
         "measures": measures,
         "region_bars": stacked_bar(sexes, "city_village", "gender", weight="pat_count"),
         "region_percent": filled_bar(sexes, "city_village", "gender", weight="pat_count"),
-        "region_share": regions.region_share(t, min_year=min_year, min_month=min_month),
+        "region_share": regions.region_share(t, cells=cells),
         "disease_regions": diagnosis.disease_regions(fact, disease),
         "age_boxes": diagnosis.disease_age_boxes(ages),
         "age_histogram": diagnosis.disease_age_histogram(ages),

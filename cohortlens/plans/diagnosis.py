@@ -11,14 +11,27 @@ from pyspark.sql import functions as F
 from cohortlens.functions.dates import age_years, date_parts
 from cohortlens.operators.aggregate import count_by, distinct_values
 from cohortlens.operators.distribution import box_outliers, box_stats, histogram, stacked_bar
-from cohortlens.operators.joins import group_parent_join, restrict_to, skew_join
+from cohortlens.operators.joins import group_parent_join, restrict_to, semi_join, skew_join
 from cohortlens.operators.ranking import add_rank, top_n
 from cohortlens.plans.study import (
     StudyCodes, StudyTables, coded_in_class, full_names, live, useful_answers,
 )
+from cohortlens.sources.materialize import staged
 
 
-def _fact(coded: DataFrame, t: StudyTables, codes: StudyCodes, as_of: datetime.date) -> DataFrame:
+def _names(t: StudyTables, codes: StudyCodes, only: Sequence[str] | None) -> DataFrame:
+    names = full_names(t, codes).withColumnsRenamed({"concept_id": "value_coded", "name": "diagnosis"})
+    return names if only is None else names.filter(F.col("diagnosis").isin(list(only)))
+
+
+def _of_names(coded: DataFrame, t: StudyTables, codes: StudyCodes, only: Sequence[str] | None) -> DataFrame:
+    """Only the observations whose code has one of the names, so that little else is shuffled."""
+    return coded if only is None else semi_join(coded, _names(t, codes, only), "value_coded", salt_on=t.salt_on)
+
+
+def _fact(
+    coded: DataFrame, t: StudyTables, codes: StudyCodes, as_of: datetime.date, only: Sequence[str] | None
+) -> DataFrame:
     """One row per (person, code, address): event count, name of the code, village and age.
 
     Events are counted per (person, code) before anything else is joined; that combines rows on the map side
@@ -30,10 +43,9 @@ def _fact(coded: DataFrame, t: StudyTables, codes: StudyCodes, as_of: datetime.d
     addresses = t.person_address.select("person_id", "city_village", *enrolled).withColumnsRenamed(
         {"date_created": "date_enrolled"}
     )
-    names = full_names(t, codes).withColumnsRenamed({"concept_id": "value_coded", "name": "diagnosis"})
     return (
         events.join(persons, "person_id").join(addresses, "person_id")
-        .join(names, "value_coded", "left")
+        .join(_names(t, codes, only), "value_coded", "left" if only is None else "inner")
         .select(
             "person_id",
             "gender",
@@ -49,12 +61,14 @@ def _fact(coded: DataFrame, t: StudyTables, codes: StudyCodes, as_of: datetime.d
 
 
 def diagnosis_fact_by_group(
-    t: StudyTables, as_of: datetime.date, codes: StudyCodes = StudyCodes(), include_voided: bool = True
+    t: StudyTables, as_of: datetime.date, codes: StudyCodes = StudyCodes(), include_voided: bool = True,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Facts from answers that belong to a diagnosis group row.
 
     Voided observations count by default, as in the original study. Observations without a person column
-    take the person of their group row.
+    take the person of their group row. ``only`` gives the facts of the named diagnoses, at the cost of
+    those alone.
     """
     children = useful_answers(t, codes) if include_voided else live(useful_answers(t, codes))
     own_person = [c for c in ("person_id",) if c in children.columns]
@@ -63,15 +77,18 @@ def diagnosis_fact_by_group(
     ])
     parents = t.group_rows.filter(F.col("concept_id").isin(list(codes.group_questions)))
     parents = parents.select("obs_id", *([] if own_person else ["person_id"]))
-    return _fact(group_parent_join(children, parents, salt_on=t.salt_on), t, codes, as_of)
+    linked = group_parent_join(_of_names(children, t, codes, only), parents, salt_on=t.salt_on)
+    return _fact(linked, t, codes, as_of, only)
 
 
 def diagnosis_fact_by_class(
-    t: StudyTables, as_of: datetime.date, codes: StudyCodes = StudyCodes(), include_voided: bool = True
+    t: StudyTables, as_of: datetime.date, codes: StudyCodes = StudyCodes(), include_voided: bool = True,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Facts from answers whose concept is of the diagnosis class."""
+    """Facts from answers whose concept is of the diagnosis class; ``only`` as above."""
     coded = coded_in_class(t, codes)
-    return _fact(coded if include_voided else live(coded), t, codes, as_of)
+    coded = coded if include_voided else live(coded)
+    return _fact(_of_names(coded, t, codes, only), t, codes, as_of, only)
 
 
 def diagnosis_master(fact: DataFrame) -> DataFrame:
@@ -87,9 +104,17 @@ def diagnosis_cells(fact: DataFrame, weight: str | None = None) -> DataFrame:
     return count_by(fact, "diagnosis", "gender", "city_village", weight=weight, name="facts")
 
 
+def _staged_cells(fact: DataFrame) -> DataFrame:
+    """The cells as a table, so that a ranking that needs them several times reads the facts once."""
+    return fact if "facts" in fact.columns else staged(diagnosis_cells(fact))
+
+
 def top_diagnoses(fact: DataFrame, n: int = 10, weight: str | None = None) -> DataFrame:
-    """The ``n`` most frequent diagnoses, ties included; ``inv_rank`` is their dense rank."""
-    return _top(diagnosis_cells(fact, weight), n)
+    """The ``n`` most frequent diagnoses, ties included; ``inv_rank`` is their dense rank.
+
+    This and the rankings below take the facts or their ``diagnosis_cells``.
+    """
+    return _top(fact if "facts" in fact.columns else diagnosis_cells(fact, weight), n)
 
 
 def _top(cells: DataFrame, n: int) -> DataFrame:
@@ -99,54 +124,59 @@ def _top(cells: DataFrame, n: int) -> DataFrame:
 
 def top_by_sex(fact: DataFrame, n: int = 10, null_safe: bool = False) -> DataFrame:
     """The top diagnoses by sex."""
-    cells = diagnosis_cells(fact)
+    cells = _staged_cells(fact)
     chosen = restrict_to(cells, _top(cells, n).select("diagnosis"), "diagnosis", null_safe)
     return chosen.groupBy("diagnosis", "gender").agg(F.sum("facts").alias("diag_sex_count"))
 
 
-def _top_regions(cells: DataFrame, n: int, regions: int, null_safe: bool) -> DataFrame:
-    chosen = restrict_to(cells, _top(cells, n).select("diagnosis"), "diagnosis", null_safe)
-    counts = chosen.groupBy("diagnosis", "city_village").agg(F.sum("facts").alias("diag_region_count"))
-    return top_n(counts, regions, "diag_region_count", within=["diagnosis"], rank="reg_rank")
-
-
 def top_regions_per_diagnosis(
     fact: DataFrame, n: int = 10, regions: int = 5, null_safe: bool = False
 ) -> DataFrame:
     """The villages with the most facts of each top diagnosis, ties included."""
-    return _top_regions(diagnosis_cells(fact), n, regions, null_safe)
+    cells = _staged_cells(fact)
+    chosen = restrict_to(cells, _top(cells, n).select("diagnosis"), "diagnosis", null_safe)
+    counts = chosen.groupBy("diagnosis", "city_village").agg(F.sum("facts").alias("diag_region_count"))
+    return top_n(counts, regions, "diag_region_count", within=["diagnosis"], rank="reg_rank")
 
 
 def regions_by_sex(fact: DataFrame, n: int = 10, regions: int = 5, null_safe: bool = False) -> DataFrame:
     """Those villages by sex; the dense rank restarts for every (diagnosis, sex)."""
-    cells = diagnosis_cells(fact)
-    keys = _top_regions(cells, n, regions, null_safe).select("diagnosis", "city_village")
+    cells = _staged_cells(fact)
+    keys = top_regions_per_diagnosis(cells, n, regions, null_safe).select("diagnosis", "city_village")
     chosen = restrict_to(cells, keys, ["diagnosis", "city_village"], null_safe)
-    counts = chosen.groupBy("diagnosis", "gender", "city_village").agg(
-        F.sum("facts").alias("diag_sex_region_count")
+    counts = staged(chosen.withColumnRenamed("facts", "diag_sex_region_count"))
+    return add_rank(counts, "diag_sex_region_count", within=["diagnosis", "gender"], name="reg_rank").select(
+        "diagnosis", "gender", "city_village", "diag_sex_region_count", "reg_rank"
     )
-    return add_rank(counts, "diag_sex_region_count", within=["diagnosis", "gender"], name="reg_rank")
 
 
 def disease_regions(fact: DataFrame, diagnosis: str, n: int = 10, regions: int = 5) -> DataFrame:
     """Bars of one disease: facts per (village, sex), villages in drawing order."""
-    rows = regions_by_sex(fact, n, regions).filter(F.col("diagnosis") == diagnosis)
-    return stacked_bar(rows, "city_village", "gender", weight="diag_sex_region_count")
+    cells = _staged_cells(fact)
+    keys = top_regions_per_diagnosis(cells, n, regions).select("diagnosis", "city_village")
+    chosen = restrict_to(cells, keys, ["diagnosis", "city_village"]).filter(F.col("diagnosis") == diagnosis)
+    return stacked_bar(staged(chosen), "city_village", "gender", weight="facts")
 
 
-def disease_ages(fact: DataFrame, diagnosis: str, n: int = 10, regions: int = 5) -> DataFrame:
-    """Facts of one disease in its top villages, one row per fact with the age."""
+def disease_ages(
+    fact: DataFrame, diagnosis: str, n: int = 10, regions: int = 5, rows: DataFrame | None = None
+) -> DataFrame:
+    """Facts of one disease in its top villages, one row per fact with the age.
+
+    ``rows`` are the facts of that disease, if they can be had at less cost than by filtering ``fact``.
+    """
     keys = top_regions_per_diagnosis(fact, n, regions).filter(F.col("diagnosis") == diagnosis)
     return skew_join(
-        fact.filter(F.col("diagnosis") == diagnosis),
-        keys.select("diagnosis", "city_village"),
+        fact.filter(F.col("diagnosis") == diagnosis) if rows is None else rows,
+        staged(keys.select("diagnosis", "city_village")),
         ["diagnosis", "city_village"],
         salt_on=["person_id", "diagnosis_id"],
     )
 
 
 def _age_counts(ages: DataFrame) -> DataFrame:
-    return ages.groupBy("city_village", "gender", "age").agg(F.count(F.lit(1)).alias("facts"))
+    """Facts per (village, sex, age): ages have one decimal, so this is small however many facts there are."""
+    return staged(ages.groupBy("city_village", "gender", "age").agg(F.count(F.lit(1)).alias("facts")))
 
 
 def disease_age_boxes(ages: DataFrame) -> DataFrame:

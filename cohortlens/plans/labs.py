@@ -13,6 +13,7 @@ from cohortlens.functions.numbers import RESCALE_BANDS, rescale_outliers
 from cohortlens.operators.distribution import linear_trend, quantiles, threshold_counts
 from cohortlens.operators.joins import cohort_join, pair_measures, semi_join
 from cohortlens.plans.study import StudyCodes, StudyTables, lab_rows, live
+from cohortlens.sources.materialize import staged
 
 # The tests the study calls important.
 IMPORTANT_TESTS = (
@@ -31,10 +32,11 @@ def cohort_lab_results(
     """Laboratory results of the persons who have a diagnosis.
 
     One row per result. ``cohort_rows`` is the number of facts of that diagnosis the person has, which is
-    how often a plain join lists the result; ``fan_out=True`` lists it that often.
+    how often a plain join lists the result; ``fan_out=True`` lists it that often. The cohort is written as a
+    table first: it is used several times and is small next to the facts.
     """
     carry = ["gender", "age"] if with_age else ["gender"]
-    cohort = fact.filter(F.col("diagnosis") == diagnosis)
+    cohort = staged(fact.filter(F.col("diagnosis") == diagnosis).select("person_id", *carry))
     joined = cohort_join(
         lab_rows(t, codes), cohort, carry=carry, fan_out=fan_out, distinct_cohort=distinct_cohort,
         salt_on=t.salt_on,

@@ -14,6 +14,7 @@ from cohortlens.operators.joins import skew_join
 from cohortlens.operators.ranking import add_rank
 from cohortlens.operators.relational import drop_incomplete, having
 from cohortlens.plans.study import StudyTables, live
+from cohortlens.sources.materialize import staged
 
 # Spellings and what they are corrected to.
 VILLAGE_CORRECTIONS = {
@@ -59,7 +60,7 @@ def village_counts(
     first, as the original script is written; names may then occur twice.
     """
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = addresses.groupBy("city_village").agg(measure.alias("count"))
+    counts = staged(addresses.groupBy("city_village").agg(measure.alias("count")))
     if not correct_after:
         # Correct the distinct spellings, then merge them: the corrections touch one row per spelling.
         counts = correct_column(counts, "city_village", corrections).groupBy("city_village").agg(
@@ -77,13 +78,14 @@ def village_geo(
 ) -> DataFrame:
     """Counted villages with address text and coordinates; villages without coordinates are dropped.
 
-    The gazetteer is searched by village name.
+    The gazetteer is searched by village name. The result is a table, so the join back to the patients knows
+    how small it is.
     """
     counted = village_counts(addresses, corrections, min_count, correct_after, weight)
     addressed = counted.withColumn("address", joined_address("city_village", address_parts))
-    return drop_incomplete(geocode(addressed, gazetteer, "city_village", country)).select(
+    return staged(drop_incomplete(geocode(addressed, gazetteer, "city_village", country)).select(
         "city_village", "count", "inv_rank", "address", "lon", "lat"
-    )
+    ))
 
 
 def patient_map(
@@ -96,5 +98,7 @@ def patient_map(
 
 
 def map_points(patients: DataFrame) -> DataFrame:
-    """Patients per point and sex: all that the density, the bounding box and the pie map need."""
-    return patients.groupBy("lat", "lon", "city_village", "gender").agg(F.count(F.lit(1)).alias("patients"))
+    """Patients per point and sex, as a table: all that the density, the bounding box and the pie map need."""
+    return staged(
+        patients.groupBy("lat", "lon", "city_village", "gender").agg(F.count(F.lit(1)).alias("patients"))
+    )

@@ -1,5 +1,7 @@
 from cohortlens.sources.files import read_csv, write_csv
-from cohortlens.sources.materialize import checkpointed, materialize
+from cohortlens.sources.materialize import materialize, shared_folder, staged
 from cohortlens.sources.tables import TableSource, literal_frame, read_table
 
-__all__ = ["TableSource", "checkpointed", "literal_frame", "materialize", "read_csv", "read_table", "write_csv"]
+__all__ = [
+    "TableSource", "literal_frame", "materialize", "read_csv", "read_table", "shared_folder", "staged", "write_csv",
+]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,25 +14,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured
-    current = context.getCheckpointDir()
-    if current:
-        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = tempfile.mkdtemp(prefix="cohortlens-")
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return a scan of it. Runs a job.
+
+    Cuts lineage: what follows reads the table, however often, and lost executors cost nothing but their
+    running tasks. The planner also learns the true size, so later joins broadcast on facts, not guesses.
+    Tables lie in a folder per application and can be removed when it has ended.
+    """
+    spark = df.sparkSession
+    application = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/cohortlens-{application}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

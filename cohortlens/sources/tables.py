@@ -50,5 +50,15 @@ def read_table(spark: SparkSession, name: str, source: TableSource) -> DataFrame
 
 
 def literal_frame(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
-    """A small table written out in code, with its types declared."""
-    return spark.createDataFrame([tuple(r) for r in rows], schema=schema)
+    """A small table written out in code, with its types declared.
+
+    Built as an inline expression, so the planner knows how small it is and broadcasts it.
+    """
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not rows:
+        return spark.createDataFrame([], declared)
+    literals = [
+        F.struct(*[F.lit(value).cast(f.dataType).alias(f.name) for value, f in zip(row, declared, strict=True)])
+        for row in rows
+    ]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*literals)))
