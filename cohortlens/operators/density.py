@@ -17,32 +17,36 @@ BANDWIDTH_FACTOR = 1.06
 IQR_TO_SD = 1.34
 
 
-def _axis(points: DataFrame, c: str) -> dict:
-    """Scalar columns for one axis: range, and the kernel's standard deviation."""
-    mean = points.agg((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias("m")).scalar()
-    spread = points.withColumn("_m", mean).agg(
+def _settings(points: DataFrame) -> dict:
+    """Scalar columns: weight, range and standard deviation of both axes, and their interquartile ranges."""
+    means = points.agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in "xy"])
+    squares = {c: F.sum(F.col("w") * F.pow(F.col(c) - F.col(f"_mean.{c}"), F.lit(2.0))) for c in "xy"}
+    spread = points.withColumn("_mean", means.select(F.struct("x", "y")).scalar()).agg(
         F.struct(
-            F.min(c).alias("lo"),
-            F.max(c).alias("hi"),
-            F.sum("w").cast("double").alias("n"),
-            F.sqrt(
-                F.try_divide(F.sum(F.col("w") * F.pow(F.col(c) - F.col("_m"), F.lit(2.0))), F.sum("w") - 1)
-            ).alias("sd"),
+            F.sum("w").alias("n"),
+            *[F.struct(
+                F.min(c).alias("lo"), F.max(c).alias("hi"),
+                F.sqrt(F.try_divide(squares[c], F.sum("w") - 1)).alias("sd"),
+            ).alias(c) for c in "xy"],
         ).alias("s")
     )
-    quarters = quantiles(points, c, (0.25, 0.75), weight="w").agg(
-        (F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))) - F.max(
-            F.when(F.col("prob") == 0.25, F.col("quantile")))).alias("iqr")
-    )
-    return {f"_{c}": spread.scalar(), f"_{c}_iqr": quarters.scalar()}
+    tall = points.select("w", F.explode(F.create_map(F.lit("x"), "x", F.lit("y"), "y")).alias("axis", "v"))
+    quarters = quantiles(tall, "v", (0.25, 0.75), by=["axis"], weight="w")
+
+    def quarter(axis: str, p: float):
+        return F.max(F.when((F.col("axis") == axis) & (F.col("prob") == p), F.col("quantile")))
+
+    iqr = quarters.agg(F.struct(*[(quarter(c, 0.75) - quarter(c, 0.25)).alias(c) for c in "xy"]).alias("iqr"))
+    return {"_spread": spread.scalar(), "_iqr": iqr.scalar()}
 
 
 def _bandwidth(c: str):
-    sd, iqr, n = F.col(f"_{c}.sd"), F.col(f"_{c}_iqr"), F.col(f"_{c}.n")
+    axis = f"_spread.{c}"
+    sd, iqr, n = F.col(f"{axis}.sd"), F.col(f"_iqr.{c}"), F.col("_spread.n")
     narrow = F.when(iqr > 0, F.least(sd, iqr / IQR_TO_SD)).otherwise(sd)
     # A spread that is only rounding noise of the coordinates counts as none.
-    noise = F.lit(1e-12) * F.greatest(F.abs(F.col(f"_{c}.lo")), F.abs(F.col(f"_{c}.hi")), F.lit(1.0))
-    usable = (sd > noise) & (F.col(f"_{c}.hi") > F.col(f"_{c}.lo"))
+    noise = F.lit(1e-12) * F.greatest(F.abs(F.col(f"{axis}.lo")), F.abs(F.col(f"{axis}.hi")), F.lit(1.0))
+    usable = (sd > noise) & (F.col(f"{axis}.hi") > F.col(f"{axis}.lo"))
     return F.when(usable, F.lit(BANDWIDTH_FACTOR) * narrow * F.pow(n, F.lit(-0.2))).otherwise(
         F.raise_error(F.lit(f"no density: all points share one value of the {c} axis"))
     )
@@ -70,12 +74,11 @@ def density_2d(
         .groupBy(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
         .agg(measure.cast("double").alias("w"))
     )
-    settings = {**_axis(points, "x"), **_axis(points, "y")}
-    prepared = points.withColumns(settings).select(
+    prepared = points.withColumns(_settings(points)).select(
         "x", "y", "w",
-        F.col("_x.lo").alias("x0"), F.col("_x.hi").alias("x1"), _bandwidth("x").alias("sx"),
-        F.col("_y.lo").alias("y0"), F.col("_y.hi").alias("y1"), _bandwidth("y").alias("sy"),
-        F.col("_x.n").alias("total"),
+        F.col("_spread.x.lo").alias("x0"), F.col("_spread.x.hi").alias("x1"), _bandwidth("x").alias("sx"),
+        F.col("_spread.y.lo").alias("y0"), F.col("_spread.y.hi").alias("y1"), _bandwidth("y").alias("sy"),
+        F.col("_spread.n").alias("total"),
     )
 
     def partial_grid(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Left sides up to this size are searched for hot keys completely, larger ones by this share of their rows.
+PROBE_ALL_BELOW = 256 * 1024 * 1024
+PROBE_SHARE = 0.01
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on same-named keys where NULL matches NULL; the keys appear once, from the left."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
@@ -40,7 +45,6 @@ def skew_join(
     salt_on: Sequence[str] | None = None,
     salts: int = 32,
     hot_share: float = 0.02,
-    hot_keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large ``left`` whose keys may be skewed with a ``right`` that has few rows per key.
 
@@ -51,8 +55,8 @@ def skew_join(
     number, so a recomputed task sends every row to the same place. Left rows with a NULL key match nothing
     and are spread too.
 
-    ``hot_keys_from`` counts the keys on a cheaper frame with the same key columns, for a left side that is
-    expensive to compute twice.
+    Hot keys are looked for in a key-column-only pass, over a small share of the rows when the left side is
+    large. A key that is missed, or wrongly taken for hot, changes where rows are joined, never the result.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -62,7 +66,10 @@ def skew_join(
         return left.join(right, on, how)
 
     key = F.struct(*on)
-    counts = (hot_keys_from if hot_keys_from is not None else left).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    probe = left.select(*on)
+    if estimated_bytes(probe) > PROBE_ALL_BELOW:
+        probe = probe.sample(fraction=PROBE_SHARE, seed=0)
+    counts = probe.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     threshold = counts.agg((F.sum("n") * hot_share).alias("t")).scalar()
     hot = counts.filter(F.col("n") > threshold).agg(F.collect_list(key).alias("hot")).scalar()
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.joins import null_safe_join
 
-SAMPLES_PER_CHUNK = 16
+SAMPLES_PER_CHUNK = 8
+MIN_CHUNKS, MAX_CHUNKS = 8, 512
 
 
 def ordered_positions(
@@ -22,7 +23,7 @@ def ordered_positions(
     keys: Sequence[str],
     within: Sequence[str] = (),
     weight: str | None = None,
-    chunks: int = 64,
+    chunks: int | None = None,
 ) -> DataFrame:
     """The distinct ``keys`` of every group in ascending order, with their place in that order.
 
@@ -30,11 +31,15 @@ def ordered_positions(
     ``n_total`` (rows of the group) and ``position`` (1, 2, ... over the distinct keys).
 
     A window over a whole group would sort that group in one task. Here the distinct keys are cut into
-    ``chunks`` ranges by splitters taken from a fixed-size hash sample of them; each range is ordered on its
-    own and shifted by the totals of the ranges before it. The sample only decides where the cuts are, so
+    ``chunks`` ranges (default: the session's shuffle partitions, within limits) by splitters taken from a
+    fixed-size hash sample of them; each range is ordered on its own and shifted by the totals of the ranges
+    before it. The sample only decides where the cuts are, so
     the positions are exact, and it is chosen by hash, so a repeated task makes the same cuts.
     """
     within, keys = list(within), list(keys)
+    if chunks is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = min(max(partitions, MIN_CHUNKS), MAX_CHUNKS)
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
     distinct = df.groupBy(*within, *keys).agg(measure.alias("n"))
 

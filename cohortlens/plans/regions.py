@@ -34,11 +34,11 @@ def patients_by_region(
     """
     addresses = _addresses(t).filter(calendar_parts("date_created", min_year, min_month))
     rows = skew_join(addresses, _patients(t), "person_id", salt_on=["city_village", "date_created"])
-    rows = rows.withColumn("city_village", cap_words("city_village"))
     if distinct_person:
-        rows = rows.select("city_village", "person_id").distinct()
-    counts = rows.groupBy("city_village").agg(F.count(F.lit(1)).alias("patient_count"))
-    return top_n(counts, n, "patient_count", rank="inv_rank")
+        rows = rows.select(cap_words("city_village").alias("city_village"), "person_id").distinct()
+    # Counted by the name as written; only the distinct spellings are capitalised and merged.
+    spellings = rows.groupBy("city_village").agg(F.count(F.lit(1)).alias("addresses"))
+    return _top_of(spellings, n)
 
 
 def enrolment_cells(t: StudyTables, min_year: int = MIN_YEAR, min_month: int = MIN_MONTH) -> DataFrame:
@@ -59,8 +59,8 @@ def enrolment_cells(t: StudyTables, min_year: int = MIN_YEAR, min_month: int = M
     )
 
 
-def _top_of(cells: DataFrame, n: int) -> DataFrame:
-    counts = cells.filter("in_period").groupBy(cap_words("city_village").alias("city_village")).agg(
+def _top_of(spellings: DataFrame, n: int) -> DataFrame:
+    counts = spellings.groupBy(cap_words("city_village").alias("city_village")).agg(
         F.sum("addresses").alias("patient_count")
     )
     return top_n(counts, n, "patient_count", rank="inv_rank")
@@ -78,7 +78,7 @@ def region_sex_share(
     counts = cells.filter("in_period AND is_live").groupBy(
         cap_words("city_village").alias("city_village"), "gender"
     ).agg(F.sum("addresses").alias("pat_count"))
-    return share_of_parent(counts, _top_of(cells, n), ["city_village"], "pat_count", "patient_count").select(
+    return share_of_parent(counts, _top_of(cells.filter("in_period"), n), ["city_village"], "pat_count", "patient_count").select(
         "city_village", "gender", "pat_count", "percentage"
     )
 
@@ -94,5 +94,5 @@ def region_share(
     cells = enrolment_cells(t, min_year, min_month) if cells is None else cells
     name = cap_words("city_village") if normalise else F.col("city_village")
     rows = cells.filter("is_live").withColumn("city_village", name)
-    chosen = rows.join(_top_of(cells, n).select("city_village"), "city_village")
+    chosen = rows.join(_top_of(cells.filter("in_period"), n).select("city_village"), "city_village")
     return share_of_total(chosen, ["city_village", "gender"], weight="addresses")
