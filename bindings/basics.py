@@ -10,7 +10,7 @@ from bindings.registry import query
 from bindings.views import AGE, AS_OF, PLACE_PARTS, cap_sql, ctes
 from cohortlens import functions as fn
 from cohortlens import operators as op
-from cohortlens.sources import literal_frame
+from cohortlens.sources import literal_frame, staged
 
 
 def _r(c, digits=6, name=None):
@@ -425,7 +425,7 @@ def topn_global(v):
     per_part = op.count_by(kept, "l_partkey", name="n")
     names = v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     counts = op.count_by(per_part.join(names, "l_partkey"), "p_name", weight="n", name="diag_count")
-    return op.top_n(counts, 10, "diag_count", rank="inv_rank")
+    return op.top_n(staged(counts), 10, "diag_count", rank="inv_rank")
 
 
 @query("topn_within", """SELECT l_returnflag, l_suppkey, items, rank FROM (SELECT l_returnflag, l_suppkey,
@@ -443,6 +443,7 @@ def _(v):
     per_part = op.count_by(v.table("lineitem"), "l_partkey", "l_returnflag", name="n")
     names = v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     parts = op.count_by(per_part.join(names, "l_partkey"), "p_name", "l_returnflag", weight="n", name="part_items")
+    parts = staged(parts)
     totals = parts.groupBy("p_name").agg(F.sum("part_items").alias("items"))
     return op.share_of_parent(parts, totals, ["p_name"], "part_items", "items").drop("items")
 

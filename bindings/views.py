@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import cap_words
 from cohortlens.operators import skew_join, union_all
+from cohortlens.operators.joins import bytes_together
 from cohortlens.plans import StudyCodes, StudyTables
 from cohortlens.sources import TableSource, literal_frame, read_table
 
@@ -37,9 +38,12 @@ PLACE_PARTS = ("Hills", "Land")
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.source = spark, TableSource(parquet_dir=sf_dir)
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, name, self.source)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, name, self.source)
+        return self._tables[name]
 
     def person(self) -> DataFrame:
         def day(start: str, step: int, span: int):
@@ -60,6 +64,10 @@ class Views:
 
     def home(self) -> DataFrame:
         """One address per customer."""
+        customers, nation = self._home_parts()
+        return customers.join(nation, "c_nationkey").drop("c_nationkey")
+
+    def _home_parts(self) -> tuple[DataFrame, DataFrame]:
         nation = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
         ).select(
@@ -70,7 +78,7 @@ class Views:
             (F.col("n_nationkey") * 7 % 25 * F.lit(0.02) + 28.8).alias("lat"),
         )
         customers = self.table("customer").select(F.col("c_custkey").alias("person_id"), "c_nationkey")
-        return customers.join(nation, "c_nationkey").drop("c_nationkey")
+        return customers, nation
 
     def enrolment(self) -> DataFrame:
         """One address row per order: the customer's nation, on the day of the order."""
@@ -78,7 +86,8 @@ class Views:
             F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("date_created")
         )
         homes = self.home().select("person_id", "city_village")
-        return skew_join(orders, homes, "person_id", salt_on=["date_created"])
+        size = bytes_together(*self._home_parts())
+        return skew_join(orders, homes, "person_id", salt_on=["date_created"], right_bytes=size)
 
     def group_rows(self) -> DataFrame:
         return self.table("orders").select(

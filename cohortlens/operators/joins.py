@@ -36,6 +36,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def bytes_together(*dimensions: DataFrame) -> int:
+    """Size bound of dimensions joined on keys that are unique in each: no more rows than the largest has."""
+    return sum(estimated_bytes(d) for d in dimensions)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -45,6 +50,7 @@ def skew_join(
     salt_on: Sequence[str] | None = None,
     salts: int = 32,
     hot_share: float = 0.02,
+    right_bytes: int | None = None,
 ) -> DataFrame:
     """Join a large ``left`` whose keys may be skewed with a ``right`` that has few rows per key.
 
@@ -55,6 +61,9 @@ def skew_join(
     number, so a recomputed task sends every row to the same place. Left rows with a NULL key match nothing
     and are spread too.
 
+    Catalyst's estimate of a joined ``right`` is the product of its inputs. ``right_bytes`` gives a bound that is
+    known to hold instead, such as ``bytes_together`` for dimensions joined on unique keys.
+
     Hot keys are looked for in a key-column-only pass, over a small share of the rows when the left side is
     large. A key that is missed, or wrongly taken for hot, changes where rows are joined, never the result.
     """
@@ -62,8 +71,8 @@ def skew_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join keeps or filters left rows; {how!r} is not supported")
     limit = broadcast_limit(left)
-    if limit > 0 and estimated_bytes(right) <= limit:
-        return left.join(right, on, how)
+    if limit > 0 and (estimated_bytes(right) if right_bytes is None else right_bytes) <= limit:
+        return left.join(right if right_bytes is None else F.broadcast(right), on, how)
 
     key = F.struct(*on)
     probe = left.select(*on)

@@ -104,9 +104,9 @@ def diagnosis_cells(fact: DataFrame, weight: str | None = None) -> DataFrame:
     return count_by(fact, "diagnosis", "gender", "city_village", weight=weight, name="facts")
 
 
-def _staged_cells(fact: DataFrame) -> DataFrame:
+def _staged_cells(fact: DataFrame, weight: str | None = None) -> DataFrame:
     """The cells as a table, so that a ranking that needs them several times reads the facts once."""
-    return fact if "facts" in fact.columns else staged(diagnosis_cells(fact))
+    return fact if "facts" in fact.columns else staged(diagnosis_cells(fact, weight))
 
 
 def top_diagnoses(fact: DataFrame, n: int = 10, weight: str | None = None) -> DataFrame:
@@ -114,7 +114,7 @@ def top_diagnoses(fact: DataFrame, n: int = 10, weight: str | None = None) -> Da
 
     This and the rankings below take the facts or their ``diagnosis_cells``.
     """
-    return _top(fact if "facts" in fact.columns else diagnosis_cells(fact, weight), n)
+    return _top(_staged_cells(fact, weight), n)
 
 
 def _top(cells: DataFrame, n: int) -> DataFrame:

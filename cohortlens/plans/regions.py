@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.predicates import calendar_parts
 from cohortlens.functions.text import cap_words
-from cohortlens.operators.joins import skew_join
+from cohortlens.operators.joins import bytes_together, skew_join
 from cohortlens.operators.ranking import share_of_parent, share_of_total, top_n
 from cohortlens.plans.study import StudyTables, live
 from cohortlens.sources.materialize import staged
@@ -47,8 +47,11 @@ def enrolment_cells(t: StudyTables, min_year: int = MIN_YEAR, min_month: int = M
     One pass over the addresses; the percentages below need it in several groupings.
     """
     sexes = live(t.person).select("person_id", "gender", F.lit(True).alias("is_live"))
-    who = _patients(t).join(sexes, "person_id", "left")
-    rows = skew_join(_addresses(t), who, "person_id", salt_on=["city_village", "date_created"])
+    patients = _patients(t)
+    rows = skew_join(
+        _addresses(t), patients.join(sexes, "person_id", "left"), "person_id",
+        salt_on=["city_village", "date_created"], right_bytes=bytes_together(patients, sexes),
+    )
     return staged(
         rows.groupBy(
             "city_village",
