@@ -325,12 +325,12 @@ def _(v):
 
 
 @query("agg_mean_count_sum", """SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount, l_tax,
-    round(avg(l_extendedprice), 4) AS mean_price, count(*) AS items, round(sum(l_extendedprice), 2) AS total_price
+    round(avg(l_extendedprice), 7) AS mean_price, count(*) AS items, round(sum(l_extendedprice), 2) AS total_price
     FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6""")
 def _(v):
     keys = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
     return v.table("lineitem").groupBy(*keys).agg(
-        F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.count(F.lit(1)).alias("items"),
+        F.round(F.avg("l_extendedprice"), 7).alias("mean_price"), F.count(F.lit(1)).alias("items"),
         F.round(F.sum("l_extendedprice"), 2).alias("total_price"),
     )
 

@@ -51,6 +51,7 @@ def skew_join(
     salts: int = 32,
     hot_share: float = 0.02,
     right_bytes: int | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large ``left`` whose keys may be skewed with a ``right`` that has few rows per key.
 
@@ -65,7 +66,8 @@ def skew_join(
     known to hold instead, such as ``bytes_together`` for dimensions joined on unique keys.
 
     Hot keys are looked for in a key-column-only pass, over a small share of the rows when the left side is
-    large. A key that is missed, or wrongly taken for hot, changes where rows are joined, never the result.
+    large. ``probe`` names the frame to look in when ``left`` is itself a join of it, so that the pass stays a
+    scan. A key that is missed, or wrongly taken for hot, changes where rows are joined, never the result.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -75,7 +77,7 @@ def skew_join(
         return left.join(right if right_bytes is None else F.broadcast(right), on, how)
 
     key = F.struct(*on)
-    probe = left.select(*on)
+    probe = (left if probe is None else probe).select(*on)
     if estimated_bytes(probe) > PROBE_ALL_BELOW:
         probe = probe.sample(fraction=PROBE_SHARE, seed=0)
     counts = probe.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
@@ -116,6 +118,7 @@ def group_parent_join(
     child_key: str = "obs_group_id",
     parent_key: str = "obs_id",
     salt_on: Sequence[str] | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Observation rows with the group row they belong to; rows without a group row are dropped.
 
@@ -124,15 +127,16 @@ def group_parent_join(
     """
     extra = [c for c in parent.columns if c != parent_key and c not in child.columns]
     parents = parent.select(F.col(parent_key).alias(child_key), *extra)
-    return skew_join(child, parents, child_key, salt_on=salt_on)
+    return skew_join(child, parents, child_key, salt_on=salt_on, probe=probe)
 
 
 def semi_join(
-    df: DataFrame, keys: DataFrame, on: Sequence[str] | str, salt_on: Sequence[str] | None = None
+    df: DataFrame, keys: DataFrame, on: Sequence[str] | str, salt_on: Sequence[str] | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys``; never multiplies rows."""
     on = [on] if isinstance(on, str) else list(on)
-    return skew_join(df, keys.select(*on).distinct(), on, "left_semi", salt_on=salt_on)
+    return skew_join(df, keys.select(*on).distinct(), on, "left_semi", salt_on=salt_on, probe=probe)
 
 
 def restrict_to(
@@ -155,6 +159,7 @@ def cohort_join(
     fan_out: bool = False,
     distinct_cohort: bool = False,
     salt_on: Sequence[str] | None = None,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Events of the persons of a cohort.
 
@@ -165,7 +170,7 @@ def cohort_join(
     members = cohort.groupBy(on, *carry).agg(F.count(F.lit(1)).alias("cohort_rows"))
     if distinct_cohort:
         members = members.withColumn("cohort_rows", F.lit(1).cast("long"))
-    joined = skew_join(events, members, on, salt_on=salt_on)
+    joined = skew_join(events, members, on, salt_on=salt_on, probe=probe)
     if not fan_out:
         return joined
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cohort_rows")))).drop(

@@ -26,7 +26,7 @@ def _names(t: StudyTables, codes: StudyCodes, only: Sequence[str] | None) -> Dat
 
 def _of_names(coded: DataFrame, t: StudyTables, codes: StudyCodes, only: Sequence[str] | None) -> DataFrame:
     """Only the observations whose code has one of the names, so that little else is shuffled."""
-    return coded if only is None else semi_join(coded, _names(t, codes, only), "value_coded", salt_on=t.salt_on)
+    return coded if only is None else semi_join(coded, _names(t, codes, only), "value_coded", salt_on=t.salt_on, probe=t.obs)
 
 
 def _fact(
@@ -77,7 +77,7 @@ def diagnosis_fact_by_group(
     ])
     parents = t.group_rows.filter(F.col("concept_id").isin(list(codes.group_questions)))
     parents = parents.select("obs_id", *([] if own_person else ["person_id"]))
-    linked = group_parent_join(_of_names(children, t, codes, only), parents, salt_on=t.salt_on)
+    linked = group_parent_join(_of_names(children, t, codes, only), parents, salt_on=t.salt_on, probe=children)
     return _fact(linked, t, codes, as_of, only)
 
 

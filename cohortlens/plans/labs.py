@@ -39,7 +39,7 @@ def cohort_lab_results(
     cohort = staged(fact.filter(F.col("diagnosis") == diagnosis).select("person_id", *carry))
     joined = cohort_join(
         lab_rows(t, codes), cohort, carry=carry, fan_out=fan_out, distinct_cohort=distinct_cohort,
-        salt_on=t.salt_on,
+        salt_on=t.salt_on, probe=t.obs,
     )
     count = [] if fan_out else ["cohort_rows"]
     return joined.select("obs_id", "person_id", *carry, *LAB_COLUMNS, *count)
