@@ -15,6 +15,7 @@ from cohortlens.operators.ranking import add_rank
 from cohortlens.operators.relational import drop_incomplete, having
 from cohortlens.plans.study import StudyTables, live
 from cohortlens.sources.materialize import staged
+from cohortlens.sources.schemas import PATIENT_MAP_SCHEMA
 
 # Spellings and what they are corrected to.
 VILLAGE_CORRECTIONS = {
@@ -97,6 +98,17 @@ def patient_map(
     return attach_coords(corrected, villages.drop("count"), "city_village", salt_on=["person_id"])
 
 
+def patient_map_export(patients: DataFrame) -> DataFrame:
+    """The patient map in the column layout of its file; columns the tables do not have are NULL."""
+    source = {"add_personId": "person_id", "voided.x": "voided_x", "voided.y": "voided_y"}
+    columns = []
+    for field in PATIENT_MAP_SCHEMA:
+        name = source.get(field.name, field.name)
+        value = F.col(name) if name in patients.columns else F.lit(None)
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return patients.select(*columns)
+
+
 def map_points(patients: DataFrame) -> DataFrame:
     """Patients per point and sex, as a table: all that the density, the bounding box and the pie map need."""
     return staged(

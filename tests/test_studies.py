@@ -6,8 +6,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from cohortlens import operators as op
 from cohortlens.plans import StudyTables, diagnosis, labs, regions, villages
 from cohortlens.plans.dashboard import dashboard_frames
+from cohortlens.sources import read_csv, write_csv
+from cohortlens.sources.schemas import PATIENT_MAP_SCHEMA
 
 AS_OF = datetime.date(2016, 12, 31)
 
@@ -200,6 +203,23 @@ def test_patient_map(spark, t):
     assert villages.map_points(mapped).agg(F.sum("patients")).first()[0] == 2
 
 
+def test_patient_map_file(spark, t, tmp_path):
+    gazetteer = spark.createDataFrame([("Payal", 81.19, 29.17), ("Darna", 81.34, 29.19)], "name string, lon double, lat double")
+    addresses = villages.enrolled_addresses(t)
+    mapped = villages.patient_map(addresses, villages.village_geo(addresses, gazetteer, min_count=1))
+    path = str(tmp_path / "map")
+    write_csv(villages.patient_map_export(mapped), path)
+    back = read_csv(spark, path, PATIENT_MAP_SCHEMA)
+    assert len(back.columns) == 29
+    got = rows(back, "add_personId", "city_village", "`voided.x`", "gender", "date_created", "address", "lat", "uuid")
+    assert got == [
+        (1, "Darna", 0, "F", at("2015-03-02"), "Darna   Achham   Nepal", 29.19, None),
+        (1, "Payal", 0, "F", at("2015-03-02"), "Payal   Achham   Nepal", 29.17, None),
+    ]
+    pies = op.pie_map(op.add_record_count(back), 1, weight="number_of_records")
+    assert pies.agg(F.sum("records")).first()[0] == 2
+
+
 def test_dashboard(t):
     frames = dashboard_frames(t, AS_OF)
     try:
