@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -314,11 +316,12 @@ def _(v):
     return diagnosis.month_year_counts(op.semi_join(obs, codes, "value_coded", salt_on=["obs_group_id", "line"]))
 
 
-@query("code_trend_one", """SELECT CAST(month(l_shipdate) AS INTEGER) AS obs_month,
+@query("code_trend_coded", """SELECT CAST(month(l_shipdate) AS INTEGER) AS obs_month,
     CAST(year(l_shipdate) AS INTEGER) AS obs_year, count(*) AS count FROM lineitem
-    WHERE l_linestatus = 'F' AND l_partkey = 57 GROUP BY 1, 2""")
+    WHERE l_linestatus = 'F' AND l_returnflag = 'R' GROUP BY 1, 2""")
 def _(v):
-    return diagnosis.code_trend(v.diagnosis_by_group(), [57], CODES)
+    flags = v.coded_obs().withColumn("value_coded", F.col("value_text"))
+    return diagnosis.code_trend(replace(v.diagnosis_by_group(), obs=flags), ["R"], CODES)
 
 
 # ---- regions

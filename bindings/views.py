@@ -64,10 +64,6 @@ class Views:
 
     def home(self) -> DataFrame:
         """One address per customer."""
-        customers, nation = self._home_parts()
-        return customers.join(nation, "c_nationkey").drop("c_nationkey")
-
-    def _home_parts(self) -> tuple[DataFrame, DataFrame]:
         nation = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
         ).select(
@@ -78,16 +74,21 @@ class Views:
             (F.col("n_nationkey") * 7 % 25 * F.lit(0.02) + 28.8).alias("lat"),
         )
         customers = self.table("customer").select(F.col("c_custkey").alias("person_id"), "c_nationkey")
-        return customers, nation
+        return customers.join(nation, "c_nationkey").drop("c_nationkey")
+
+    def address(self) -> DataFrame:
+        """The home addresses with the village name only."""
+        nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city_village"))
+        customers = self.table("customer").select(F.col("c_custkey").alias("person_id"), "c_nationkey")
+        return customers.join(nation, "c_nationkey").drop("c_nationkey")
 
     def enrolment(self) -> DataFrame:
         """One address row per order: the customer's nation, on the day of the order."""
         orders = self.table("orders").select(
             F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("date_created")
         )
-        homes = self.home().select("person_id", "city_village")
-        size = bytes_together(*self._home_parts())
-        return skew_join(orders, homes, "person_id", salt_on=["date_created"], right_bytes=size)
+        size = bytes_together(self.table("customer"), self.table("nation"))
+        return skew_join(orders, self.address(), "person_id", salt_on=["date_created"], right_bytes=size)
 
     def group_rows(self) -> DataFrame:
         return self.table("orders").select(
@@ -163,7 +164,7 @@ class Views:
 
     def diagnosis_by_group(self) -> StudyTables:
         return StudyTables(
-            person=self.person(), person_address=self.home(), obs=self.coded_obs(), obs_group=self.group_rows(),
+            person=self.person(), person_address=self.address(), obs=self.coded_obs(), obs_group=self.group_rows(),
             concept=self.concept(), concept_name=self.concept_name(), salt_on=("value_coded", "line"),
         )
 
@@ -172,7 +173,7 @@ class Views:
         salt = ("value_coded", "line")
         owned = skew_join(self.coded_obs(), owners, "obs_group_id", salt_on=salt)
         return StudyTables(
-            person=self.person(), person_address=self.home(), obs=owned, concept=self.concept(),
+            person=self.person(), person_address=self.address(), obs=owned, concept=self.concept(),
             concept_name=self.concept_name(), salt_on=("obs_group_id", "line"),
         )
 
@@ -181,7 +182,7 @@ class Views:
 
     def labs(self) -> StudyTables:
         return StudyTables(
-            person=self.person(), person_address=self.home(), obs=self.lab_obs(),
+            person=self.person(), person_address=self.address(), obs=self.lab_obs(),
             concept=literal_frame(self.spark, LAB_CONCEPTS, "concept_id string, class_id string"),
             concept_name=literal_frame(
                 self.spark, LAB_NAMES,
