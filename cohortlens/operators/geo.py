@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.text import correct_values
-from cohortlens.operators.joins import skew_join
+from cohortlens.operators.joins import measured, skew_join
 from cohortlens.operators.ranking import first_per_key
 
 
@@ -25,7 +25,7 @@ def correct_column(df: DataFrame, column: str, corrections: Mapping[str, str] |
         .otherwise(F.raise_error(F.concat(F.lit("several corrections for "), F.first("wrong"))))
         .alias("_right")
     )
-    joined = skew_join(df, checked, column, "left")
+    joined = skew_join(df, measured(checked), column, "left")
     return joined.withColumn(column, F.coalesce("_right", column)).drop("_right").select(*df.columns)
 
 
@@ -52,7 +52,8 @@ def geocode(
     entries = gazetteer if country is None else gazetteer.filter(F.col("country") == country)
     keyed = entries.withColumn("_place", place_key("name")).filter(F.col("_place").isNotNull())
     hits = first_per_key(keyed, ["_place"], order).select("_place", "lon", "lat")
-    return skew_join(df.withColumn("_place", place_key(on)), hits, "_place", "left", salt_on=salt_on).drop("_place")
+    placed = df.withColumn("_place", place_key(on))
+    return skew_join(placed, measured(hits), "_place", "left", salt_on=salt_on).drop("_place")
 
 
 def attach_coords(

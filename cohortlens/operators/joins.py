@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.sources.materialize import staged
+
 
 # Left sides up to this size are searched for hot keys completely, larger ones by this share of their rows.
 PROBE_ALL_BELOW = 256 * 1024 * 1024
@@ -41,6 +43,16 @@ def bytes_together(*dimensions: DataFrame) -> int:
     return sum(estimated_bytes(d) for d in dimensions)
 
 
+def measured(right: DataFrame) -> DataFrame:
+    """A derived join side whose size the planner can trust.
+
+    Estimates of joins and aggregates are far too high, and a small side taken for large costs a shuffle of the
+    large one. When the estimate exceeds the broadcast limit the side is computed once and written as a table,
+    so that the join is planned on its true size.
+    """
+    return right if estimated_bytes(right) <= broadcast_limit(right) else staged(right)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -136,18 +148,20 @@ def semi_join(
 ) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys``; never multiplies rows."""
     on = [on] if isinstance(on, str) else list(on)
-    return skew_join(df, keys.select(*on).distinct(), on, "left_semi", salt_on=salt_on, probe=probe)
+    return skew_join(df, measured(keys.select(*on).distinct()), on, "left_semi", salt_on=salt_on, probe=probe)
 
 
 def restrict_to(
-    df: DataFrame, selection: DataFrame, on: Sequence[str] | str, null_safe: bool = False
+    df: DataFrame, selection: DataFrame, on: Sequence[str] | str, null_safe: bool = False,
+    salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Facts whose key is in an earlier result, together with the columns of that result.
 
     NULL keys match nothing, as in SQL; ``null_safe=True`` lets NULL match NULL.
     """
     on = [on] if isinstance(on, str) else list(on)
-    return null_safe_join(df, selection, on) if null_safe else df.join(selection, on)
+    chosen = measured(selection)
+    return null_safe_join(df, chosen, on) if null_safe else skew_join(df, chosen, on, salt_on=salt_on)
 
 
 def cohort_join(
@@ -170,7 +184,7 @@ def cohort_join(
     members = cohort.groupBy(on, *carry).agg(F.count(F.lit(1)).alias("cohort_rows"))
     if distinct_cohort:
         members = members.withColumn("cohort_rows", F.lit(1).cast("long"))
-    joined = skew_join(events, members, on, salt_on=salt_on, probe=probe)
+    joined = skew_join(events, measured(members), on, salt_on=salt_on, probe=probe)
     if not fan_out:
         return joined
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cohort_rows")))).drop(
@@ -203,12 +217,12 @@ def pair_measures(
             F.sum(F.col(value) * copies), F.sum(F.when(F.col(value).isNotNull(), copies))
         ).alias("partner_mean"),
     )
-    return skew_join(first, partners, on, salt_on=salt_on)
+    return skew_join(first, measured(partners), on, salt_on=salt_on)
 
 
 def include_tuples(df: DataFrame, tuples: DataFrame) -> DataFrame:
     """Rows whose combination of values occurs in ``tuples`` (matched on all of its columns)."""
-    return null_safe_join(df, tuples.distinct(), tuples.columns, how="left_semi")
+    return null_safe_join(df, measured(tuples.distinct()), tuples.columns, how="left_semi")
 
 
 def include_levels(df: DataFrame, levels: Mapping[str, DataFrame]) -> DataFrame:
@@ -218,7 +232,7 @@ def include_levels(df: DataFrame, levels: Mapping[str, DataFrame]) -> DataFrame:
     """
     out = df
     for column, members in levels.items():
-        out = null_safe_join(out, members.select(column).distinct(), [column], how="left_semi")
+        out = null_safe_join(out, measured(members.select(column).distinct()), [column], how="left_semi")
     return out
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.joins import null_safe_join
+from cohortlens.operators.joins import measured, null_safe_join, skew_join
 
 SAMPLES_PER_CHUNK = 8
 MIN_CHUNKS, MAX_CHUNKS = 8, 512
@@ -191,4 +191,4 @@ def level_codes(df: DataFrame, column: str, name: str = "level_code") -> DataFra
     """Add the place of a value among the sorted distinct values of its column; NULL stays NULL."""
     levels = ordered_positions(df.filter(F.col(column).isNotNull()).select(column), [column])
     codes = levels.select(column, F.col("position").cast("int").alias(name))
-    return df.join(codes, column, "left").select(*df.columns, name)
+    return skew_join(df, measured(codes), column, "left").select(*df.columns, name)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.predicates import any_present, none_of
-from cohortlens.operators.joins import skew_join
+from cohortlens.operators.joins import measured, skew_join
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,11 @@ def lab_rows(
     name are joined into one small dictionary first, so the observations are joined once.
     """
     obs = t.obs if include_voided else live(t.obs)
-    measured = obs.filter(any_present("value_numeric", "value_text"))
+    results = obs.filter(any_present("value_numeric", "value_text"))
     tests = t.concept.filter(F.col("class_id") == codes.lab_class).select("concept_id")
     labels = full_names(t, codes).withColumnRenamed("name", "lab_test")
     if names is None:
         dictionary = tests.join(labels, "concept_id", "left")
     else:
         dictionary = tests.join(labels.filter(F.col("lab_test").isin(list(names))), "concept_id")
-    return skew_join(measured, dictionary, "concept_id", salt_on=t.salt_on)
+    return skew_join(results, measured(dictionary), "concept_id", salt_on=t.salt_on)

@@ -53,6 +53,18 @@ def test_skew_join_probe_sample_keeps_result_whole(no_broadcast, skewed, dimensi
     assert rows(op.skew_join(skewed, dimension, "k")) == rows(skewed.join(dimension, "k"))
 
 
+def test_measured_tables_join_on_their_true_size(spark, skewed, dimension):
+    from cohortlens.operators.joins import broadcast_limit, estimated_bytes, measured
+
+    other = dimension.withColumnRenamed("name", "other")
+    derived = dimension.crossJoin(spark.range(400).toDF("x")).join(other, "k").groupBy("k").count()
+    assert estimated_bytes(derived) > broadcast_limit(spark.range(1))
+    table = measured(derived)
+    assert estimated_bytes(table) < 100_000
+    assert "BroadcastHashJoin" in op.skew_join(skewed, table, "k")._jdf.queryExecution().toString()
+    assert measured(dimension) is dimension
+
+
 def test_skew_join_rejects_right_joins(skewed, dimension):
     with pytest.raises(ValueError):
         op.skew_join(skewed, dimension, "k", "right")
