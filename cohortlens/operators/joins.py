@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.sources.materialize import staged
 
-
 # Left sides up to this size are searched for hot keys completely, larger ones by this share of their rows.
 PROBE_ALL_BELOW = 256 * 1024 * 1024
 PROBE_SHARE = 0.01
@@ -53,6 +54,32 @@ def measured(right: DataFrame) -> DataFrame:
     return right if estimated_bytes(right) <= broadcast_limit(right) else staged(right)
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.02) -> list[tuple]:
+    """The key values that hold more than ``share`` of the rows: at most ``1 / share`` of them. Runs a job.
+
+    Reads only the key columns, and only a small part of the rows when there are many.
+    """
+    keys = df.select(*on)
+    if estimated_bytes(keys) > PROBE_ALL_BELOW:
+        keys = keys.sample(fraction=PROBE_SHARE, seed=0)
+    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return [tuple(r) for r in counts.filter(F.col("_n") > total * share).select(*on).collect()]
+
+
+def _is_one_of(df: DataFrame, on: Sequence[str], keys: Sequence[tuple]) -> Column:
+    """Whether the key of a row of ``df`` is in a short list; NULL equals NULL."""
+    return reduce(
+        or_,
+        [
+            reduce(and_, [
+                F.col(c).eqNullSafe(F.lit(v).cast(df.schema[c].dataType)) for c, v in zip(on, key, strict=True)
+            ])
+            for key in keys
+        ],
+    )
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -68,18 +95,16 @@ def skew_join(
     """Join a large ``left`` whose keys may be skewed with a ``right`` that has few rows per key.
 
     When Catalyst's size estimate of ``right`` is within the session's broadcast limit this is a plain
-    join, which Catalyst broadcasts. Otherwise keys that hold more than ``hot_share`` of the left rows (at
-    most ``1 / hot_share`` of them) are spread over ``salts`` partitions, and only the right rows of those
-    keys are copied. Salts come from a hash of ``salt_on`` (default: all left columns), never from a random
-    number, so a recomputed task sends every row to the same place. Left rows with a NULL key match nothing
-    and are spread too.
+    join, which Catalyst broadcasts. Otherwise the keys that hold more than ``hot_share`` of the left rows are
+    looked for (a small job, see ``hot_keys``). Without such keys this is a plain join. With them, their left
+    rows are spread over ``salts`` partitions and only their right rows are copied. Salts come from a hash of
+    ``salt_on`` (default: all left columns), never from a random number, so a recomputed task sends every row to
+    the same place. The list of hot keys is a constant of the plan, so both sides agree on it; a key that was
+    missed or wrongly listed changes where rows are joined, never the result.
 
     Catalyst's estimate of a joined ``right`` is the product of its inputs. ``right_bytes`` gives a bound that is
-    known to hold instead, such as ``bytes_together`` for dimensions joined on unique keys.
-
-    Hot keys are looked for in a key-column-only pass, over a small share of the rows when the left side is
-    large. ``probe`` names the frame to look in when ``left`` is itself a join of it, so that the pass stays a
-    scan. A key that is missed, or wrongly taken for hot, changes where rows are joined, never the result.
+    known to hold instead, such as ``bytes_together`` for dimensions joined on unique keys. ``probe`` names
+    the frame to look for hot keys in when ``left`` is itself a join of it, so that the search stays a scan.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -88,23 +113,13 @@ def skew_join(
     if limit > 0 and (estimated_bytes(right) if right_bytes is None else right_bytes) <= limit:
         return left.join(right if right_bytes is None else F.broadcast(right), on, how)
 
-    key = F.struct(*on)
-    probe = (left if probe is None else probe).select(*on)
-    if estimated_bytes(probe) > PROBE_ALL_BELOW:
-        probe = probe.sample(fraction=PROBE_SHARE, seed=0)
-    counts = probe.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    threshold = counts.agg((F.sum("n") * hot_share).alias("t")).scalar()
-    hot = counts.filter(F.col("n") > threshold).agg(F.collect_list(key).alias("hot")).scalar()
-
-    no_key = ~F.lit(True)
-    for c in on:
-        no_key = no_key | F.col(c).isNull()
+    hot = hot_keys(left if probe is None else probe, on, hot_share)
+    if not hot:
+        return left.join(right, on, how)
     spread = F.pmod(F.xxhash64(*(salt_on or left.columns)), F.lit(salts)).cast("int")
-    salted_left = left.withColumn("_hot", hot).withColumn(
-        "_salt", F.when(no_key | F.array_contains("_hot", key), spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.sequence(F.lit(0), F.when(F.array_contains("_hot", key), F.lit(salts - 1)).otherwise(F.lit(0)))
-    salted_right = right.withColumn("_hot", hot).withColumn("_salt", F.explode(copies)).drop("_hot")
+    last_copy = F.when(_is_one_of(right, on, hot), F.lit(salts - 1)).otherwise(F.lit(0))
+    salted_left = left.withColumn("_salt", F.when(_is_one_of(left, on, hot), spread).otherwise(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last_copy)))
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 

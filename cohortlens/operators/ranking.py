@@ -11,13 +11,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.operators.joins import measured, null_safe_join, skew_join
+from cohortlens.sources.materialize import staged
 
 SAMPLES_PER_CHUNK = 8
 MIN_CHUNKS, MAX_CHUNKS = 8, 512
 
 
+def _settled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df``, written as a table first when one of the columns is floating point.
+
+    The functions below compare values of one evaluation with those of another. A sum of doubles may change in
+    its last digit when it is computed again (another branch of the plan, a lost executor); a table does not.
+    """
+    fractional = any(isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in columns)
+    return staged(df) if fractional else df
+
+
 def ordered_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,7 +53,7 @@ def ordered_positions(
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         chunks = min(max(partitions, MIN_CHUNKS), MAX_CHUNKS)
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    distinct = df.groupBy(*within, *keys).agg(measure.alias("n"))
+    distinct = _settled(df.groupBy(*within, *keys).agg(measure.alias("n")), [*within, *keys])
 
     # Reads the same columns as the main branch, so both share one shuffle.
     sample = (
@@ -89,6 +101,7 @@ def add_rank(
 ) -> DataFrame:
     """Add the dense rank of ``by``, over the whole result or inside groups. Rows with a NULL ``by`` get NULL."""
     within = list(within)
+    df = _settled(df, [*within, by])
     ordered = df.filter(F.col(by).isNotNull()).select(
         *within, by, (-F.col(by) if descending else F.col(by)).alias("_order")
     )
@@ -111,6 +124,7 @@ def top_n(
     comparing it with that short list, wherever it is.
     """
     within = list(within)
+    df = _settled(df, [*within, by])
     values = df.filter(F.col(by).isNotNull())
     highest = F.sort_array(F.collect_set(by), asc=False)
     if not within:

@@ -41,6 +41,35 @@ def test_skew_join_spreads_the_hot_key(no_broadcast, skewed, dimension):
     assert spread < total * 0.3
 
 
+def test_hot_keys(skewed):
+    from cohortlens.operators.joins import hot_keys
+
+    assert sorted(hot_keys(skewed, ["k"]), key=str) == [(1,), (None,)]
+    assert hot_keys(skewed, ["row"]) == []
+    two = skewed.withColumn("even", F.col("row") % 2 == 0)
+    assert (1, True) in hot_keys(two, ["k", "even"])
+
+
+def test_skew_join_without_hot_keys_is_a_plain_join(no_broadcast, skewed):
+    plan = op.skew_join(skewed, skewed.select("row", F.lit(1).alias("x")), "row")._jdf.queryExecution().toString()
+    assert "_salt" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join_on_two_keys_of_other_types(no_broadcast, skewed, how):
+    def keyed(df):
+        return df.withColumns({
+            "day": F.date_add(F.lit("2020-01-01").cast("date"), (F.coalesce("k", F.lit(0)) % 3).cast("int")),
+            "name": F.concat(F.lit("n"), F.col("k") % 5),
+        })
+
+    right = keyed(no_broadcast.range(40).withColumnRenamed("id", "k")).select("day", "name").distinct()
+    right = right.withColumn("x", F.lit(1.5))
+    got = op.skew_join(keyed(skewed), right, ["day", "name"], how)
+    assert "_salt" in got._jdf.queryExecution().toString()
+    assert rows(got) == rows(keyed(skewed).join(right, ["day", "name"], how))
+
+
 def test_skew_join_broadcasts_a_small_side(spark, skewed, dimension):
     plan = op.skew_join(skewed, dimension, "k")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "_salt" not in plan

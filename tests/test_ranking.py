@@ -102,3 +102,10 @@ def test_category_order_and_level_codes(spark):
 def test_sort_desc_puts_missing_last(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 7), (4, 5)], "id int, v int")
     assert [r.id for r in op.sort_desc(df, "v", "id").collect()] == [3, 2, 4, 1]
+
+
+def test_rank_and_top_of_sums_of_doubles(spark):
+    df = spark.range(2000).selectExpr("id % 50 AS k", "CAST(id * 0.1 AS DOUBLE) / 3 AS v").groupBy("k").agg(F.sum("v").alias("v"))
+    ranked = op.add_rank(df, "v").collect()
+    assert sorted(r.inv_rank for r in ranked) == list(range(1, 51))
+    assert op.top_n(df, 7, "v").count() == 7
