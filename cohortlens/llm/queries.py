@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, packing, quality_rules, token_counts, token_files, toxicity
+from cohortlens.llm import exact_dedup, packing, quality_rules, token_counts, token_files, toxicity, url_filters
 from cohortlens.llm.spark_util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,71 @@ FROM digests WINDOW w AS (PARTITION BY text_sha256)
 """)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    """The rounds of the propagation written out, one after another."""
+    rounds, p = url_filters.ROUNDS, url_filters.PASS_ON
+    steps = "".join(
+        f"""
+, a{k} AS (SELECT kind, dst AS host, sum(score * share) AS arrived FROM flows JOIN s{k - 1} ON src = host AND flows.kind = s{k - 1}.k
+  GROUP BY kind, dst)
+, s{k} AS (SELECT k, b.host, round({1 - p} * seed + {p} * coalesce(arrived, 0), 12) AS score
+  FROM base b LEFT JOIN a{k} ON b.host = a{k}.host AND b.k = a{k}.kind)"""
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+WITH parsed AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parsed
+), seeds AS (
+  SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END) AS trust,
+    avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END) AS distrust
+  FROM ruled WHERE host <> '' GROUP BY host
+), hrefs AS (
+  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''),
+    '(?i)\shref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''>]+)', 1)) AS link FROM parsed
+), pairs AS (
+  SELECT src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END,
+    '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM hrefs
+), under AS (
+  SELECT a.host, b.host AS parent FROM seeds a JOIN seeds b ON regexp_extract(a.host, '^[^.]+\.([^.]+\..+)$', 1) = b.host
+), links AS (
+  SELECT src, dst, sum(n) AS n FROM (
+    SELECT src, dst, 1.0 AS n FROM pairs WHERE src <> '' AND dst <> '' AND src <> dst
+    UNION ALL SELECT host, parent, {url_filters.PARENT_WEIGHT} FROM under
+    UNION ALL SELECT parent, host, {url_filters.PARENT_WEIGHT} FROM under) GROUP BY src, dst
+), steps AS (
+  SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links
+), hosts AS (
+  SELECT host FROM seeds UNION SELECT src FROM links UNION SELECT dst FROM links
+), base AS (
+  SELECT k, host, coalesce(CASE WHEN k = 'trust' THEN trust ELSE distrust END, 0.0)::DOUBLE AS seed
+  FROM hosts LEFT JOIN seeds USING (host) CROSS JOIN (VALUES ('trust'), ('distrust')) t(k)
+), flows AS (
+  SELECT kind, src, dst, (n / sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM steps
+  UNION ALL SELECT k, host, host, 1.0::DOUBLE FROM base WHERE (k, host) NOT IN (SELECT (kind, src) FROM steps)
+), s0 AS (SELECT k, host, seed AS score FROM base){steps}
+, scores AS (
+  SELECT host, max(score) FILTER (k = 'trust') AS trust, max(score) FILTER (k = 'distrust') AS distrust
+  FROM s{rounds} GROUP BY host
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN distrust > trust AND distrust >= {url_filters.BLOCK_FROM} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN scores USING (host)
+"""
+
+
+@query(_op10_sql())
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_verdicts(read(spark, sf_dir, "pages")).drop("trust", "distrust")
