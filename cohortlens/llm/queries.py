@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, packing, quality_rules, token_counts, token_files, toxicity, url_filters
+from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, token_counts, token_files, toxicity, url_filters
 from cohortlens.llm.spark_util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,27 @@ FROM ruled LEFT JOIN scores USING (host)
 @query(_op10_sql())
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(read(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+@query(r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM split
+), sizes AS (
+  SELECT doc_id, count(s) AS n FROM split LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM sizes UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM sizes JOIN reach ON node = doc_id GROUP BY doc_id, n
+""")
+def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_documents(read(spark, sf_dir, "documents"))
