@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, token_counts, token_files, toxicity, url_filters
+from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, token_counts, token_files, toxicity, url_filters
 from cohortlens.llm.spark_util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,26 @@ SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM sizes JOIN reach
 """)
 def op7_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM split WHERE len(w) >= 20
+), later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM starts
+  ) WHERE k > 1
+), removed AS (SELECT DISTINCT doc_id, i + j AS i FROM later, range(0, 20) r(j)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN removed USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.remove_repeats(read(spark, sf_dir, "documents"))
