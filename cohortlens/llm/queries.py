@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, token_counts, token_files, toxicity, url_filters
+from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, sampled_pieces, token_counts, token_files, toxicity, url_filters
 from cohortlens.llm.spark_util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,8 @@ FROM split LEFT JOIN kept USING (doc_id)
 """)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_phrases.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.sample_documents(read(spark, sf_dir, "documents"))
