@@ -170,6 +170,6 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id a decision keeps."""
-    return docs.join(decisions.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
+    """The rows of ``docs`` whose id a decision keeps. Rows without an id stay if one of them is kept."""
+    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")

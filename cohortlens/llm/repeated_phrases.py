@@ -255,42 +255,46 @@ def _removed(doc, tag, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v.cast(t) for v, t in zip(values, types, strict=True)], names=["doc", "tag", "start", "stop"])
 
 
-def _keep(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def _kept_words(words: list[bytes], cuts) -> list[bytes]:
+    kept, at = [], 0
+    for start, stop in sorted((c["start"], c["stop"]) for c in cuts or ()):
+        if start > at:
+            kept += words[at:start]
+        at = max(at, stop)
+    return kept + words[at:] if at else words
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, hashes, kept_texts = [], [], [], []
+        rows = []
         for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
             words = text.encode().split()
-            kept, at = [], 0
-            for start, stop in sorted((c["start"], c["stop"]) for c in cuts or ()):
-                if start > at:
-                    kept += words[at:start]
-                at = max(at, stop)
-            kept += words[at:] if at else words
-            joined = b" ".join(kept)
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(kept))
-            hashes.append(hashlib.sha256(joined).hexdigest())
-            if with_text:
-                kept_texts.append(joined.decode())
-        columns = [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(hashes, pa.string())]
-        names = ["doc", "n_words", "n_removed", "kept_sha256"]
-        if with_text:
-            columns.append(pa.array(kept_texts, pa.string()))
-            names.append("kept_text")
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept_text`` (words joined by a space).
+            kept = _kept_words(words, cuts)
+            rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=["doc", "n_words", "n_removed", "kept_sha256"])
 
-    A word goes if it lies in a window of 20 words whose sequence also starts earlier: in a document of smaller id, or
-    before in the same document. A null or empty text has no words. Rows that share an id are ordered by a hash of their
-    text; equal rows are one document with a row each. Documents without an id come last. An empty table gives no row;
-    other columns are not read.
-    """
-    plain = texts(docs, text, doc_id).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("tag"), "text"
-    )
+
+def _texts_left(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, stays = [], []
+        for value, cuts in zip(batch.column(text).to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
+            kept = _kept_words(value.encode().split(), cuts) if cuts else []
+            values.append(b" ".join(kept).decode() if cuts else value)
+            stays.append(not cuts or bool(kept))
+        batch = batch.drop_columns(["_cuts"])
+        batch = batch.set_column(batch.schema.get_field_index(text), text, pa.array(values, pa.string()))
+        yield batch.filter(pa.array(stays, pa.bool_()))
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return texts(docs, text, doc_id).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("tag"), "text")
+
+
+def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Intervals of words to remove, a written table: ``doc, tag`` (id and hash of the text), ``cuts`` (start, stop)."""
+    plain = _keyed(docs, text, doc_id)
     frequent, _, n_runs = frequent_runs(plain, ANCHOR, False)
     buckets = max(1, -(-n_runs // 6 // BUCKET_KEYS))
     sent = plain.mapInArrow(lambda it: _send_anchors(it, frequent, buckets), BLOBS)
@@ -298,7 +302,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     places = recurring.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "n")).alias("places"))
     fragments = plain.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_send_fragments, FRAGMENTS)
     located = fragments.repartition("key").sortWithinPartitions("key", "doc", "tag", "start").mapInArrow(_locate, REMOVED)
-    cuts = staged(located.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
-    schema = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    kept = plain.join(cuts, ["doc", "tag"], "left").select("doc", "text", "cuts").mapInArrow(lambda it: _keep(it, with_text), schema)
+    return staged(located.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per document: ``doc_id, n_words, n_removed, kept_sha256`` (of the words left, joined by one space).
+
+    A word goes if it lies in a window of 20 words whose sequence also starts earlier: in a document of smaller id, or
+    before in the same document. A null or empty text has no words. Rows that share an id are ordered by a hash of their
+    text; equal rows are one document with a row each. Documents without an id come last. An empty table gives no row;
+    other columns are not read.
+    """
+    cuts = find_repeats(docs, text, doc_id)
+    kept = _keyed(docs, text, doc_id).join(cuts, ["doc", "tag"], "left").select("doc", "text", "cuts").mapInArrow(
+        _digests, "doc long, n_words long, n_removed long, kept_sha256 string"
+    )
     return kept.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).withColumnRenamed("doc", "doc_id")
+
+
+def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with the words left as text; a row of which no word is left goes, one that loses none stays as it is."""
+    cuts = find_repeats(docs, text, doc_id).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("cuts").alias("_cuts"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_doc")
+    joined = docs.join(cuts, key & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_tag")), "left")
+    return joined.select(*(docs[c] for c in docs.columns), "_cuts").mapInArrow(lambda it: _texts_left(it, text), docs.schema)
