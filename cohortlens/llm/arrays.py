@@ -167,3 +167,23 @@ def sums_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+class Column:
+    """An array that grows."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            grown = np.zeros(max(need, 2 * len(self.data)), self.data.dtype)
+            grown[:self.size] = self.data[:self.size]
+            self.data = grown
+        self.data[self.size:need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[:self.size]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.arrays import mix
+from cohortlens.llm.arrays import Column, mix
 from cohortlens.llm.spark_util import texts
 
 SAMPLES = 2
@@ -48,22 +48,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Column:
-    """An array that grows."""
-
-    def __init__(self, kind: type):
-        self.data, self.size = np.zeros(1 << 12, kind), 0
-
-    def extend(self, values: np.ndarray) -> None:
-        need = self.size + len(values)
-        if need > len(self.data):
-            grown = np.zeros(max(need, 2 * len(self.data)), self.data.dtype)
-            grown[:self.size] = self.data[:self.size]
-            self.data = grown
-        self.data[self.size:need] = values
-        self.size = need
-
-
 class PieceTrie:
     """Pieces of a model by their characters, with their log probabilities."""
 
@@ -134,9 +118,9 @@ class Lattices(dict):
         super().__init__()
         self.trie, self.alpha = trie, alpha
         self.waiting: list[str] = []
-        self.root, self.edge_first = _Column(np.int32), _Column(np.int32)
-        self.source, self.target, self.piece = _Column(np.int32), _Column(np.int32), _Column(np.int32)
-        self.above, self.log_p = _Column(np.float64), _Column(np.float64)
+        self.root, self.edge_first = Column(np.int32), Column(np.int32)
+        self.source, self.target, self.piece = Column(np.int32), Column(np.int32), Column(np.int32)
+        self.above, self.log_p = Column(np.float64), Column(np.float64)
         self.edge_first.extend(np.zeros(1, np.int64))
 
     def __missing__(self, word: str) -> int:

@@ -10,61 +10,116 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
+import string
 from collections.abc import Iterator
 
 import numpy as np
 
-from cohortlens.llm.arrays import CHUNK_BYTES, ragged
+from cohortlens.llm.arrays import CHUNK_BYTES, Column, ragged
 
 #: Words whose ids a task keeps; when there are more it starts afresh.
-MEMO_WORDS = 500_000
-TRAILING = ".,;:!?"
+MEMO_WORDS = 800_000
+#: Signs that always make a pre-token of their own after a letter or digit (an apostrophe may not).
+TRAILING = string.punctuation.replace("'", "")
+#: Parts that go to the library as one text, and the mark of ids that end a word.
+JOINED = 512
+WORD_END = "</w>"
 
 
-class WordIds(dict):
-    """The number of each word met so far; ``ids[first[k]:first[k] + counts[k]]`` are the ids of word number k."""
+class Parts(dict):
+    """The number of each part met so far; ``ids.values[first[k]:first[k] + counts[k]]`` are the ids of part number k."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _check_rules(path)
         self.tokenizer = Tokenizer.from_file(path)
+        self._ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self._ends[number] = token.endswith(WORD_END)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self._waiting: list[str] = []
-        self._parts: dict[str, list[int]] = {}
-        self._flat, self._sizes = array("I"), array("I")
+        self.ids, self.first, self.counts = Column(np.uint32), Column(np.int64), Column(np.int64)
+
+    def __missing__(self, part: str) -> int:
+        number = len(self)
+        self[part] = number
+        self._waiting.append(part)
+        return number
+
+    def settle(self) -> None:
+        """Encode the parts that wait."""
+        parts = self._waiting
+        first, counts = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+
+        def add(which: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+            first[which] = self.ids.size + np.cumsum(sizes) - sizes
+            counts[which] = sizes
+            self.ids.extend(ids)
+
+        letters = [i for i, p in enumerate(parts) if p.isalpha()]
+        others = [i for i, p in enumerate(parts) if not p.isalpha()]
+        # a word of letters is one pre-token, whose last id alone ends a word; so many can go as one text
+        for at in range(0, len(letters), JOINED):
+            which = letters[at:at + JOINED]
+            text = " ".join([parts[i] for i in which])
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self._ends[ids])
+            if len(ends) == len(which):
+                add(which, ids, np.diff(np.r_[-1, ends]))
+            else:
+                others += which
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)]
+        add(others, np.array([i for x in encoded for i in x], np.uint32), np.array([len(x) for x in encoded], np.int64))
+        self.first.extend(first)
+        self.counts.extend(counts)
+        self._waiting = []
+
+
+class WordIds(dict):
+    """The number of each word met so far, and the one or two parts (-1: none) of word number k."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        _check_rules(path)
+        self.parts = Parts(path)
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.parts.reset()
+        self._new: list[int] = []
+        self.pairs = Column(np.int64)
 
     def __missing__(self, word: str) -> int:
         number = len(self)
         self[word] = number
-        self._waiting.append(word)
+        parts = self.parts
+        if word.isascii() and "<|" not in word:
+            word = word.lower()
+            core = word.rstrip(TRAILING)
+            if core and len(core) < len(word) and core[-1].isalnum():
+                self._new += (parts[core], parts[word[len(core):]])
+                return number
+        self._new += (parts[word], -1)
         return number
 
     def settle(self) -> None:
-        """Encode the words that wait."""
-        if not self._waiting:
-            return
-        split = [_plain_parts(w) for w in self._waiting]
-        new = list(dict.fromkeys(p for parts in split for p in parts if p not in self._parts))
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self._parts.update(zip(new, (e.ids for e in encoded), strict=True))
-        for parts in split:
-            size = 0
-            for part in parts:
-                ids = self._parts[part]
-                self._flat.extend(ids)
-                size += len(ids)
-            self._sizes.append(size)
-        self._waiting = []
-        self.ids = np.array(self._flat, np.uint32)
-        self.counts = np.array(self._sizes, np.int64)
-        self.first = np.cumsum(self.counts) - self.counts
+        self.parts.settle()
+        self.pairs.extend(np.array(self._new, np.int64))
+        self._new = []
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a sequence of words, and how many each word has."""
+        pairs = self.pairs.values.reshape(-1, 2)[numbers].ravel()
+        lengths = np.where(pairs >= 0, self.parts.counts.data[pairs], 0)
+        used = np.flatnonzero(lengths)
+        ids = self.parts.ids.data[ragged(self.parts.first.data[pairs[used]], lengths[used])]
+        return ids, lengths[0::2] + lengths[1::2]
 
 
 def _check_rules(path: str) -> None:
@@ -77,16 +132,6 @@ def _check_rules(path: str) -> None:
         raise ValueError(f"{path} is not a lower-casing word vocabulary that drops white space")
 
 
-def _plain_parts(word: str) -> tuple[str, ...]:
-    if not word.isascii() or "<|" in word:
-        return (word,)
-    word = word.lower()
-    core = word.rstrip(TRAILING)
-    if core and len(core) < len(word) and core[-1].isalnum():
-        return core, word[len(core):]
-    return (word,)
-
-
 _memos: dict[str, WordIds] = {}
 
 
@@ -111,8 +156,7 @@ def encode_texts(values: list[str], path: str, end_id: int | None = None) -> Ite
             at += 1
         memo.settle()
         flat = np.concatenate(numbers)
-        lengths = memo.counts[flat]
-        ids = memo.ids[ragged(memo.first[flat], lengths)]
+        ids, lengths = memo.ids_of(flat)
         per_text = np.add.reduceat(lengths, np.cumsum(sizes) - sizes)
         if end_id is not None:
             spots = np.cumsum(per_text)
