@@ -191,6 +191,7 @@ def _log_odds(n_clean: int, n_toxic: int):
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Fit on ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label`` of 0 or 1)."""
+    # at most FIT_ROWS ids and labels, so it may be broadcast
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(FIT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 [folded, batch.column(1), pa.array(_sketches(folded))], names=["folded", "label", "sketch"],
             )
 
-    folded = docs.join(chosen, "doc_id").select("text", "label").mapInArrow(run, "folded string, label int, sketch long")
+    folded = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(run, "folded string, label int, sketch long")
     rows = staged(folded.groupBy("label", "sketch").agg(F.min("folded").alias("folded")).select("folded", "label"))
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
