@@ -91,7 +91,9 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, bucke
 
 
 def _blobs(places: list[np.ndarray], bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    if not len(bucket):
+        return
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         yield pa.RecordBatch.from_arrays(
             [pa.array([bucket[a]], pa.int32()), pa.array([kind], pa.int32()),
