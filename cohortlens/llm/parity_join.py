@@ -7,9 +7,9 @@ that both documents make in the same order has one in common. A document therefo
 bands (most shingles that are not frequent, then most shingles), and documents that share a key meet. Bands depend on
 the size band of the documents; a document near the lower end of its size band sends keys to the one below as well.
 
-Meetings become links in two rounds. First every document of a key is compared with one leader of the key, which joins
-groups of near copies in linear time. Then keys whose documents are not in one component yet compare documents
-of different components. Comparisons look at sizes, at the Hamming distance of dense sketches of 1,024 bits, and at last at the
+Meetings become links in two rounds. Keys with many documents pair each of them with one leader. First every document
+is compared with one partner, which joins groups of near copies in linear time. Then partners, and documents of one key,
+are compared where they lie in different components yet. Comparisons look at sizes, at the Hamming distance of dense sketches of 1,024 bits, and at last at the
 sets themselves. Texts with equal sets are one node throughout.
 
 A task sorts its own keys before it sends them. Where many of its documents have one key it sends their leader alone, so a
@@ -319,36 +319,37 @@ def similar_documents(
     sets = staged(plain.join(first_ids.distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, runs binary"))
 
     left, right = _described(nodes, "a", "na", "x"), _described(nodes, "b", "nb", "y")
-    close = pairs.distinct().join(left, "a").join(right, "b").where(_may_link()).select("a", "b")
-    links = staged(_verify(close, sets))
+    close = staged(pairs.distinct().join(left, "a").join(right, "b").where(_may_link()).select("a", "b"))
+    # one partner of each node first; most others lie in its component then
+    links = staged(_verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
     joined = staged(components(links))
 
+    def placed_in(df: DataFrame, name: str, component: str) -> DataFrame:
+        known = joined.select(F.col("node").alias(name), F.col("component").alias("_known"))
+        return df.join(known, name, "left").withColumn(component, F.coalesce("_known", name)).drop("_known")
+
+    apart = placed_in(placed_in(close, "a", "ca"), "b", "cb").where("ca <> cb")
     # keys whose documents lie in different components yet
-    of = members.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct().join(joined, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    of = staged(of)
+    of = staged(placed_in(members.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "node", "component"))
     open_keys = of.groupBy("key").agg(F.min("component").alias("base"), F.max("component").alias("other")).where("base <> other")
     rest = staged(of.join(open_keys.select("key", "base"), "key"))
-    final = joined
-    if rest.limit(1).count():
-        one = rest.where("component <> base").select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(left, "a")
-        two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "base").join(right, "b")
-        apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("base")) | (F.col("a") < F.col("b")))
-        more = one.join(two, (one["key"] == two["key"]) & apart & _may_link()).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb"
-        ).distinct()
-        found = _verify(staged(more).select("a", "b"), sets)
-        names = rest.select("node", "component").distinct()
-        bridges = found.join(names.toDF("a", "ca"), "a").join(names.toDF("b", "cb"), "b").select(
-            F.col("ca").alias("a"), F.col("cb").alias("b")
-        )
-        wider = staged(components(staged(bridges.distinct())))
-        every = joined.unionByName(wider.select("node", F.col("node").alias("component"))).groupBy("node").agg(
-            F.min("component").alias("component")
-        )
-        final = every.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
-        final = final.select("node", F.coalesce("wider", "component").alias("component"))
+    one = rest.where("component <> base").select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(left, "a")
+    two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "base").join(right, "b")
+    differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("base")) | (F.col("a") < F.col("b")))
+    more = one.join(two, (one["key"] == two["key"]) & differ & _may_link()).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"),
+        F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"),
+    )
+    across = staged(apart.select("a", "b", "ca", "cb").unionByName(more).distinct())
+    found = _verify(across.select("a", "b"), sets).join(across, ["a", "b"])
+    bridges = staged(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    wider = staged(components(bridges))
+    every = joined.unionByName(wider.select("node", F.col("node").alias("component"))).groupBy("node").agg(
+        F.min("component").alias("component")
+    )
+    final = every.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
+    final = final.select("node", F.coalesce("wider", "component").alias("component"))
     placed = nodes.join(final, "node", "left").select(
         "node", "first_id", "rows", F.coalesce("component", "node").alias("component")
     )
