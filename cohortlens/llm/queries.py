@@ -71,7 +71,7 @@ def _op10_sql() -> str:
         f"""
 , a{k} AS (SELECT kind, dst AS host, sum(score * share) AS arrived FROM flows JOIN s{k - 1} ON src = host AND flows.kind = s{k - 1}.k
   GROUP BY kind, dst)
-, s{k} AS (SELECT k, b.host, round({1 - p} * seed + {p} * coalesce(arrived, 0), 12) AS score
+, s{k} AS (SELECT k, b.host, round(seed + {p} * coalesce(arrived, 0), 12) AS score
   FROM base b LEFT JOIN a{k} ON b.host = a{k}.host AND b.k = a{k}.kind)"""
         for k in range(1, rounds + 1)
     )
@@ -114,7 +114,6 @@ WITH parsed AS (
   FROM hosts LEFT JOIN seeds USING (host) CROSS JOIN (VALUES ('trust'), ('distrust')) t(k)
 ), flows AS (
   SELECT kind, src, dst, (n / sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM steps
-  UNION ALL SELECT k, host, host, 1.0::DOUBLE FROM base WHERE (k, host) NOT IN (SELECT (kind, src) FROM steps)
 ), s0 AS (SELECT k, host, seed AS score FROM base){steps}
 , scores AS (
   SELECT host, max(score) FILTER (k = 'trust') AS trust, max(score) FILTER (k = 'distrust') AS distrust

@@ -23,7 +23,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Share of a host's score that it passes on in each round, and number of rounds.
 PASS_ON = 0.85
 ROUNDS = 8
-#: Distrust from which a host may be blocked; an unlinked host with all its pages blocked has 1.
+#: Distrust from which a host may be blocked; a host with all its pages blocked has at least 1.
 BLOCK_FROM = 0.5
 #: Weight of the link between a host and its parent domain, in pages.
 PARENT_WEIGHT = 1.0
@@ -93,8 +93,8 @@ def seeds(ruled: DataFrame) -> DataFrame:
 def propagate(seed: DataFrame, links: DataFrame, rounds: int = ROUNDS, pass_on: float = PASS_ON) -> DataFrame:
     """Scores after ``rounds`` rounds: ``host, trust, distrust``.
 
-    ``links`` (``src, dst, n``) name any hosts; those without pages have no seed. A host with no link on passes its share
-    back to itself.
+    A score is the host's seed and ``pass_on`` times what arrives (personalised PageRank, in units of a seed). ``links``
+    (``src, dst, n``) name any hosts; those without pages have no seed. What a host without a link on has stays with it.
     """
     found = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
     start = staged(
@@ -106,13 +106,7 @@ def propagate(seed: DataFrame, links: DataFrame, rounds: int = ROUNDS, pass_on:
     )
     out_weight = steps.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     flows = staged(_spread_join(steps, out_weight).withColumn("share", F.col("n") / F.col("total")).drop("n", "total"))
-    sinks = start.select(F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"), "host").join(
-        out_weight.select("kind", F.col("src").alias("host")), ["kind", "host"], "left_anti"
-    )
     base = staged(_by_kind(start))
-    flows = staged(
-        flows.unionByName(sinks.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share")))
-    )
     scores = base
     for _ in range(rounds):
         moved = _spread_join(flows, scores.select("kind", F.col("host").alias("src"), "score").where("score > 0"))
@@ -120,7 +114,7 @@ def propagate(seed: DataFrame, links: DataFrame, rounds: int = ROUNDS, pass_on:
         scores = staged(
             base.withColumnRenamed("score", "seed").join(arrived, ["kind", "host"], "left").select(
                 "kind", "host",
-                F.round((1 - pass_on) * F.col("seed") + pass_on * F.coalesce("arrived", F.lit(0.0)), 12).alias("score"),
+                F.round(F.col("seed") + pass_on * F.coalesce("arrived", F.lit(0.0)), 12).alias("score"),
             )
         )
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)

@@ -35,7 +35,7 @@ def test_distrust_goes_back_and_trust_forward(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in u.url_verdicts(pages).collect()}
     assert {i: r.verdict for i, r in got.items()} == {
-        1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow",
+        1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow",
     }
     assert got[3].distrust > got[4].distrust > 0 and got[5].distrust == 0
     assert got[6].trust > 0 and got[1].distrust >= got[3].distrust
@@ -54,9 +54,9 @@ def test_scores_agree_with_plain_iteration(spark):
         start = {h: seed.get(h, (0.0, 0.0))[at] for h in hosts}
         score = dict(start)
         for _ in range(u.ROUNDS):
-            new = {h: (1 - u.PASS_ON) * start[h] for h in hosts}
+            new = dict(start)
             for h in hosts:
-                out = [(d, n) for s, d, n in steps if s == h] or [(h, 1.0)]
+                out = [(d, n) for s, d, n in steps if s == h]
                 for d, n in out:
                     new[d] += u.PASS_ON * score[h] * n / sum(n for _, n in out)
             score = new
