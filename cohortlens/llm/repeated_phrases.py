@@ -147,14 +147,16 @@ def _send_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             lo, hi = words.starts[first].tolist(), words.ends[first + n[a:b] + WINDOW - 2].tolist()
             found += [data[x:y] for x, y in zip(lo, hi, strict=True)]
         order = np.lexsort((start, tags[row], ids[row]))
-        seen: set[tuple[int, bytes]] = set()
+        seen: dict[tuple[int, bytes], int] = {}
         keys = key.tolist()
         out: list[bytes | None] = [None] * len(found)
+        twice = np.zeros(len(found), bool)  # a row that the table repeats is one place
         for i in order.tolist():
-            mark = (keys[i], found[i])
-            if mark not in seen:
-                seen.add(mark)
+            first = seen.setdefault((keys[i], found[i]), i)
+            if first == i:
                 out[i] = found[i]
+            else:
+                twice[i] = (ids[row[i]], tags[row[i]], start[i]) == (ids[row[first]], tags[row[first]], start[first])
         words_out = pa.array(out, pa.binary())
         # rows without words need no shard; their key only spreads them
         anywhere = mix(ids[row].view(np.uint64) + start.astype(np.uint64)).view(np.int64)
@@ -162,7 +164,7 @@ def _send_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays(
             [pa.array(spread, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(tags[row], pa.int32()), pa.array(start, pa.int32()),
              pa.array(n, pa.int32()), words_out], names=["key", "doc", "tag", "start", "n", "words"],
-        )
+        ).filter(pa.array(~twice))
 
 
 REMOVED = "doc long, tag int, start int, stop int"

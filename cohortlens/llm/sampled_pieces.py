@@ -358,7 +358,7 @@ _memos: dict[tuple[str, float], Lattices] = {}
 
 
 def sample_batch(values: list[str], keys: np.ndarray, path: str, samples: int, alpha: float) -> Iterator[tuple]:
-    """Per text and sample: number of the text, number of the sample, ids, log probability, perturbed value, inclusion."""
+    """Per text and sample: number of the text, number of the sample, ids, log probability, perturbed value, log of inclusion."""
     at = 0
     while at < len(values):
         memo = _memos.get((path, alpha))
@@ -377,11 +377,16 @@ def sample_batch(values: list[str], keys: np.ndarray, path: str, samples: int, a
         for d, found in enumerate(sampler.found):
             cut = sampler.threshold(d)
             for number, sample in enumerate(found, 1):
-                inclusion = 1.0 if cut == -np.inf else -np.expm1(-np.exp(min(sample.log_p - cut, 700.0)))
+                inclusion = _log_inclusion(sample.log_p - cut)
                 yield first + d, number, sampler.ids(sample), sample.log_p, sample.value, inclusion
 
 
-SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_p double, value double, inclusion double"
+def _log_inclusion(above: float) -> float:
+    """Log of the probability that a Gumbel variable exceeds a threshold ``above`` below its location."""
+    return above if above < -30 else float(np.log(-np.expm1(-np.exp(min(above, 700.0)))))
+
+
+SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_p double, value double, log_inclusion double"
 
 
 def sample_documents(
@@ -391,7 +396,7 @@ def sample_documents(
     """``samples`` distinct segmentations of every whole text, best perturbed value first; fewer if there are no more.
 
     Columns: ``doc_id, sample, n_pieces, ids_crc32`` (of little-endian unsigned 32-bit ids), ``log_p, value``
-    (the perturbed log probability), ``inclusion`` (the probability to be among the samples, given the threshold) and, if asked
+    (the perturbed log probability), ``log_inclusion`` (log of the probability to be among the samples, given the threshold) and, if asked
     for, ``ids``. The row key is the id; rows that share it have the same random numbers. A null or empty text has one
     segmentation, without pieces. An empty table gives no row; other columns are not read.
     """
@@ -411,7 +416,7 @@ def sample_documents(
             n = 7 if with_ids else 6
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:n + 1], types[:n], strict=True))],
-                names=["doc_id", "sample", "n_pieces", "ids_crc32", "log_p", "value", "inclusion", "ids"][:n + 1],
+                names=["doc_id", "sample", "n_pieces", "ids_crc32", "log_p", "value", "log_inclusion", "ids"][:n + 1],
             )
 
     keyed = texts(docs, text, doc_id).withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))

@@ -22,7 +22,7 @@ def test_every_sample_spells_its_text():
     found = {}
     for row, number, ids, log_p, value, inclusion in s.sample_batch(texts, np.arange(len(texts)), PATH, 3, 0.5):
         assert MODEL.decode(ids.tolist()) == spelled(texts[row])
-        assert log_p <= 1e-6 and 0 < inclusion <= 1
+        assert log_p <= 1e-6 and -np.inf < inclusion <= 0
         found.setdefault(row, []).append((value, tuple(ids.tolist())))
     assert len(found) == len(texts)
     for samples in found.values():
@@ -38,7 +38,7 @@ def test_samples_follow_the_distribution_without_replacement():
         log_p[path] = p
         first[path] += number == 1
         among[path] += 1
-        weights[path] += 1 / inclusion
+        weights[path] += math.exp(-inclusion)
     share = {k: math.exp(v) for k, v in log_p.items()}
     assert sum(share.values()) == pytest.approx(1, abs=1e-3)
     best = sorted(share, key=share.get, reverse=True)
