@@ -10,7 +10,7 @@ from bindings.registry import query
 from bindings.views import AGE, AS_OF, PLACE_PARTS, cap_sql, ctes
 from cohortlens import functions as fn
 from cohortlens import operators as op
-from cohortlens.sources import literal_frame, staged
+from cohortlens.sources import literal_frame
 
 
 def _r(c, digits=6, name=None):
@@ -162,15 +162,12 @@ def _(v):
 
 @query("filter_tuple_set", """SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
     WHERE (o_orderstatus, o_orderpriority) IN (SELECT o_orderstatus, o_orderpriority FROM orders
-    GROUP BY 1, 2 HAVING max(o_totalprice) >= 499000)""")
+    GROUP BY 1, 2 HAVING count(*) < (SELECT count(*) FROM orders) / 15)""")
 def _(v):
     orders = v.table("orders")
-    tuples = orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.max("o_totalprice").alias("top")).filter(
-        F.col("top") >= 499000
-    )
-    return op.include_tuples(
-        orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), tuples.drop("top")
-    )
+    counts = op.count_by(orders, "o_orderstatus", "o_orderpriority", name="n")
+    rare = counts.filter(F.col("n") < orders.agg(F.count(F.lit(1))).scalar() / 15)  # there are 15 combinations
+    return op.include_tuples(orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), rare.drop("n"))
 
 
 @query("filter_level_members", """SELECT c_custkey, c_nationkey, c_mktsegment FROM customer
@@ -201,18 +198,17 @@ def _(v):
 def _(v):
     parts = v.table("part").filter(F.col("p_type") == "ECONOMY").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     items = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return op.skew_join(items, parts, "l_partkey", salt_on=["l_orderkey", "l_linenumber"]).drop("l_partkey")
+    return op.skew_join(items, parts, "l_partkey").drop("l_partkey")
 
 
 @query("join_composite_key", """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, items FROM lineitem JOIN
-    (SELECT l_returnflag, l_linestatus, count(*) AS items FROM lineitem WHERE l_quantity > 49 GROUP BY 1, 2)
-    USING (l_returnflag, l_linestatus) WHERE l_quantity <= 2""")
+    (SELECT l_returnflag, l_linestatus, count(*) AS items FROM lineitem GROUP BY 1, 2)
+    USING (l_returnflag, l_linestatus)""")
 def _(v):
     items = v.table("lineitem")
-    groups = op.count_by(items.filter(F.col("l_quantity") > 49), "l_returnflag", "l_linestatus", name="items")
-    small = items.filter(F.col("l_quantity") <= 2)
+    groups = op.count_by(items, "l_returnflag", "l_linestatus", name="items")
     return op.restrict_to(
-        small.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), groups,
+        items.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), groups,
         ["l_returnflag", "l_linestatus"],
     )
 
@@ -224,7 +220,7 @@ def _(v):
         F.col("concept_id").alias("l_partkey"), "name"
     )
     items = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return op.skew_join(items, names, "l_partkey", "left", salt_on=["l_orderkey", "l_linenumber"]).drop("l_partkey")
+    return op.skew_join(items, names, "l_partkey", "left").drop("l_partkey")
 
 
 @query("join_parent_child", """SELECT l_orderkey AS obs_group_id, l_linenumber AS line, l_partkey AS value_coded,
@@ -233,7 +229,7 @@ def _(v):
 def _(v):
     parents = v.group_rows().filter(F.col("concept_id").isin("1-URGENT", "2-HIGH", "3-MEDIUM")).drop("concept_id")
     children = v.coded_obs().select("obs_group_id", "line", "value_coded")
-    return op.group_parent_join(children, parents, salt_on=["value_coded", "line"])
+    return op.group_parent_join(children, parents)
 
 
 @query("join_semi_membership", """SELECT event_id, user_id, value FROM events WHERE event_type = 'click'
@@ -242,7 +238,7 @@ def _(v):
     events = v.table("events")
     positive = events.filter((F.col("event_type") == "error") & (F.col("value") > 200))
     clicks = events.filter(F.col("event_type") == "click").select("event_id", "user_id", "value")
-    return op.semi_join(clicks, positive, "user_id", salt_on=["event_id"])
+    return op.semi_join(clicks, positive, "user_id")
 
 
 @query("restrict_to_top", """SELECT c_custkey, c_nationkey, customers FROM customer JOIN (SELECT * FROM
@@ -263,7 +259,7 @@ def _(v):
     events = v.table("events")
     low = events.filter((F.col("event_type") == "error") & (F.col("value") <= 11))
     purchases = events.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "value")
-    paired = op.pair_measures(purchases, low, on="user_id", value="value", salt_on=["event_id"])
+    paired = op.pair_measures(purchases, low, on="user_id", value="value")
     return paired.withColumn("partner_mean", F.round("partner_mean", 6))
 
 
@@ -275,7 +271,7 @@ def _(v):
     owners = v.group_rows().select(F.col("obs_id").alias("obs_group_id"), "person_id")
     homes = v.home().select("person_id", "state_province", "city_village")
     items = v.coded_obs().select("obs_group_id", "line", "value_coded", "value_numeric")
-    owned = op.skew_join(items, owners, "obs_group_id", salt_on=["value_coded", "line"])
+    owned = op.skew_join(items, owners, "obs_group_id")
     # Summed per (person, code) before the dimension joins: a frequent person or code is a few rows by then.
     cells = owned.groupBy("person_id", "value_coded").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value_numeric").alias("q")
@@ -292,18 +288,7 @@ def _(v):
 def _(v):
     cohort = v.table("orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("user_id"))
     events = v.table("events").select("event_id", "user_id", "event_type", "value")
-    return op.cohort_join(events, cohort, "user_id", salt_on=["event_id"])
-
-
-@query("level_grid", """SELECT n_name, c_mktsegment, o_orderstatus FROM (SELECT DISTINCT n_name FROM nation
-    JOIN customer ON n_nationkey = c_nationkey), (SELECT DISTINCT c_mktsegment FROM customer),
-    (SELECT DISTINCT o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey)""")
-def _(v):
-    orders = v.table("orders").select("o_custkey", "o_orderstatus").distinct()
-    homes = v.home().select(F.col("person_id").alias("o_custkey"), F.col("city_village").alias("n_name"))
-    people = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    rows = people.join(homes, "o_custkey").join(orders, "o_custkey", "left")
-    return op.level_grid(rows.filter(F.col("o_orderstatus").isNotNull()), ["n_name", "c_mktsegment", "o_orderstatus"])
+    return op.cohort_join(events, cohort, "user_id")
 
 
 # ---- aggregates
@@ -406,6 +391,21 @@ def _(v):
     return op.add_rank(op.count_by(v.table("lineitem"), "l_partkey"), "count")
 
 
+@query("rank_dense_nan", """SELECT event_id, v, CASE WHEN v IS NOT NULL THEN
+    CAST(dense_rank() OVER (ORDER BY v DESC NULLS LAST) AS INTEGER) END AS inv_rank FROM
+    (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 11 = 0 THEN NULL
+    ELSE value END AS v FROM events)""")
+def _(v):
+    odd = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(None))
+    return op.add_rank(v.table("events").select("event_id", odd.otherwise(F.col("value")).alias("v")), "v")
+
+
+@query("rank_dense_dates", """SELECT o_orderkey, o_orderdate,
+    CAST(dense_rank() OVER (ORDER BY o_orderdate DESC) AS INTEGER) AS inv_rank FROM orders""")
+def _(v):
+    return op.add_rank(v.table("orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
+
+
 @query("rank_dense_within", """SELECT l_returnflag, l_partkey, count(*) AS count, CAST(dense_rank() OVER
     (PARTITION BY l_returnflag ORDER BY count(*) DESC) AS INTEGER) AS rank FROM lineitem GROUP BY 1, 2""")
 def _(v):
@@ -415,17 +415,13 @@ def _(v):
 
 @query("topn_global", """SELECT p_name, diag_count, inv_rank FROM (SELECT p_name, count(*) AS diag_count,
     CAST(dense_rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS inv_rank,
-    rank() OVER (ORDER BY count(*) DESC) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'F' GROUP BY 1) WHERE r <= 10""")
+    rank() OVER (ORDER BY count(*) DESC) AS r FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) WHERE r <= 10""")
 def topn_global(v):
-    items = v.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    orders = v.table("orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
-    kept = op.skew_join(items, orders, "l_orderkey", "left_semi", salt_on=["l_partkey", "l_linenumber"])
     # One row per part before the names come in: no join sees a frequent part more than once.
-    per_part = op.count_by(kept, "l_partkey", name="n")
+    per_part = op.count_by(v.table("lineitem"), "l_partkey", name="n")
     names = v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     counts = op.count_by(per_part.join(names, "l_partkey"), "p_name", weight="n", name="diag_count")
-    return op.top_n(staged(counts), 10, "diag_count", rank="inv_rank")
+    return op.top_n(counts, 10, "diag_count", rank="inv_rank")
 
 
 @query("topn_within", """SELECT l_returnflag, l_suppkey, items, rank FROM (SELECT l_returnflag, l_suppkey,
@@ -443,7 +439,6 @@ def _(v):
     per_part = op.count_by(v.table("lineitem"), "l_partkey", "l_returnflag", name="n")
     names = v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     parts = op.count_by(per_part.join(names, "l_partkey"), "p_name", "l_returnflag", weight="n", name="part_items")
-    parts = staged(parts)
     totals = parts.groupBy("p_name").agg(F.sum("part_items").alias("items"))
     return op.share_of_parent(parts, totals, ["p_name"], "part_items", "items").drop("items")
 

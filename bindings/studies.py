@@ -130,6 +130,30 @@ def _(v):
     return _rounded(_rounded(out, "slope", "intercept", "mean_x", "residual_se", digits=3), "sxx", digits=2)
 
 
+# 97.5 % points of Student's t distribution for 1 to 4 degrees of freedom, from a printed table.
+_T_SMALL = "(VALUES (1, 12.706205e0), (2, 4.302653e0), (3, 3.182446e0), (4, 2.776445e0)) k(dof, t)"
+
+
+@query("linear_band_small", f"""WITH p AS (SELECT o_custkey, o_totalprice AS y,
+    CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x FROM orders),
+    t AS (SELECT o_custkey, count(*) AS n, avg(x) AS mx, avg(y) AS my, min(x) AS lo, max(x) AS hi, count(*) - 2 AS dof
+    FROM p GROUP BY 1 HAVING count(*) BETWEEN 3 AND 6 AND min(x) < max(x)),
+    c AS (SELECT o_custkey, sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS slope
+    FROM p JOIN t USING (o_custkey) GROUP BY 1),
+    r AS (SELECT o_custkey, sqrt(sum(pow(y - my - slope * (x - mx), 2)) / any_value(dof)) AS s
+    FROM p JOIN t USING (o_custkey) JOIN c USING (o_custkey) GROUP BY 1)
+    SELECT o_custkey, step, dof, round(my + slope * (lo + (hi - lo) * step / 2 - mx), 2) AS fit,
+    round(my + slope * (lo + (hi - lo) * step / 2 - mx) - k.t * s * sqrt(1e0 / n + pow(lo + (hi - lo) * step / 2 - mx, 2) / sxx), 2) AS lower
+    FROM t JOIN c USING (o_custkey) JOIN r USING (o_custkey) JOIN {_T_SMALL} USING (dof), (VALUES (0), (1), (2)) g(step)""")
+def _(v):
+    day = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    orders = v.table("orders").select("o_custkey", "o_totalprice", day.cast("double").alias("day"))
+    few = orders.groupBy("o_custkey").agg(F.count("*").alias("_n"), F.min("day").alias("_lo"), F.max("day").alias("_hi"))
+    few = few.filter(F.col("_n").between(3, 6) & (F.col("_lo") < F.col("_hi"))).select("o_custkey")
+    out = op.linear_band(op.semi_join(orders, few, "o_custkey"), "o_totalprice", "day", ["o_custkey"], points=3)
+    return _rounded(out.select("o_custkey", "step", "dof", "fit", "lower"), "fit", "lower", digits=2)
+
+
 _Z = 1.959964
 _T = (
     f"({_Z} + {(_Z**3 + _Z) / 4!r} / dof + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / pow(dof, 2) "
@@ -313,7 +337,7 @@ def _(v):
 def _(v):
     codes = v.table("part").filter(F.col("p_name") == DISEASE).select(F.col("p_partkey").alias("value_coded"))
     obs = v.coded_obs().filter(F.col("voided") == 0)
-    return diagnosis.month_year_counts(op.semi_join(obs, codes, "value_coded", salt_on=["obs_group_id", "line"]))
+    return diagnosis.month_year_counts(op.semi_join(obs, codes, "value_coded"))
 
 
 @query("code_trend_coded", """SELECT CAST(month(l_shipdate) AS INTEGER) AS obs_month,

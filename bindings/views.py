@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import cap_words
 from cohortlens.operators import skew_join, union_all
-from cohortlens.operators.joins import bytes_together
 from cohortlens.plans import StudyCodes, StudyTables
 from cohortlens.sources import TableSource, literal_frame, read_table
 
@@ -87,8 +86,7 @@ class Views:
         orders = self.table("orders").select(
             F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("date_created")
         )
-        size = bytes_together(self.table("customer"), self.table("nation"))
-        return skew_join(orders, self.address(), "person_id", salt_on=["date_created"], right_bytes=size)
+        return skew_join(orders, self.address(), "person_id")
 
     def group_rows(self) -> DataFrame:
         return self.table("orders").select(
@@ -165,16 +163,15 @@ class Views:
     def diagnosis_by_group(self) -> StudyTables:
         return StudyTables(
             person=self.person(), person_address=self.address(), obs=self.coded_obs(), obs_group=self.group_rows(),
-            concept=self.concept(), concept_name=self.concept_name(), salt_on=("value_coded", "line"),
+            concept=self.concept(), concept_name=self.concept_name(),
         )
 
     def diagnosis_by_class(self) -> StudyTables:
         owners = self.group_rows().select(F.col("obs_id").alias("obs_group_id"), "person_id")
-        salt = ("value_coded", "line")
-        owned = skew_join(self.coded_obs(), owners, "obs_group_id", salt_on=salt)
+        owned = skew_join(self.coded_obs(), owners, "obs_group_id")
         return StudyTables(
             person=self.person(), person_address=self.address(), obs=owned, concept=self.concept(),
-            concept_name=self.concept_name(), salt_on=("obs_group_id", "line"),
+            concept_name=self.concept_name(),
         )
 
     def enrolments(self) -> StudyTables:

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_INLINE_CORRECTIONS = 500
-
 
 def cap_words(c: Column | str) -> Column:
     """Upper-case the first character of every space-separated word and keep the rest as it is.
@@ -27,16 +25,13 @@ def cap_words(c: Column | str) -> Column:
 def correct_values(c: Column | str, mapping: Mapping[str, str]) -> Column:
     """Replace known misspellings and pass every other value through.
 
-    The map is an inline literal, so it is limited to a few hundred entries; use
-    ``operators.geo.correct_column`` with a table for more.
+    The map becomes one literal of the plan, of any size; ``operators.geo.correct_column`` takes a table instead.
     """
     column = F.col(c) if isinstance(c, str) else c
     if not mapping:
         return column
-    if len(mapping) > MAX_INLINE_CORRECTIONS:
-        raise ValueError(f"more than {MAX_INLINE_CORRECTIONS} corrections: join a corrections table instead")
-    entries = [F.lit(part) for pair in mapping.items() for part in pair]
-    return F.coalesce(F.create_map(*entries)[column], column)
+    known = F.map_from_arrays(F.lit(list(mapping)), F.lit(list(mapping.values())))
+    return F.coalesce(known[column], column)
 
 
 def joined_address(name: Column | str, parts: Sequence[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.text import correct_values
-from cohortlens.operators.joins import measured, skew_join
+from cohortlens.operators.joins import skew_join
 from cohortlens.operators.ranking import first_per_key
 
 
@@ -25,7 +25,7 @@ def correct_column(df: DataFrame, column: str, corrections: Mapping[str, str] |
         .otherwise(F.raise_error(F.concat(F.lit("several corrections for "), F.first("wrong"))))
         .alias("_right")
     )
-    joined = skew_join(df, measured(checked), column, "left")
+    joined = skew_join(df, checked, column, "left", aggregated=True)
     return joined.withColumn(column, F.coalesce("_right", column)).drop("_right").select(*df.columns)
 
 
@@ -42,7 +42,6 @@ def geocode(
     on: str,
     country: str | None = None,
     order: Sequence[str | Column] = (),
-    salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``lon`` and ``lat`` of the place named in column ``on``.
 
@@ -53,14 +52,12 @@ def geocode(
     keyed = entries.withColumn("_place", place_key("name")).filter(F.col("_place").isNotNull())
     hits = first_per_key(keyed, ["_place"], order).select("_place", "lon", "lat")
     placed = df.withColumn("_place", place_key(on))
-    return skew_join(placed, measured(hits), "_place", "left", salt_on=salt_on).drop("_place")
+    return skew_join(placed, hits, "_place", "left", aggregated=True).drop("_place")
 
 
-def attach_coords(
-    df: DataFrame, places: DataFrame, on: str, salt_on: Sequence[str] | None = None
-) -> DataFrame:
+def attach_coords(df: DataFrame, places: DataFrame, on: str) -> DataFrame:
     """Rows whose place is in ``places``, with its columns. One place may hold a large part of the rows."""
-    return skew_join(df, places, on, salt_on=salt_on)
+    return skew_join(df, places, on)
 
 
 def round_coords(df: DataFrame, lon: str = "lon", lat: str = "lat", digits: int = 4) -> DataFrame:

@@ -3,17 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.sources.materialize import staged
-
-# Left sides up to this size are searched for hot keys completely, larger ones by this share of their rows.
-PROBE_ALL_BELOW = 256 * 1024 * 1024
-PROBE_SHARE = 0.01
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -29,98 +22,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{c}" for c in on])
 
 
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's automatic broadcast limit in bytes, -1 when broadcasts are off."""
-    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def bytes_together(*dimensions: DataFrame) -> int:
-    """Size bound of dimensions joined on keys that are unique in each: no more rows than the largest has."""
-    return sum(estimated_bytes(d) for d in dimensions)
-
-
-def measured(right: DataFrame) -> DataFrame:
-    """A derived join side whose size the planner can trust.
-
-    Estimates of joins and aggregates are far too high, and a small side taken for large costs a shuffle of the
-    large one. When the estimate exceeds the broadcast limit the side is computed once and written as a table,
-    so that the join is planned on its true size.
-    """
-    return right if estimated_bytes(right) <= broadcast_limit(right) else staged(right)
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.02) -> list[tuple]:
-    """The key values that hold more than ``share`` of the rows: at most ``1 / share`` of them. Runs a job.
-
-    Reads only the key columns, and only a small part of the rows when there are many.
-    """
-    keys = df.select(*on)
-    if estimated_bytes(keys) > PROBE_ALL_BELOW:
-        keys = keys.sample(fraction=PROBE_SHARE, seed=0)
-    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return [tuple(r) for r in counts.filter(F.col("_n") > total * share).select(*on).collect()]
-
-
-def _is_one_of(df: DataFrame, on: Sequence[str], keys: Sequence[tuple]) -> Column:
-    """Whether the key of a row of ``df`` is in a short list; NULL equals NULL."""
-    return reduce(
-        or_,
-        [
-            reduce(and_, [
-                F.col(c).eqNullSafe(F.lit(v).cast(df.schema[c].dataType)) for c, v in zip(on, key, strict=True)
-            ])
-            for key in keys
-        ],
-    )
-
-
 def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str] | str,
-    how: str = "inner",
-    *,
-    salt_on: Sequence[str] | None = None,
-    salts: int = 32,
-    hot_share: float = 0.02,
-    right_bytes: int | None = None,
-    probe: DataFrame | None = None,
+    left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner", *, aggregated: bool = False
 ) -> DataFrame:
     """Join a large ``left`` whose keys may be skewed with a ``right`` that has few rows per key.
 
-    When Catalyst's size estimate of ``right`` is within the session's broadcast limit this is a plain
-    join, which Catalyst broadcasts. Otherwise the keys that hold more than ``hot_share`` of the left rows are
-    looked for (a small job, see ``hot_keys``). Without such keys this is a plain join. With them, their left
-    rows are spread over ``salts`` partitions and only their right rows are copied. Salts come from a hash of
-    ``salt_on`` (default: all left columns), never from a random number, so a recomputed task sends every row to
-    the same place. The list of hot keys is a constant of the plan, so both sides agree on it; a key that was
-    missed or wrongly listed changes where rows are joined, never the result.
+    One lazy join at every size. What is broadcast and what is split is decided at run time on measured sizes: adaptive
+    execution broadcasts a side that proves small, and cuts a partition that a hot key has filled into tasks of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` each, every one joined with that partition's right rows.
+    It can do so for joins that keep or filter left rows, so others are refused. ``session.RECOMMENDED`` turns the split on
+    also where a later step has to shuffle again for it.
 
-    Catalyst's estimate of a joined ``right`` is the product of its inputs. ``right_bytes`` gives a bound that is
-    known to hold instead, such as ``bytes_together`` for dimensions joined on unique keys. ``probe`` names
-    the frame to look for hot keys in when ``left`` is itself a join of it, so that the search stays a scan.
+    A ``right`` that was just aggregated by the key is joined where the aggregate left it, without a shuffle of its own,
+    and such a join is never split. ``aggregated`` compares the keys as one value, for which both sides are
+    shuffled; the aggregate is the small side, so that costs little.
     """
-    on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join keeps or filters left rows; {how!r} is not supported")
-    limit = broadcast_limit(left)
-    if limit > 0 and (estimated_bytes(right) if right_bytes is None else right_bytes) <= limit:
-        return left.join(right if right_bytes is None else F.broadcast(right), on, how)
-
-    hot = hot_keys(left if probe is None else probe, on, hot_share)
-    if not hot:
+    on = [on] if isinstance(on, str) else list(on)
+    if not aggregated:
         return left.join(right, on, how)
-    spread = F.pmod(F.xxhash64(*(salt_on or left.columns)), F.lit(salts)).cast("int")
-    last_copy = F.when(_is_one_of(right, on, hot), F.lit(salts - 1)).otherwise(F.lit(0))
-    salted_left = left.withColumn("_salt", F.when(_is_one_of(left, on, hot), spread).otherwise(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last_copy)))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    key = F.struct(*[F.col(c).cast(left.schema[c].dataType).alias(c) for c in on])
+    known = right.dropna(subset=on).select(key.alias("_key"), *[c for c in right.columns if c not in on])
+    return left.withColumn("_key", key).join(known, "_key", how).drop("_key")
 
 
 def suffix_join(
@@ -144,39 +68,32 @@ def group_parent_join(
     *,
     child_key: str = "obs_group_id",
     parent_key: str = "obs_id",
-    salt_on: Sequence[str] | None = None,
-    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Observation rows with the group row they belong to; rows without a group row are dropped.
 
     Columns of the parent that the child also has are taken from the child. One group may hold a large part
-    of all observations, which ``skew_join`` spreads.
+    of all observations; see ``skew_join``.
     """
     extra = [c for c in parent.columns if c != parent_key and c not in child.columns]
     parents = parent.select(F.col(parent_key).alias(child_key), *extra)
-    return skew_join(child, parents, child_key, salt_on=salt_on, probe=probe)
+    return skew_join(child, parents, child_key)
 
 
-def semi_join(
-    df: DataFrame, keys: DataFrame, on: Sequence[str] | str, salt_on: Sequence[str] | None = None,
-    probe: DataFrame | None = None,
-) -> DataFrame:
+def semi_join(df: DataFrame, keys: DataFrame, on: Sequence[str] | str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys``; never multiplies rows."""
     on = [on] if isinstance(on, str) else list(on)
-    return skew_join(df, measured(keys.select(*on).distinct()), on, "left_semi", salt_on=salt_on, probe=probe)
+    return skew_join(df, keys.select(*on).distinct(), on, "left_semi", aggregated=True)
 
 
 def restrict_to(
-    df: DataFrame, selection: DataFrame, on: Sequence[str] | str, null_safe: bool = False,
-    salt_on: Sequence[str] | None = None,
+    df: DataFrame, selection: DataFrame, on: Sequence[str] | str, null_safe: bool = False
 ) -> DataFrame:
     """Facts whose key is in an earlier result, together with the columns of that result.
 
     NULL keys match nothing, as in SQL; ``null_safe=True`` lets NULL match NULL.
     """
     on = [on] if isinstance(on, str) else list(on)
-    chosen = measured(selection)
-    return null_safe_join(df, chosen, on) if null_safe else skew_join(df, chosen, on, salt_on=salt_on)
+    return null_safe_join(df, selection, on) if null_safe else skew_join(df, selection, on, aggregated=True)
 
 
 def cohort_join(
@@ -187,8 +104,6 @@ def cohort_join(
     carry: Sequence[str] = (),
     fan_out: bool = False,
     distinct_cohort: bool = False,
-    salt_on: Sequence[str] | None = None,
-    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Events of the persons of a cohort.
 
@@ -199,7 +114,7 @@ def cohort_join(
     members = cohort.groupBy(on, *carry).agg(F.count(F.lit(1)).alias("cohort_rows"))
     if distinct_cohort:
         members = members.withColumn("cohort_rows", F.lit(1).cast("long"))
-    joined = skew_join(events, measured(members), on, salt_on=salt_on, probe=probe)
+    joined = skew_join(events, members, on, aggregated=True)
     if not fan_out:
         return joined
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("cohort_rows")))).drop(
@@ -214,7 +129,6 @@ def pair_measures(
     on: str = "person_id",
     value: str = "value_numeric",
     weight: str | None = None,
-    salt_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows of one test next to what the same person's rows of a second test say.
 
@@ -232,12 +146,12 @@ def pair_measures(
             F.sum(F.col(value) * copies), F.sum(F.when(F.col(value).isNotNull(), copies))
         ).alias("partner_mean"),
     )
-    return skew_join(first, measured(partners), on, salt_on=salt_on)
+    return skew_join(first, partners, on, aggregated=True)
 
 
 def include_tuples(df: DataFrame, tuples: DataFrame) -> DataFrame:
     """Rows whose combination of values occurs in ``tuples`` (matched on all of its columns)."""
-    return null_safe_join(df, measured(tuples.distinct()), tuples.columns, how="left_semi")
+    return null_safe_join(df, tuples.distinct(), tuples.columns, how="left_semi")
 
 
 def include_levels(df: DataFrame, levels: Mapping[str, DataFrame]) -> DataFrame:
@@ -247,31 +161,5 @@ def include_levels(df: DataFrame, levels: Mapping[str, DataFrame]) -> DataFrame:
     """
     out = df
     for column, members in levels.items():
-        out = null_safe_join(out, measured(members.select(column).distinct()), [column], how="left_semi")
+        out = null_safe_join(out, members.select(column).distinct(), [column], how="left_semi")
     return out
-
-
-def level_grid(df: DataFrame, columns: Sequence[str], max_levels: int = 10_000) -> DataFrame:
-    """Every combination of the levels of a few dimensions.
-
-    The first dimension stays a distributed distinct list. Each further one becomes a list of at most
-    ``max_levels`` values, which every row is expanded by; a dimension with more levels raises an error.
-    """
-    first, *others = columns
-    grid = df.select(first).distinct()
-    for column in others:
-        levels = df.select(column).distinct().limit(max_levels + 1).agg(
-            F.collect_list(F.struct(column)).alias("levels")
-        )
-        bounded = levels.select(
-            F.when(F.size("levels") <= max_levels, F.col("levels")).otherwise(
-                F.raise_error(F.lit(f"{column} has more than {max_levels} levels"))
-            )
-        )
-        grid = (
-            grid.withColumn("_levels", bounded.scalar())
-            .withColumn("_level", F.explode("_levels"))
-            .withColumn(column, F.col(f"_level.{column}"))
-            .drop("_levels", "_level")
-        )
-    return grid

@@ -7,17 +7,18 @@ from every input partition.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.operators.joins import measured, null_safe_join, skew_join
+from cohortlens.operators.joins import null_safe_join, skew_join
 from cohortlens.sources.materialize import staged
 
 SAMPLES_PER_CHUNK = 8
-MIN_CHUNKS, MAX_CHUNKS = 8, 512
+MIN_CHUNKS = 8
 
 
 def _settled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,24 +37,31 @@ def ordered_positions(
     within: Sequence[str] = (),
     weight: str | None = None,
     chunks: int | None = None,
+    settle: bool = False,
+    with_distinct: bool = False,
 ) -> DataFrame:
     """The distinct ``keys`` of every group in ascending order, with their place in that order.
 
     Adds ``n`` (rows, or summed ``weight``), ``n_before`` (rows of the group with smaller keys),
-    ``n_total`` (rows of the group) and ``position`` (1, 2, ... over the distinct keys).
+    ``n_total`` (rows of the group) and ``position`` (1, 2, ... over the distinct keys); ``with_distinct`` adds
+    ``n_distinct``, the last position of the group.
 
     A window over a whole group would sort that group in one task. Here the distinct keys are cut into
-    ``chunks`` ranges (default: the session's shuffle partitions, within limits) by splitters taken from a
-    fixed-size hash sample of them; each range is ordered on its own and shifted by the totals of the ranges
+    ``chunks`` ranges (default: the session's shuffle partitions, which are set to suit the data) by splitters taken from
+    a hash sample of them; each range is ordered on its own and shifted by the totals of the ranges
     before it. The sample only decides where the cuts are, so
     the positions are exact, and it is chosen by hash, so a repeated task makes the same cuts.
+
+    Keys must come out the same when they are computed again. Columns of a table do, also rounded or cast;
+    ``settle`` is for floating-point aggregates, which are written as a table first.
     """
     within, keys = list(within), list(keys)
     if chunks is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = min(max(partitions, MIN_CHUNKS), MAX_CHUNKS)
+        chunks = max(partitions, MIN_CHUNKS)
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    distinct = _settled(df.groupBy(*within, *keys).agg(measure.alias("n")), [*within, *keys])
+    distinct = df.groupBy(*within, *keys).agg(measure.alias("n"))
+    distinct = _settled(distinct, [*within, *keys]) if settle else distinct
 
     # Reads the same columns as the main branch, so both share one shuffle.
     sample = (
@@ -69,7 +77,7 @@ def ordered_positions(
     cut = (
         distinct.withColumn("_splitters", thinned.scalar())
         .withColumn("_key", F.struct(*keys))
-        .withColumn("_chunk", F.size(F.filter("_splitters.k", lambda s: s < F.col("_key"))))
+        .withColumn("_chunk", _place_among("_splitters.k", "_key", chunks))
         .drop("_splitters", "_key")
     )
 
@@ -82,6 +90,7 @@ def ordered_positions(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_offset"),
         F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d_offset"),
         F.sum("_n").over(Window.partitionBy(*within)).alias("n_total"),
+        F.sum("_d").over(Window.partitionBy(*within)).alias("n_distinct"),
     )
     placed = null_safe_join(cut, offsets, [*within, "_chunk"])
     in_chunk = Window.partitionBy(*within, "_chunk").orderBy(*keys)
@@ -93,23 +102,33 @@ def ordered_positions(
         (F.col("_n_offset") + F.sum("n").over(running) - F.col("n")).alias("n_before"),
         "n_total",
         (F.col("_d_offset") + F.row_number().over(in_chunk)).alias("position"),
+        *(["n_distinct"] if with_distinct else []),
     )
 
 
+def _place_among(splitters: str, key: str, chunks: int) -> Column:
+    """How many of the sorted splitters lie below the key: first among every k-th, then among the k after it."""
+    step = max(1, math.isqrt(chunks))
+    below = lambda s: s < F.col(key)
+    every = F.filter(splitters, lambda _, i: i % step == step - 1)
+    skipped = F.size(F.filter(every, below)) * step
+    return skipped + F.size(F.filter(F.slice(splitters, skipped + 1, F.lit(step)), below))
+
+
 def add_rank(
     df: DataFrame, by: str, within: Sequence[str] = (), name: str = "inv_rank", descending: bool = True
 ) -> DataFrame:
-    """Add the dense rank of ``by``, over the whole result or inside groups. Rows with a NULL ``by`` get NULL."""
+    """Add the dense rank of ``by``, over the whole result or inside groups. Rows with a NULL ``by`` get NULL.
+
+    ``by`` may have any type that can be ordered; NaN is higher than every number, as in ``top_n``.
+    """
     within = list(within)
     df = _settled(df, [*within, by])
-    ordered = df.filter(F.col(by).isNotNull()).select(
-        *within, by, (-F.col(by) if descending else F.col(by)).alias("_order")
-    )
-    ranks = ordered_positions(ordered, ["_order"], within).select(
-        *within,
-        (-F.col("_order") if descending else F.col("_order")).alias(by),
-        F.col("position").cast("int").alias(name),
-    )
+    present = df.filter(F.col(by).isNotNull()).select(*within, F.col(by).alias("_by"))
+    from_below = F.col("position")
+    place = F.col("n_distinct") - from_below + 1 if descending else from_below
+    placed = ordered_positions(present, ["_by"], within, with_distinct=True)
+    ranks = placed.select(*within, F.col("_by").alias(by), place.cast("int").alias(name))
     return null_safe_join(df, ranks, [*within, by], how="left").select(*df.columns, name)
 
 
@@ -195,7 +214,7 @@ def sort_desc(df: DataFrame, by: str, *then: str) -> DataFrame:
 def category_order(df: DataFrame, category: str, measure: str, name: str = "category_order") -> DataFrame:
     """Categories ordered by descending mean of a measure, ties by category name; adds the place 1, 2, ..."""
     means = df.groupBy(category).agg(F.avg(-F.col(measure)).alias("_score"))
-    placed = ordered_positions(means, ["_score", category])
+    placed = ordered_positions(means, ["_score", category], settle=True)
     return placed.select(
         category, (-F.col("_score")).alias("mean_measure"), F.col("position").cast("int").alias(name)
     )
@@ -205,4 +224,4 @@ def level_codes(df: DataFrame, column: str, name: str = "level_code") -> DataFra
     """Add the place of a value among the sorted distinct values of its column; NULL stays NULL."""
     levels = ordered_positions(df.filter(F.col(column).isNotNull()).select(column), [column])
     codes = levels.select(column, F.col("position").cast("int").alias(name))
-    return skew_join(df, measured(codes), column, "left").select(*df.columns, name)
+    return skew_join(df, codes, column, "left", aggregated=True).select(*df.columns, name)

@@ -26,7 +26,7 @@ def _names(t: StudyTables, codes: StudyCodes, only: Sequence[str] | None) -> Dat
 
 def _of_names(coded: DataFrame, t: StudyTables, codes: StudyCodes, only: Sequence[str] | None) -> DataFrame:
     """Only the observations whose code has one of the names, so that little else is shuffled."""
-    return coded if only is None else semi_join(coded, _names(t, codes, only), "value_coded", salt_on=t.salt_on, probe=t.obs)
+    return coded if only is None else semi_join(coded, _names(t, codes, only), "value_coded")
 
 
 def _fact(
@@ -72,12 +72,10 @@ def diagnosis_fact_by_group(
     """
     children = useful_answers(t, codes) if include_voided else live(useful_answers(t, codes))
     own_person = [c for c in ("person_id",) if c in children.columns]
-    children = children.select("obs_group_id", "value_coded", *own_person, *[
-        c for c in t.salt_on if c not in ("obs_group_id", "value_coded", "person_id")
-    ])
+    children = children.select("obs_group_id", "value_coded", *own_person)
     parents = t.group_rows.filter(F.col("concept_id").isin(list(codes.group_questions)))
     parents = parents.select("obs_id", *([] if own_person else ["person_id"]))
-    linked = group_parent_join(_of_names(children, t, codes, only), parents, salt_on=t.salt_on, probe=children)
+    linked = group_parent_join(_of_names(children, t, codes, only), parents)
     return _fact(linked, t, codes, as_of, only)
 
 
@@ -144,7 +142,7 @@ def regions_by_sex(fact: DataFrame, n: int = 10, regions: int = 5, null_safe: bo
     cells = _staged_cells(fact)
     keys = top_regions_per_diagnosis(cells, n, regions, null_safe).select("diagnosis", "city_village")
     chosen = restrict_to(cells, keys, ["diagnosis", "city_village"], null_safe)
-    counts = staged(chosen.withColumnRenamed("facts", "diag_sex_region_count"))
+    counts = chosen.withColumnRenamed("facts", "diag_sex_region_count")
     return add_rank(counts, "diag_sex_region_count", within=["diagnosis", "gender"], name="reg_rank").select(
         "diagnosis", "gender", "city_village", "diag_sex_region_count", "reg_rank"
     )
@@ -153,9 +151,10 @@ def regions_by_sex(fact: DataFrame, n: int = 10, regions: int = 5, null_safe: bo
 def disease_regions(fact: DataFrame, diagnosis: str, n: int = 10, regions: int = 5) -> DataFrame:
     """Bars of one disease: facts per (village, sex), villages in drawing order."""
     cells = _staged_cells(fact)
-    keys = top_regions_per_diagnosis(cells, n, regions).select("diagnosis", "city_village")
-    chosen = restrict_to(cells, keys, ["diagnosis", "city_village"]).filter(F.col("diagnosis") == diagnosis)
-    return stacked_bar(staged(chosen), "city_village", "gender", weight="facts")
+    of_disease = F.col("diagnosis") == diagnosis
+    keys = top_regions_per_diagnosis(cells, n, regions).filter(of_disease).select("diagnosis", "city_village")
+    chosen = restrict_to(cells.filter(of_disease), keys, ["diagnosis", "city_village"])
+    return stacked_bar(chosen, "city_village", "gender", weight="facts")
 
 
 def disease_ages(
@@ -168,9 +167,8 @@ def disease_ages(
     keys = top_regions_per_diagnosis(fact, n, regions).filter(F.col("diagnosis") == diagnosis)
     return skew_join(
         fact.filter(F.col("diagnosis") == diagnosis) if rows is None else rows,
-        staged(keys.select("diagnosis", "city_village")),
+        keys.select("diagnosis", "city_village"),
         ["diagnosis", "city_village"],
-        salt_on=["person_id", "diagnosis_id"],
     )
 
 

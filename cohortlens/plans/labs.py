@@ -39,7 +39,6 @@ def cohort_lab_results(
     cohort = staged(fact.filter(F.col("diagnosis") == diagnosis).select("person_id", *carry))
     joined = cohort_join(
         lab_rows(t, codes), cohort, carry=carry, fan_out=fan_out, distinct_cohort=distinct_cohort,
-        salt_on=t.salt_on, probe=t.obs,
     )
     count = [] if fan_out else ["cohort_rows"]
     return joined.select("obs_id", "person_id", *carry, *LAB_COLUMNS, *count)
@@ -57,7 +56,7 @@ def followup_of_positive(
     """Results of a second test for the persons whose first test was positive."""
     positives = labs.filter((F.col("lab_test") == first_test) & (F.col("value_text") == positive))
     followups = labs.filter(F.col("lab_test") == second_test)
-    return semi_join(followups, positives, "person_id", salt_on=["obs_id"])
+    return semi_join(followups, positives, "person_id")
 
 
 def paired_lab_results(
@@ -69,7 +68,7 @@ def paired_lab_results(
     and mean low value stand for the single partners. ``cohort_rows`` is how often the row itself is listed.
     """
     low = labs.filter((F.col("lab_test") == low_test) & (F.col("value_numeric") <= limit))
-    paired = pair_measures(labs.filter(F.col("lab_test") == paired_test), low, weight="cohort_rows", salt_on=["obs_id"])
+    paired = pair_measures(labs.filter(F.col("lab_test") == paired_test), low, weight="cohort_rows")
     return paired.withColumn("partner_test", F.lit(low_test))
 
 

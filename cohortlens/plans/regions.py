@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.predicates import calendar_parts
 from cohortlens.functions.text import cap_words
-from cohortlens.operators.joins import bytes_together, skew_join
+from cohortlens.operators.joins import skew_join
 from cohortlens.operators.ranking import share_of_parent, share_of_total, top_n
 from cohortlens.plans.study import StudyTables, live
 from cohortlens.sources.materialize import staged
@@ -33,7 +33,7 @@ def patients_by_region(
     person once per village.
     """
     addresses = _addresses(t).filter(calendar_parts("date_created", min_year, min_month))
-    rows = skew_join(addresses, _patients(t), "person_id", salt_on=["city_village", "date_created"])
+    rows = skew_join(addresses, _patients(t), "person_id")
     if distinct_person:
         rows = rows.select(cap_words("city_village").alias("city_village"), "person_id").distinct()
     # Counted by the name as written; only the distinct spellings are capitalised and merged.
@@ -50,7 +50,6 @@ def enrolment_cells(t: StudyTables, min_year: int = MIN_YEAR, min_month: int = M
     patients = _patients(t)
     rows = skew_join(
         _addresses(t), patients.join(sexes, "person_id", "left"), "person_id",
-        salt_on=["city_village", "date_created"], right_bytes=bytes_together(patients, sexes),
     )
     return staged(
         rows.groupBy(

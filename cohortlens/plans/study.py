@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.predicates import any_present, none_of
-from cohortlens.operators.joins import measured, skew_join
+from cohortlens.operators.joins import skew_join
 
 
 @dataclass(frozen=True)
@@ -19,8 +19,7 @@ class StudyTables:
 
     ``obs`` holds observations: a question (``concept_id``), one answer (``value_coded``, ``value_numeric``
     or ``value_text``) and the group row it belongs to (``obs_group_id``). ``obs_group`` holds those group
-    rows and is ``obs`` itself unless they are kept apart. ``salt_on`` names columns of ``obs`` that differ
-    between observations; they spread a person, code or group that holds a large part of the rows.
+    rows and is ``obs`` itself unless they are kept apart.
     """
 
     person: DataFrame
@@ -30,7 +29,6 @@ class StudyTables:
     concept_name: DataFrame | None = None
     patient: DataFrame | None = None
     obs_group: DataFrame | None = None
-    salt_on: Sequence[str] = ("obs_id",)
 
     @property
     def group_rows(self) -> DataFrame:
@@ -70,7 +68,7 @@ def coded_in_class(t: StudyTables, codes: StudyCodes) -> DataFrame:
     answers = t.concept.filter(F.col("class_id") == codes.diagnosis_class).select(
         F.col("concept_id").alias("value_coded")
     )
-    return skew_join(t.obs, answers, "value_coded", salt_on=t.salt_on)
+    return skew_join(t.obs, answers, "value_coded")
 
 
 def useful_answers(t: StudyTables, codes: StudyCodes) -> DataFrame:
@@ -94,4 +92,4 @@ def lab_rows(
         dictionary = tests.join(labels, "concept_id", "left")
     else:
         dictionary = tests.join(labels.filter(F.col("lab_test").isin(list(names))), "concept_id")
-    return skew_join(results, measured(dictionary), "concept_id", salt_on=t.salt_on)
+    return skew_join(results, dictionary, "concept_id")

@@ -47,7 +47,7 @@ def enrolled_addresses(
     )
     if columns is not None:
         persons = persons.select("person_id", *columns)
-    joined = skew_join(addresses, persons, "person_id", salt_on=["city_village"])
+    joined = skew_join(addresses, persons, "person_id")
     return joined.withColumn("city_village", cap_words("city_village"))
 
 
@@ -95,7 +95,7 @@ def patient_map(
 ) -> DataFrame:
     """One row per enrolled address in a mapped village, with the village's rank, address and coordinates."""
     corrected = correct_column(addresses, "city_village", corrections)
-    return attach_coords(corrected, villages.drop("count"), "city_village", salt_on=["person_id"])
+    return attach_coords(corrected, villages.drop("count"), "city_village")
 
 
 def patient_map_export(patients: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Split a skewed join also where a later step must then shuffle its result again.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Naive timestamps everywhere; results must not move with the session zone.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

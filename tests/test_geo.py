@@ -94,4 +94,4 @@ def test_coordinates(spark):
 def test_attach_coords_spreads_a_large_place(no_broadcast):
     df = no_broadcast.range(1000).select("id", F.when(F.col("id") % 3 < 2, "Big").otherwise("Small").alias("place"))
     places = no_broadcast.createDataFrame([("Big", 1.0, 2.0)], "place string, lon double, lat double")
-    assert op.attach_coords(df, places, "place", salt_on=["id"]).count() == 667
+    assert op.attach_coords(df, places, "place").count() == 667

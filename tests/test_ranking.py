@@ -109,3 +109,23 @@ def test_rank_and_top_of_sums_of_doubles(spark):
     ranked = op.add_rank(df, "v").collect()
     assert sorted(r.inv_rank for r in ranked) == list(range(1, 51))
     assert op.top_n(df, 7, "v").count() == 7
+
+
+def test_rank_of_nan_dates_and_text(spark):
+    nan = spark.createDataFrame([(2.0,), (float("nan"),), (1.0,), (None,)], "v double")
+    assert {str(r.v): r.inv_rank for r in op.add_rank(nan, "v").collect()} == {"nan": 1, "2.0": 2, "1.0": 3, "None": None}
+    assert {str(r.v): r.r for r in op.add_rank(nan, "v", name="r", descending=False).collect()}["nan"] == 3
+    text = spark.createDataFrame([("a", "2020-01-02"), ("b", "2021-01-01"), ("b", "2019-01-01")], "k string, d string")
+    dated = text.withColumn("d", F.col("d").cast("date"))
+    assert rows(op.add_rank(text, "k").select("k", "inv_rank")) == [("a", 2), ("b", 1), ("b", 1)]
+    assert [r.inv_rank for r in op.add_rank(dated, "d").orderBy("d").collect()] == [3, 2, 1]
+
+
+def test_ranges_grow_with_the_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "700")
+    try:
+        df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"))
+        got = op.ordered_positions(df, ["k"]).where("position <> k + 1 OR n_before <> k").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == 0
