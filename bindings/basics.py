@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from bindings.registry import query
 from bindings.views import AGE, AS_OF, PLACE_PARTS, cap_sql, ctes
 from cohortlens import functions as fn
 from cohortlens import operators as op
-from cohortlens.sources import literal_frame
+from cohortlens.sources import literal_frame, read_csv, shared_folder, write_csv
 
 
 def _r(c, digits=6, name=None):
@@ -20,6 +21,21 @@ def _r(c, digits=6, name=None):
 # ---- sources
 
 
+def _through_csv(v, df):
+    """Written as CSV files to the shared folder and read back with the same columns."""
+    path = f"{shared_folder(v.spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(df, path)
+    return read_csv(v.spark, path, df.schema)
+
+
+@query("csv_round_trip", """SELECT p_partkey, p_name || ', "' || p_type || '"' AS label, p_size, p_retailprice,
+    CASE WHEN p_size > 25 THEN p_brand END AS brand FROM part""")
+def _(v):
+    label = F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("label")
+    brand = F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand")
+    return _through_csv(v, v.table("part").select("p_partkey", label, "p_size", "p_retailprice", brand))
+
+
 @query("scan_table", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def _(v):
     return v.table("orders")

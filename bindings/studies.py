@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from bindings.registry import query
 from bindings.views import AS_OF, CODES, PLACE_CORRECTIONS, PLACE_PARTS, ctes
 from cohortlens import operators as op
 from cohortlens.plans import diagnosis, labs, regions, villages
-from cohortlens.sources import literal_frame
+from cohortlens.sources import literal_frame, read_csv, shared_folder, write_csv
 
 DISEASE = "red widget"
 
@@ -474,6 +475,17 @@ def _(v):
     )
 
 
+@query("patient_map_file", ctes("points") + """SELECT person_id AS add_personId, gender, birthdate, date_created,
+    city_village, CAST(inv_rank AS INTEGER) AS inv_rank, address, lon, lat FROM points""")
+def _(v):
+    export = villages.patient_map_export(_points(v, ("gender", "birthdate", "date_created")))
+    path = f"{shared_folder(v.spark)}/patients-{uuid.uuid4().hex}"
+    write_csv(export, path)
+    return read_csv(v.spark, path, villages.PATIENT_MAP_SCHEMA).select(
+        "add_personId", "gender", "birthdate", "date_created", "city_village", "inv_rank", "address", "lon", "lat"
+    )
+
+
 @query("patient_map_box", ctes("points") + """SELECT min(lon) AS min_lon, max(lon) AS max_lon, min(lat) AS min_lat,
     max(lat) AS max_lat FROM points""")
 def _(v):

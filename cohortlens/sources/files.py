@@ -12,12 +12,12 @@ def read_csv(
     schema: T.StructType | str,
     *,
     null_value: str = "NA",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header row and a declared schema; no inference pass over the data.
 
-    Quoted fields may hold commas, doubled quotes and line breaks. Line breaks inside quotes make a file
-    unsplittable, so one task reads one file; pass ``multi_line=False`` for large files known to have none.
+    Quoted fields may hold commas and doubled quotes, and a large file is read by many tasks. Fields with line breaks
+    need ``multi_line=True``; a file cannot be split then, so such inputs should come as many files.
     """
     return (
         spark.read.schema(schema)

@@ -21,7 +21,7 @@ DATA = [
 def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "out")
     write_csv(spark.createDataFrame(DATA, SCHEMA), path)
-    assert rows(read_csv(spark, path, SCHEMA)) == rows(spark.createDataFrame(DATA, SCHEMA))
+    assert rows(read_csv(spark, path, SCHEMA, multi_line=True)) == rows(spark.createDataFrame(DATA, SCHEMA))
 
 
 def test_csv_written_as_text_with_header_and_na(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_csv_written_as_text_with_header_and_na(spark, tmp_path):
 
 def test_csv_by_position(spark, tmp_path):
     (tmp_path / "in.csv").write_text('unique(x$name)\n"Burn, second degree"\nGastritis\n')
-    df = read_csv(spark, str(tmp_path / "in.csv"), "diagnosis string", multi_line=False)
+    df = read_csv(spark, str(tmp_path / "in.csv"), "diagnosis string")
     assert rows(df) == [("Burn, second degree",), ("Gastritis",)]
 
 
