@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import SPACE, Chunk, chunks, find_words, hash_runs, hash_words, mix, run_starts, sums_by_row
-from cohortlens.llm.spark_util import staged, texts
+from cohortlens.llm.spark_util import bounded_sample, staged, texts
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -190,10 +190,6 @@ def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
     return (bound + float(above.min())) / 2 if len(above) else bound
 
 
-def _sample(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(n)
-
-
 def _collect(df: DataFrame) -> dict[str, np.ndarray]:
     table = df.toArrow()
     return {c: table.column(c).to_numpy() for c in table.column_names}
@@ -210,10 +206,11 @@ def quality_verdicts(
     """
     counted = staged(rule_counts(docs, text, doc_id))
     judged = counted.where(~_base_failed())
-    forest = Forest.fit(rates(_collect(_sample(judged, FIT_ROWS)))) if judged.limit(1).count() else None
+    forest = Forest.fit(rates(_collect(bounded_sample(judged, "doc_id", FIT_ROWS, *COUNTS)))) if judged.limit(1).count() else None
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("_quality"))
     known = known.where(F.col("_quality").isin(0, 1))
-    rows = _collect(_sample(judged.join(known, "doc_id"), LABELLED_ROWS)) if forest else {}
+    labelled = judged.join(known, "doc_id")
+    rows = _collect(bounded_sample(labelled, "doc_id", LABELLED_ROWS, *COUNTS, "_quality")) if forest else {}
     threshold = calibrate(forest.score(rates(rows)), rows["_quality"] == 1) if forest else np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.sources.materialize import staged
 
-__all__ = ["attach_groups", "read", "staged", "texts"]
+__all__ = ["attach_groups", "bounded_sample", "read", "staged", "texts"]
 
 #: A group with more than this share of the rows is hot; so there are at most ``1 / HOT_SHARE`` of them.
 HOT_SHARE = 0.001
@@ -22,6 +22,17 @@ def texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def bounded_sample(rows: DataFrame, key: str, n: int, *then: str) -> DataFrame:
+    """At most ``n`` rows: those whose ``key`` has the smallest hashes, ties by ``key`` and ``then``.
+
+    Rows are thinned by the same hash to about twice as many first, so that what is sorted does not grow with the table.
+    """
+    share = min(1.0, 2.0 * n / max(rows.count(), 1))
+    place = F.xxhash64(key)
+    thinned = rows if share == 1.0 else rows.where(place < F.lit(int(-(2**63) + share * 2**64)))
+    return thinned.orderBy(place, key, *then).limit(n)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Left rows with their group's columns, for groups of any size.
 

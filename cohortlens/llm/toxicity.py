@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import chunks, find_words, hash_runs, hash_words, run_starts
-from cohortlens.llm.spark_util import staged, texts
+from cohortlens.llm.spark_util import bounded_sample, staged, texts
 
 #: Labelled rows used for fitting, entries of the lexicon, and exception phrases, at most.
 FIT_ROWS = 20_000
@@ -192,7 +192,7 @@ def _log_odds(n_clean: int, n_toxic: int):
 def fit_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Fit on ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label`` of 0 or 1)."""
     # at most FIT_ROWS ids and labels, so it may be broadcast
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(FIT_ROWS)
+    chosen = bounded_sample(labels, "doc_id", FIT_ROWS, "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
