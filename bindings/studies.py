@@ -451,9 +451,31 @@ def _(v):
     return _rounded(points, "measure_value")
 
 
+@query("age_band_persons", ctes("measures") + f"""SELECT gender, count(DISTINCT person_id) AS persons,
+    count(DISTINCT person_id) FILTER ({_FIXED} < 12) AS persons_below,
+    count(DISTINCT person_id) FILTER ({_FIXED} >= 12) AS persons_at_or_above
+    FROM measures WHERE age BETWEEN 12 AND 18 GROUP BY 1""")
+def _(v):
+    return labs.age_band_persons(_measures(v))
+
+
 # ---- villages
 
 
+@query("shared_coordinates", ctes("village_geo") + """SELECT lon, lat, count(DISTINCT city_village) AS villages,
+    CAST(sum(count) AS BIGINT) AS patients FROM village_geo GROUP BY 1, 2 HAVING count(DISTINCT city_village) > 1""")
+def _(v):
+    return villages.shared_coordinates(_villages(v))
+
+
+@query("repeated_villages", ctes("place_rows") + """SELECT city_village, count(*) AS entries FROM (SELECT CASE raw_village
+    WHEN 'Hot Gizmo' THEN 'Hot Gear' WHEN 'Old Rod' THEN 'Old Ring' WHEN 'Red Plate' THEN 'Red Widget' ELSE raw_village
+    END AS city_village FROM place_rows GROUP BY raw_village HAVING count(*) >= 10) GROUP BY 1 HAVING count(*) > 1""")
+def _(v):
+    counted = villages.village_counts(_places(v, columns=()), PLACE_CORRECTIONS, correct_after=True)
+    return villages.repeated_villages(counted)
+
+
 @query("village_geo", ctes("village_geo") + "SELECT city_village, count, inv_rank, address, lon, lat FROM village_geo")
 def _(v):
     return _villages(v)

@@ -125,3 +125,18 @@ def age_band_summary(measures: DataFrame, low: float = 12, high: float = 18, cut
     counts = threshold_counts(banded, "measure_value", cut, ["gender"])
     totals = banded.groupBy("gender").agg(F.count(F.lit(1)).alias("count"))
     return totals.join(counts, "gender")
+
+
+def age_band_persons(measures: DataFrame, low: float = 12, high: float = 18, cut: float = 12.0) -> DataFrame:
+    """Persons instead of result rows: those of an age range per sex, in all and with a value on each side.
+
+    A person with values on both sides counts on both. Results are reduced to one row per person first.
+    """
+    value = F.col("measure_value")
+    persons = age_band(measures, low, high).groupBy("gender", "person_id").agg(
+        F.max((value < cut).cast("int")).alias("_below"), F.max((value >= cut).cast("int")).alias("_above")
+    )
+    return persons.groupBy("gender").agg(
+        F.count(F.lit(1)).alias("persons"), F.coalesce(F.sum("_below"), F.lit(0)).alias("persons_below"),
+        F.coalesce(F.sum("_above"), F.lit(0)).alias("persons_at_or_above"),
+    )

@@ -89,6 +89,19 @@ def village_geo(
     ))
 
 
+def shared_coordinates(villages: DataFrame, more_than: int = 1) -> DataFrame:
+    """Coordinates that more than ``more_than`` villages have, with their number and patients: a geocoder's fallback."""
+    at_point = villages.groupBy("lon", "lat").agg(
+        F.count_distinct("city_village").alias("villages"), F.sum("count").alias("patients")
+    )
+    return at_point.filter(F.col("villages") > more_than)
+
+
+def repeated_villages(villages: DataFrame) -> DataFrame:
+    """Names that a village list has more than once (``correct_after=True`` can), which would repeat patients on a map."""
+    return villages.groupBy("city_village").agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > 1)
+
+
 def patient_map(
     addresses: DataFrame, villages: DataFrame,
     corrections: Mapping[str, str] | DataFrame = VILLAGE_CORRECTIONS,

@@ -16,7 +16,8 @@ ON_LARGER = {
     "having_min_count", "filter_level_members", "density_2d", "density_bands", "patient_points", "pie_map", "disease_regions",
     "disease_ages", "disease_age_outliers", "disease_age_histogram", "cohort_labs", "important_tests",
     "followup_of_positive", "paired_lab_results", "age_band_summary", "age_band_points", "village_geo",
-    "village_counts_corrected_after", "patient_map",
+    "village_counts_corrected_after", "patient_map", "patient_map_file", "age_band_persons", "shared_coordinates",
+    "repeated_villages",
 }
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 QUERIES = {name: fn for name, fn in entry.queries().items() if name in REGISTERED}
