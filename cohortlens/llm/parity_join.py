@@ -2,9 +2,10 @@
 
 A document's shingles are hashed to the bits of a very wide sketch, and each toggles its bit, so that two sketches
 differ in no more bits than their sets do elements. Jaccard of at least 3/4 bounds that number by a seventh of both sizes
-together. The sketch is cut into bands; if at most d bits differ, all but d bands agree, and so any choice of d + 1 bands
-that both documents make in the same order has one in common. A document therefore sends the keys of its d + 1 heaviest
-bands (most shingles that are not frequent, then most shingles), and documents that share a key meet. Bands depend on
+together. The sketch is cut into bands; if at most d bits differ, all but d bands agree, and so the first d + 2 bands
+that both documents choose in the same order have two in common. A document therefore sends the keys of its d + 2 heaviest
+bands (most shingles that are not frequent, then most shingles), and documents that share two keys meet; in small size
+bands it sends d + 1 keys, and one is enough. Bands depend on
 the size band of the documents; a document near the lower end of its size band sends keys to the one below as well.
 
 Meetings become links in two rounds. Keys with many documents pair each of them with one leader. First every document
@@ -36,6 +37,8 @@ SIZE_RATIO = 16 / 9
 #: Bands per shingle of the largest set of a size band, and bands at least.
 BANDS_PER_SHINGLE = 0.6
 MIN_BANDS = 64
+#: Size bands from this one on (sets of 27 and more) need two common keys.
+TWO_KEYS_FROM = 5
 SKETCH_WORDS = 16
 #: Documents of one block that may share a key before their leader stands for them.
 LOCAL_RUN = 32
@@ -44,6 +47,8 @@ SMALL_RUN = 4
 #: Keys that one task sorts.
 BUCKET_KEYS = 1_500_000
 EMPTY = np.uint64(0xA0761D6478BD642F)
+#: This bit of a key says that it is enough for a meeting.
+ENOUGH = np.uint64(1)
 
 _lower = [1]
 while _lower[-1] < 1 << 40:
@@ -104,21 +109,28 @@ def band_keys(
         empty = empty[:wanted[i] - per_row[i]]
         out_keys.append(empty)
         out_rows.append(np.full(len(empty), i))
-    return np.concatenate(out_keys), np.concatenate(out_rows)
+    keys, rows = np.concatenate(out_keys), np.concatenate(out_rows)
+    return keys & ~ENOUGH | (_needed(size_band[rows]) == 1).astype(np.uint64), rows
+
+
+def _needed(size_band: np.ndarray) -> np.ndarray:
+    """Keys that linked documents have in common, at least, in a size band."""
+    return np.where(size_band >= TWO_KEYS_FROM, 2, 1)
 
 
 def all_keys(runs: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys that the rows send: those of their own size band, and of the one below where a partner may lie there."""
     own = np.searchsorted(SIZE_BANDS, np.maximum(sizes, 1), "right") - 1
     lowest = SIZE_BANDS[own]
-    keys, rows = band_keys(runs, sizes, frequent, own, (sizes + 4 * sizes // 3) // 7 + 1)
+    keys, rows = band_keys(runs, sizes, frequent, own, (sizes + 4 * sizes // 3) // 7 + _needed(own))
     down = np.flatnonzero((sizes > 0) & (own > 0) & (-(-3 * sizes // 4) < lowest))
     if not len(down):
         return keys, rows
     chosen = np.zeros(len(sizes), bool)
     chosen[down] = True
     part = runs[np.repeat(chosen, sizes)]
-    more, at = band_keys(part, sizes[down], frequent, own[down] - 1, (sizes[down] + lowest[down] - 1) // 7 + 1)
+    below = own[down] - 1
+    more, at = band_keys(part, sizes[down], frequent, below, (sizes[down] + lowest[down] - 1) // 7 + _needed(below))
     return np.concatenate([keys, more]), np.concatenate([rows, down[at]])
 
 
@@ -217,7 +229,11 @@ def _blobs(key: np.ndarray, node: np.ndarray, buckets: int, leaders: bool) -> It
 
 
 def _meet(table: pa.Table, small_run: int) -> pa.Table:
-    """Third pass, one bucket: pairs to compare, and the members of keys with more than a few documents."""
+    """Third pass, one bucket: pairs with the weight of their common keys (2: enough), members of keys with many documents.
+
+    A pair of which only one key is known here may have another elsewhere. If that one has many documents it names the
+    pair among its members, so a pair that stays below 2 in all buckets has too few common keys to link.
+    """
     got = {k: ([], []) for k in (PAIRS, MEMBERS, KEYS, LEADERS)}
     for kind, a, b in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
         got[kind][0].append(np.frombuffer(a, np.uint64))
@@ -227,25 +243,42 @@ def _meet(table: pa.Table, small_run: int) -> pa.Table:
     key, node = _sorted_meetings(join(got[KEYS][0] + got[LEADERS][0], np.uint64), join(got[KEYS][1] + got[LEADERS][1], np.int64))
     starts, counts = _runs(key)
     first, second = [join(got[PAIRS][0], np.uint64).view(np.int64)], [join(got[PAIRS][1], np.int64)]
+    weights = [np.full(len(first[0]), 2)]
     many = counts > small_run
+    enough = many | ((key[starts] & ENOUGH) > 0) | is_in(key[starts], forced)
     inside = np.repeat(counts > 1, counts)
     first.append(np.repeat(node[starts], counts)[inside])
     second.append(node[inside])
+    weights.append(np.repeat(1 + enough, counts)[inside])
     for size in range(3, small_run + 1):
         at = starts[counts == size]
         for i in range(1, size):
             for j in range(i + 1, size):
                 first.append(node[at + i])
                 second.append(node[at + j])
+                weights.append(1 + enough[counts == size])
     member = np.repeat(many | is_in(key[starts], forced), counts)
     a, b = np.concatenate(first), np.concatenate(second)
     a, b = np.minimum(a, b), np.maximum(a, b)
-    pairs = np.unique(np.column_stack([a, b])[a != b], axis=0) if (a != b).any() else np.zeros((0, 2), np.int64)
+    a, b, weight = _summed_pairs(a, b, np.concatenate(weights))
     members = [join(got[MEMBERS][0], np.uint64).view(np.int64), key[member].view(np.int64)], [join(got[MEMBERS][1], np.int64), node[member]]
-    out_a = np.concatenate([pairs[:, 0], *members[0]])
-    out_b = np.concatenate([pairs[:, 1], *members[1]])
-    kind = np.repeat([PAIRS, MEMBERS], [len(pairs), len(out_a) - len(pairs)])
-    return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    out_a, out_b = np.concatenate([a, *members[0]]), np.concatenate([b, *members[1]])
+    kind = np.repeat([PAIRS, MEMBERS], [len(a), len(out_a) - len(a)])
+    weight = np.concatenate([weight, np.zeros(len(out_a) - len(a), np.int64)])
+    return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()),
+                     "weight": pa.array(np.minimum(weight, 2), pa.int32())})
+
+
+def _summed_pairs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of different nodes with their summed weight."""
+    keep = a != b
+    a, b, weight = a[keep], b[keep], weight[keep]
+    order = np.lexsort((b, a))
+    a, b, weight = a[order], b[order], weight[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    return a[starts], b[starts], np.add.reduceat(weight, starts) if len(starts) else weight
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,15 +344,17 @@ def similar_documents(
     sent = plain.where("doc_id IS NOT NULL").select("text").mapInArrow(
         lambda it: _send_keys(it, frequent, buckets, local_run), "bucket int, kind int, a binary, b binary"
     )
-    met = staged(sent.groupBy("bucket").applyInArrow(lambda t: _meet(t, small_run), "kind int, a long, b long"))
-    pairs, members = met.where(F.col("kind") == PAIRS).drop("kind"), met.where(F.col("kind") == MEMBERS).drop("kind")
+    met = staged(sent.groupBy("bucket").applyInArrow(lambda t: _meet(t, small_run), "kind int, a long, b long, weight int"))
+    members = met.where(F.col("kind") == MEMBERS).select("a", "b")
+    pairs = staged(met.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.sum("weight").alias("w")).where("w >= 2").select("a", "b"))
 
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.col("b").alias("node")))
+    ends = [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")), members.select(F.col("b").alias("node"))]
+    concerned = ends[0].unionByName(ends[1]).unionByName(ends[2])
     first_ids = concerned.distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"))
     sets = staged(plain.join(first_ids.distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, runs binary"))
 
     left, right = _described(nodes, "a", "na", "x"), _described(nodes, "b", "nb", "y")
-    close = staged(pairs.distinct().join(left, "a").join(right, "b").where(_may_link()).select("a", "b"))
+    close = staged(pairs.join(left, "a").join(right, "b").where(_may_link()).select("a", "b"))
     # one partner of each node first; most others lie in its component then
     links = staged(_verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
     joined = staged(components(links))

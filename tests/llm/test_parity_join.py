@@ -24,7 +24,7 @@ def variants(rnd, n):
     return " ".join(a), " ".join(b)
 
 
-def test_linked_documents_always_share_a_key():
+def test_linked_documents_share_two_keys_or_one_that_is_enough():
     rnd, linked = random.Random(5), 0
     for trial in range(1500):
         pair = variants(rnd, rnd.choice([1, 2, 3, 5, 6, 7, 8, 9, 12, 16, 20, 30, 50, 80, 120, 200, 333]))
@@ -34,7 +34,8 @@ def test_linked_documents_always_share_a_key():
         keys, rows = parity_join.all_keys(runs, sizes, np.sort(few))
         if found[0][1] == found[1][1]:
             linked += 1
-            assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+            common = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+            assert len(common) >= 2 or any(k & int(parity_join.ENOUGH) for k in common)
     assert linked > 150
 
 
