@@ -90,6 +90,16 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, bucke
             yield from _blobs([p[chosen] for p in places], bucket[chosen], kind)
 
 
+def _by_byte(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: leading zeros lie together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_bytes(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _blobs(places: list[np.ndarray], bucket: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     if not len(bucket):
         return
@@ -97,7 +107,7 @@ def _blobs(places: list[np.ndarray], bucket: np.ndarray, kind: int) -> Iterator[
     for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         yield pa.RecordBatch.from_arrays(
             [pa.array([bucket[a]], pa.int32()), pa.array([kind], pa.int32()),
-             *(pa.array([p[a:b].astype(t).tobytes()], pa.binary()) for p, t in zip(places, PLACE_TYPES, strict=True))],
+             *(pa.array([_by_byte(p[a:b].astype(t))], pa.binary()) for p, t in zip(places, PLACE_TYPES, strict=True))],
             names=["bucket", "kind", *PLACES],
         )
 
@@ -107,7 +117,7 @@ def _recurring(table: pa.Table) -> pa.Table:
     kinds, sizes = [], []
     columns: list[list[np.ndarray]] = [[] for _ in PLACES]
     for kind, *blobs in zip(table.column("kind").to_pylist(), *(table.column(c).to_pylist() for c in PLACES), strict=True):
-        arrays = [np.frombuffer(b, t) for b, t in zip(blobs, PLACE_TYPES, strict=True)]
+        arrays = [_from_bytes(b, t) for b, t in zip(blobs, PLACE_TYPES, strict=True)]
         kinds.append(kind)
         sizes.append(len(arrays[0]))
         for column, values in zip(columns, arrays, strict=True):
