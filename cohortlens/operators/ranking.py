@@ -81,16 +81,16 @@ def ordered_positions(
         .drop("_splitters", "_key")
     )
 
-    totals = cut.groupBy(*within, "_chunk").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    totals = cut.groupBy(*within, "_chunk").agg(F.sum("n").alias("_chunk_rows"), F.count(F.lit(1)).alias("_chunk_keys"))
     chunk_order = Window.partitionBy(*within).orderBy("_chunk")  # at most `chunks` rows per group
     before = chunk_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *within,
         "_chunk",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_offset"),
-        F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d_offset"),
-        F.sum("_n").over(Window.partitionBy(*within)).alias("n_total"),
-        F.sum("_d").over(Window.partitionBy(*within)).alias("n_distinct"),
+        F.coalesce(F.sum("_chunk_rows").over(before), F.lit(0)).alias("_n_offset"),
+        F.coalesce(F.sum("_chunk_keys").over(before), F.lit(0)).alias("_d_offset"),
+        F.sum("_chunk_rows").over(Window.partitionBy(*within)).alias("n_total"),
+        F.sum("_chunk_keys").over(Window.partitionBy(*within)).alias("n_distinct"),
     )
     placed = null_safe_join(cut, offsets, [*within, "_chunk"])
     in_chunk = Window.partitionBy(*within, "_chunk").orderBy(*keys)
