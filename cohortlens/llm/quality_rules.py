@@ -1,9 +1,9 @@
 """Quality rules: base statistics of each text, and an isolation forest over their rates.
 
 The base rules reject very short texts and texts that mostly repeat themselves. All other texts are judged by an
-isolation forest: trees of random splits over small random samples, in which unusual rows end early. The forest is
-fitted on a bounded sample of all rows (``Forest.fit``) and its threshold on a bounded sample of labelled rows, so that
-almost no good row lies above it. Both samples are the rows with the smallest hashes of their ids, at every size.
+isolation forest: trees of random splits between the lowest and highest rates of all rows, in which rows end early where
+few good rows lie. The forest is fitted on a bounded sample of the rows labelled good, those with the smallest hashes of
+their ids, and its threshold on labelled rows, so that almost no good row lies above it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import SPACE, Chunk, chunks, find_words, hash_runs, hash_words, mix, run_starts, sums_by_row
@@ -30,11 +30,15 @@ GOOD_ABOVE = 0.001
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twins", "n_upper", "n_digits", "n_marks"]
 
-#: Usual rates of prose (symbols, twins and marks per word, lines per line, others per letter).
-USUAL = {
-    "word_length": (2.5, 12.0), "symbols": 0.1, "dup_lines": 0.5, "twins": 0.1, "upper": 0.3, "digits": 0.5,
-    "marks": 0.8,
+#: What the forest looks at besides the length: a count, and the count it is a rate of.
+RATES = {
+    "word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"),
+    "twins": ("n_twins", "n_words"), "upper": ("n_upper", "word_chars"), "digits": ("n_digits", "word_chars"),
+    "marks": ("n_marks", "n_words"), "repeats": ("n_repeat_words", "n_words"),
 }
+#: A rate is taken as if the text went on for this share of a mean text at the mean rate, as short texts vary more.
+PRIOR = 0.25
+FEATURES = [*RATES, "length"]
 
 
 def _table(characters: str) -> np.ndarray:
@@ -107,18 +111,58 @@ def rule_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return texts(docs, text, doc_id).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def rates(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest looks at, one row per document: by how much each rate leaves the range the rules call usual."""
-    c = {k: np.asarray(v, np.float64) for k, v in counts.items()}
-    chars, words, lines = (np.maximum(c[k], 1) for k in ("word_chars", "n_words", "n_lines"))
-    return np.column_stack([
-        np.maximum(USUAL["word_length"][0] - chars / words, 0), np.maximum(chars / words - USUAL["word_length"][1], 0),
-        *(np.maximum(rate - USUAL[name], 0) for name, rate in (
-            ("symbols", c["n_symbols"] / words), ("dup_lines", c["n_dup_lines"] / lines),
-            ("twins", c["n_twins"] / words), ("upper", c["n_upper"] / chars), ("digits", c["n_digits"] / chars),
-            ("marks", c["n_marks"] / words),
-        )),
-    ])
+def raw_rates(judged: DataFrame) -> tuple[list[Column], np.ndarray]:
+    """The rates of ``RATES`` and the logarithm of the length, as columns, and what one more count adds to each in a mean text.
+
+    Means are those of ``judged``.
+    """
+    bases = {base for _, base in RATES.values()}
+    sums = [F.sum(F.col(c)).alias(c) for c in {count for count, _ in RATES.values()} | bases]
+    total = judged.agg(F.count("*").alias("rows"), *sums).first()
+    out, one = [], []
+    for name, (count, base) in RATES.items():
+        prior = PRIOR * (total[base] or 0) / max(total["rows"], 1)
+        mean = (total[count] or 0) / max(total[base] or 0, 1)
+        out.append(((F.col(count) + F.lit(prior * mean)) / (F.greatest(F.col(base), F.lit(1)) + F.lit(prior))).alias(name))
+        one.append(PRIOR / max((1 + PRIOR) * prior, PRIOR))
+    return [*out, F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")).alias("length")], np.array([*one, 0.0])
+
+
+@dataclass
+class Scale:
+    """Mean and deviation of each rate over all rows, and its bounds when scaled.
+
+    The deviation is the mean one and that of one more word, letter or line in a mean text, which tells nothing yet.
+    """
+
+    mean: np.ndarray
+    deviation: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(rated: DataFrame, one: np.ndarray) -> Scale:
+        # sums of decimals, so that they do not depend on the order of rows
+        def mean(c):
+            return (F.sum(c.cast("decimal(28,9)")) / F.count("*")).cast("double")
+
+        first = rated.agg(
+            *(mean(F.col(n)).alias(n) for n in FEATURES), *(f(n).alias(f"{k}_{n}") for n in FEATURES for k, f in (("low", F.min), ("high", F.max))),
+        ).first()
+        second = rated.agg(*(mean(F.abs(F.col(n) - F.lit(first[n]))).alias(n) for n in FEATURES)).first()
+        out = Scale(
+            np.array([first[n] for n in FEATURES]), np.array([second[n] for n in FEATURES]) + one, np.zeros(0), np.zeros(0),
+        )
+        out.low, out.high = (out.scaled(np.array([[first[f"{k}_{n}"] for n in FEATURES]]))[0] for k in ("low", "high"))
+        return out
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Rates in mean deviations from the mean, far ones by their logarithm."""
+        return np.arcsinh((x - self.mean) / np.where(self.deviation > 0, self.deviation, 1.0))
+
+
+def _matrix(columns) -> np.ndarray:
+    return np.column_stack([np.asarray(columns[n], np.float64) for n in FEATURES])
 
 
 def _average_path(n: np.ndarray | int) -> np.ndarray:
@@ -130,55 +174,63 @@ def _average_path(n: np.ndarray | int) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees in heap order: children of node i are 2i + 1 and 2i + 2; ``path`` is the path length at a leaf."""
+    """Trees as lists of nodes: children of a node are ``left`` and the one after it; 0 at a leaf, where ``path`` counts."""
 
-    feature: np.ndarray
-    split: np.ndarray
-    leaf: np.ndarray
-    path: np.ndarray
+    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     sample: int
 
     @staticmethod
-    def fit(x: np.ndarray, trees: int = 128, sample: int = 512, seed: int = 7) -> Forest:
+    def fit(
+        x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, trees: int = 128, sample: int = 2048,
+        depth: int = 20, seed: int = 7,
+    ) -> Forest:
+        """Trees over all values from ``low`` to ``high``, those of ``x`` by default.
+
+        Each tree splits a sample of at most half the rows, so that a row also meets trees that have not seen it.
+        """
         random = np.random.default_rng(seed)
-        sample = min(sample, len(x))
-        depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
-        nodes = 2 ** (depth + 1) - 1
-        out = Forest(
-            np.zeros((trees, nodes), np.int8), np.zeros((trees, nodes)), np.ones((trees, nodes), bool),
-            np.zeros((trees, nodes)), sample,
-        )
-        for tree in range(trees):
-            out._grow(tree, 0, 0, depth, x[random.choice(len(x), sample, replace=False)], random)
+        low, high = x.min(axis=0) if low is None else low, x.max(axis=0) if high is None else high
+        sample = min(sample, -(-len(x) // 2))
+        out = Forest([], sample)
+        for _ in range(trees):
+            out.trees.append(_grow(x[random.choice(len(x), sample, replace=False)], low, high, depth, random))
         return out
 
-    def _grow(self, tree: int, node: int, level: int, depth: int, rows: np.ndarray, random: np.random.Generator) -> None:
-        low, high = (rows.min(axis=0), rows.max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
-        open_ = np.flatnonzero(high > low)
-        if level == depth or len(rows) < 2 or not len(open_):
-            self.path[tree, node] = level + _average_path(len(rows))
-            return
-        f = int(random.choice(open_))
-        at = random.uniform(low[f], high[f])
-        self.feature[tree, node], self.split[tree, node], self.leaf[tree, node] = f, at, False
-        right = rows[:, f] >= at
-        self._grow(tree, 2 * node + 1, level + 1, depth, rows[~right], random)
-        self._grow(tree, 2 * node + 2, level + 1, depth, rows[right], random)
-
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; higher where paths are short."""
-        if not self.sample:
-            return np.zeros(len(x))
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        levels = int(np.log2(self.feature.shape[1] + 1)) - 1
-        for feature, split, leaf, path in zip(self.feature, self.split, self.leaf, self.path, strict=True):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(levels):
-                right = x[rows, feature[node]] >= split[node]
-                node = np.where(leaf[node], node, 2 * node + 1 + right)
+        total = np.zeros(len(x))
+        for feature, split, left, path in self.trees:
+            node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(rows):
+                at = node[rows]
+                inner = left[at] > 0
+                rows, at = rows[inner], at[inner]
+                node[rows] = left[at] + (x[rows, feature[at]] >= split[at])
             total += path[node]
         usual = max(float(_average_path(self.sample)), 1e-9)
-        return 2.0 ** -(total / len(self.path) / usual)
+        return 2.0 ** -(total / max(len(self.trees), 1) / usual)
+
+
+def _grow(sample: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, random: np.random.Generator):
+    """A tree whose splits lie anywhere in a node's box, also where the sample has no row; an empty box is a leaf."""
+    feature, split, left, path = [0], [0.0], [0], [0.0]
+    todo = [(0, 0, sample, low, high)]
+    while todo:
+        node, level, rows, low, high = todo.pop()
+        width = high - low
+        if level == depth or not len(rows) or not width.any():
+            path[node] = level + float(_average_path(len(rows)))
+            continue
+        f = int(random.choice(len(width), p=width / width.sum()))  # rates that vary little are rarely asked
+        at = float(random.uniform(low[f], high[f]))
+        feature[node], split[node], left[node] = f, at, len(feature)
+        right = rows[:, f] >= at
+        middle = np.where(np.arange(len(low)) == f, at, low), np.where(np.arange(len(high)) == f, at, high)
+        for side, box in ((~right, (low, middle[1])), (right, (middle[0], high))):
+            todo.append((len(feature), level + 1, rows[side], *box))
+            for column, value in ((feature, 0), (split, 0.0), (left, 0), (path, 0.0)):
+                column.append(value)
+    return np.array(feature, np.int8), np.array(split), np.array(left, np.int32), np.array(path)
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
@@ -206,26 +258,38 @@ def quality_verdicts(
     """
     counted = staged(rule_counts(docs, text, doc_id))
     judged = counted.where(~_base_failed())
-    forest = Forest.fit(rates(_collect(bounded_sample(judged, "doc_id", FIT_ROWS, *COUNTS)))) if judged.limit(1).count() else None
+    columns, one = raw_rates(judged)
+    rated = judged.select("doc_id", *columns)
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("_quality"))
     known = known.where(F.col("_quality").isin(0, 1))
-    labelled = judged.join(known, "doc_id")
-    rows = _collect(bounded_sample(labelled, "doc_id", LABELLED_ROWS, *COUNTS, "_quality")) if forest else {}
-    threshold = calibrate(forest.score(rates(rows)), rows["_quality"] == 1) if forest else np.inf
+    labelled = rated.join(known, "doc_id")
+    forest = scale = None
+    threshold = np.inf
+    if judged.limit(1).count():
+        scale = Scale.of(rated, one)
+        good = labelled.where((F.col("_quality") == 1) & _to_fit())
+        fitted = bounded_sample(good if good.limit(1).count() else rated, "doc_id", FIT_ROWS, *FEATURES)
+        forest = Forest.fit(scale.scaled(_matrix(_collect(fitted))), scale.low, scale.high)
+        rows = _collect(bounded_sample(labelled.where(~_to_fit() | (F.col("_quality") == 0)), "doc_id", LABELLED_ROWS, *FEATURES, "_quality"))
+        threshold = calibrate(forest.score(scale.scaled(_matrix(rows))), rows["_quality"] == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = rates({c: batch.column(c).to_numpy() for c in COUNTS})
-            score = forest.score(x) if forest else np.zeros(len(x))
+            x = _matrix({c: batch.column(c).to_numpy() for c in FEATURES})
+            score = forest.score(scale.scaled(x)) if forest else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score), pa.array(score <= threshold)],
-                names=[*batch.schema.names, "score", "usual"],
+                [*batch.select(kept).columns, pa.array(score), pa.array(score <= threshold)], names=[*kept, "score", "usual"],
             )
 
-    scored = counted.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in counted.dtypes) + ", score double, usual boolean")
-    return scored.select(
-        "doc_id", *COUNTS[:5], _base_failed().alias("base_failed"), (~_base_failed() & F.col("usual")).alias("kept"), "score",
-    )
+    kept = ["doc_id", *COUNTS[:5]]
+    schema = ", ".join(f"{c} long" for c in kept) + ", score double, usual boolean"
+    scored = counted.select(*kept, *columns).mapInArrow(run, schema)
+    return scored.select(*kept, _base_failed().alias("base_failed"), (~_base_failed() & F.col("usual")).alias("kept"), "score")
+
+
+def _to_fit():
+    """The half of the ids whose good labels the forest is fitted on; the others' set the threshold."""
+    return F.hash("doc_id") % 2 == 0
 
 
 def _base_failed():

@@ -44,3 +44,22 @@ def test_calibration():
     assert q.calibrate(scores, good) == pytest.approx(0.55)
     assert q.calibrate(scores[:3], good[:3]) == 0.3
     assert q.calibrate(scores[3:], good[3:]) == np.inf
+
+
+def _labelled_docs(spark, junk_ids, junk, n=600):
+    """Prose of letters, some rows with other words among them; a third of the rows is labelled."""
+    rnd = np.random.default_rng(3)
+    letters = lambda: "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rnd.integers(3, 8))))
+    rows = []
+    for i in range(n):
+        words = [letters() for _ in range(int(rnd.integers(60, 200)))]
+        rows.append((i, " ".join(junk(rnd) if i in junk_ids and k % 3 else w for k, w in enumerate(words))))
+    labels = [(i, int(i not in junk_ids)) for i in range(0, n, 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_junk_below_any_usual_limit_is_rejected_when_labelled(spark):
+    bad = set(range(0, 600, 15)) | set(range(1, 600, 60))
+    got = q.quality_verdicts(*_labelled_docs(spark, bad, lambda rnd: f"abcd{rnd.integers(100, 999)}")).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == bad  # a third of the letters are digits
