@@ -3,11 +3,12 @@
 The base rules reject very short texts and texts that mostly repeat themselves. All other texts are judged by an
 isolation forest: trees of random splits between the lowest and highest rates of all rows, in which rows end early where
 few good rows lie. The forest is fitted on a bounded sample of the rows labelled good, those with the smallest hashes of
-their ids, and its threshold on labelled rows, so that almost no good row lies above it.
+their ids; the threshold is a quantile over all other labelled rows, so that almost no good row lies above it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +23,12 @@ from cohortlens.llm.spark_util import bounded_sample, staged, texts
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Rows the forest is fitted on, and labelled rows its threshold is fitted on, at most.
+#: Labelled rows the forest is fitted on, at most.
 FIT_ROWS = 20_000
-LABELLED_ROWS = 20_000
 #: Share of good labelled rows that may lie above the threshold.
 GOOD_ABOVE = 0.001
+#: Ranges of scores that one pass counts.
+CUTS = 4096
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_twins", "n_upper", "n_digits", "n_marks"]
 
@@ -242,6 +244,28 @@ def calibrate(scores: np.ndarray, good: np.ndarray) -> float:
     return (bound + float(above.min())) / 2 if len(above) else bound
 
 
+def threshold_of(scored: DataFrame) -> float:
+    """What ``calibrate`` gives, of the columns ``score`` and ``good``, from counts of score ranges alone.
+
+    The range of the wanted score is cut into ``CUTS`` until it holds one value. ``scored`` should be a written table.
+    """
+    good = scored.where("good")
+    seen = good.agg(F.count("*").alias("rows"), F.min("score").alias("low"), F.max("score").alias("high")).first()
+    if not seen["rows"]:
+        return np.inf
+    skip, low, high = math.ceil((seen["rows"] - 1) * (1 - GOOD_ABOVE)), seen["low"], seen["high"]
+    while low < high:
+        cut = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(high - low) * CUTS), F.lit(CUTS - 1))
+        inside = good.where(F.col("score").between(low, high)).groupBy(cut.alias("cut"))
+        for part in sorted(inside.agg(F.count("*").alias("rows"), F.min("score").alias("low"), F.max("score").alias("high")).collect()):
+            if skip < part["rows"]:
+                low, high = part["low"], part["high"]
+                break
+            skip -= part["rows"]
+    above = scored.where(~F.col("good") & (F.col("score") > low)).agg(F.min("score")).first()[0]
+    return low if above is None else (low + above) / 2
+
+
 def _collect(df: DataFrame) -> dict[str, np.ndarray]:
     table = df.toArrow()
     return {c: table.column(c).to_numpy() for c in table.column_names}
@@ -262,29 +286,26 @@ def quality_verdicts(
     rated = judged.select("doc_id", *columns)
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("_quality"))
     known = known.where(F.col("_quality").isin(0, 1))
-    labelled = rated.join(known, "doc_id")
     forest = scale = None
-    threshold = np.inf
     if judged.limit(1).count():
         scale = Scale.of(rated, one)
-        good = labelled.where((F.col("_quality") == 1) & _to_fit())
+        good = rated.join(known.where((F.col("_quality") == 1) & _to_fit()), "doc_id")
         fitted = bounded_sample(good if good.limit(1).count() else rated, "doc_id", FIT_ROWS, *FEATURES)
         forest = Forest.fit(scale.scaled(_matrix(_collect(fitted))), scale.low, scale.high)
-        rows = _collect(bounded_sample(labelled.where(~_to_fit() | (F.col("_quality") == 0)), "doc_id", LABELLED_ROWS, *FEATURES, "_quality"))
-        threshold = calibrate(forest.score(scale.scaled(_matrix(rows))), rows["_quality"] == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix({c: batch.column(c).to_numpy() for c in FEATURES})
             score = forest.score(scale.scaled(x)) if forest else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(kept).columns, pa.array(score), pa.array(score <= threshold)], names=[*kept, "score", "usual"],
-            )
-
-    kept = ["doc_id", *COUNTS[:5]]
-    schema = ", ".join(f"{c} long" for c in kept) + ", score double, usual boolean"
-    scored = counted.select(*kept, *columns).mapInArrow(run, schema)
-    return scored.select(*kept, _base_failed().alias("base_failed"), (~_base_failed() & F.col("usual")).alias("kept"), "score")
+            yield pa.RecordBatch.from_arrays([*batch.select(shown).columns, pa.array(score)], names=[*shown, "score"])
+
+    shown = ["doc_id", *COUNTS[:5]]
+    schema = ", ".join(f"{c} long" for c in shown) + ", score double"
+    scored = staged(counted.select(*shown, *columns).mapInArrow(run, schema)).withColumn("base_failed", _base_failed())
+    labelled = scored.where("NOT base_failed").join(known, "doc_id").where(~_to_fit() | (F.col("_quality") == 0))
+    threshold = threshold_of(staged(labelled.select("score", (F.col("_quality") == 1).alias("good"))))
+    kept = ~F.col("base_failed") & (F.col("score") <= F.lit(threshold))
+    return scored.select(*shown, "base_failed", kept.alias("kept"), "score")
 
 
 def _to_fit():

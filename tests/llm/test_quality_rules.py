@@ -63,3 +63,21 @@ def test_junk_below_any_usual_limit_is_rejected_when_labelled(spark):
     got = q.quality_verdicts(*_labelled_docs(spark, bad, lambda rnd: f"abcd{rnd.integers(100, 999)}")).collect()
     assert not any(r.base_failed for r in got)
     assert {r.doc_id for r in got if not r.kept} == bad  # a third of the letters are digits
+
+
+def test_the_threshold_is_that_of_all_labelled_scores(spark):
+    rnd = np.random.default_rng(5)
+    for n, digits in ((30_000, 12), (5_000, 2), (1, 12)):
+        score, good = np.round(rnd.beta(2, 5, n), digits), rnd.random(n) < 0.9
+        good[0] = True
+        table = spark.createDataFrame(list(zip(score.tolist(), good.tolist(), strict=True)), "score double, good boolean")
+        assert q.threshold_of(table) == q.calibrate(score, good)
+
+
+def test_one_junk_row_that_no_sample_holds_is_rejected(spark, monkeypatch):
+    monkeypatch.setattr(q, "FIT_ROWS", 60)  # the junk has no label, so it is outside the sample
+    bad = set(range(0, 600, 15))
+    docs, labels = _labelled_docs(spark, bad, lambda rnd: f"abcd{rnd.integers(100, 999)}")
+    docs = docs.unionByName(docs.where("doc_id = 301").selectExpr("9999L AS doc_id", "regexp_replace(text, ' ', ' # ## ') AS text"))
+    got = {r.doc_id: r for r in q.quality_verdicts(docs, labels).collect()}
+    assert not got[9999].base_failed and not got[9999].kept and got[301].kept
