@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import mix
-from cohortlens.llm.spark_util import attach_groups, staged, texts
+from cohortlens.llm.spark_util import attach_groups, row_key, staged, texts
 
 DIGEST = 32
 #: Bits per key on each level of the hash.
@@ -33,9 +33,9 @@ def normalised(text):
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id`` and the SHA-256 of the normalised text as 32 bytes."""
+    """``doc_id``, ``row_key`` and the SHA-256 of the normalised text as 32 bytes."""
     plain = texts(docs, text, doc_id)
-    return plain.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    return plain.select("doc_id", row_key().alias("row_key"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
 
 
 def _bits(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -146,8 +146,8 @@ def dedup(history: DataFrame, incoming: DataFrame, shard_keys: int = SHARD_KEYS)
     )
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_key: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``, and ``row_key`` on request.
 
     The documents of the lower half of the id range are the history, the others arrive; the result is the same
     wherever the range is cut. Rows that repeat a document id count as rows of their own and get one row each; a null
@@ -164,12 +164,33 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     out = attach_groups(table, groups, "digest", "group_size")
     keep = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
     return out.select(
-        "doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        *["row_key"][:with_key], "doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id a decision keeps. Rows without an id stay if one of them is kept."""
-    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def kept_rows(docs: DataFrame, decisions: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that a decision keeps: by id and ``row_key``, or by id alone if decisions have no such column.
+
+    By id alone, rows without an id stay if one of them is kept.
+    """
+    keyed = "row_key" in decisions.columns
+    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id"), *([F.col("row_key").alias("_kept_key")] if keyed else []))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id"))
+    return docs.join(kept.distinct(), same & (row_key(text, doc_id) == F.col("_kept_key")) if keyed else same, "left_semi")
+
+
+def one_of_equal(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts: that of the smallest id, of its spellings that of the smallest key.
+
+    Of rows with equal id and text one stays as well. Rows without an id come last.
+    """
+    kept = exact_duplicates(docs, with_key=True).where("kept").groupBy("doc_id", "text_sha256")
+    kept = staged(kept.agg(F.min("row_key").alias("row_key"), (F.count("*") > 1).alias("several")).withColumn("kept", F.lit(True)))
+    single = kept_rows(docs, kept.where("NOT several"))
+    if not kept.where("several").limit(1).count():
+        return single
+    repeated = kept_rows(docs, kept.where("several"))
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = repeated.groupBy(F.col("doc_id").alias("_id"), row_key().alias("_key")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    return single.unionByName(one.select("_row.*"))

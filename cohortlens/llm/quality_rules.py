@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import SPACE, Chunk, chunks, find_words, hash_runs, hash_words, mix, run_starts, sums_by_row
-from cohortlens.llm.spark_util import bounded_sample, staged, texts
+from cohortlens.llm.spark_util import bounded_sample, row_key, staged, texts
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -98,7 +98,7 @@ def count_chunk(chunk: Chunk, values: list[str]) -> list[np.ndarray]:
 
 
 def rule_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id`` and the counts of each whole text."""
+    """``doc_id``, ``row_key`` and the counts of each whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
@@ -106,11 +106,12 @@ def rule_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 part = column.slice(chunk.first, chunk.rows)
                 counted = count_chunk(chunk, part.to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.rows), *(pa.array(c.astype(np.int64)) for c in counted)],
-                    names=["doc_id", *COUNTS],
+                    [*(batch.column(k).slice(chunk.first, chunk.rows) for k in (0, 2)), *(pa.array(c.astype(np.int64)) for c in counted)],
+                    names=["doc_id", "row_key", *COUNTS],
                 )
 
-    return texts(docs, text, doc_id).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    keyed = texts(docs, text, doc_id).withColumn("row_key", row_key())
+    return keyed.mapInArrow(run, "doc_id long, row_key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def raw_rates(judged: DataFrame) -> tuple[list[Column], np.ndarray]:
@@ -272,10 +273,12 @@ def _collect(df: DataFrame) -> dict[str, np.ndarray]:
 
 
 def quality_verdicts(
-    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality",
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", with_key: bool = False,
 ) -> DataFrame:
     """Per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score``.
 
+    With ``row_key`` as well on request.
+
     A null text has no words and fails the base rules, as does an empty one. Repeated rows get one row each; an empty
     table gives none. Labels are used where they are 0 or 1 and name a document; without any good one only the base
     rules reject. Other columns of either table are not read, so names may clash.
@@ -299,7 +302,7 @@ def quality_verdicts(
             score = forest.score(scale.scaled(x)) if forest else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([*batch.select(shown).columns, pa.array(score)], names=[*shown, "score"])
 
-    shown = ["doc_id", *COUNTS[:5]]
+    shown = [*["row_key"][:with_key], "doc_id", *COUNTS[:5]]
     schema = ", ".join(f"{c} long" for c in shown) + ", score double"
     scored = staged(counted.select(*shown, *columns).mapInArrow(run, schema)).withColumn("base_failed", _base_failed())
     labelled = scored.where("NOT base_failed").join(known, "doc_id").where(~_to_fit() | (F.col("_quality") == 0))

@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.exact_dedup import exact_duplicates, kept_rows
+from cohortlens.llm.exact_dedup import kept_rows, one_of_equal
 from cohortlens.llm.packing import pack_documents
 from cohortlens.llm.parity_join import similar_documents
 from cohortlens.llm.quality_rules import quality_verdicts
 from cohortlens.llm.repeated_phrases import drop_repeats
-from cohortlens.llm.spark_util import read
+from cohortlens.llm.spark_util import read, row_key, staged
 from cohortlens.sources.materialize import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,18 +21,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return kept_rows(docs, quality_verdicts(docs, read(spark, sf_dir, "labels")))
+    return kept_rows(docs, quality_verdicts(docs, read(spark, sf_dir, "labels"), with_key=True))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the smallest id."""
-    return kept_rows(docs, exact_duplicates(docs))
+    return one_of_equal(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts, that of the smallest id; documents without words are a group each."""
-    decided = similar_documents(docs).select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return kept_rows(docs, decided)
+    """One document of each group of similar texts, that of the smallest id; documents without words are a group each.
+
+    Texts are compared under their row keys, so that rows that share an id or have none are told apart.
+    """
+    keys = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"))
+    texts = docs.select(row_key().alias("row_key"), "text")
+    placed = staged(similar_documents(texts, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(keys.distinct(), "row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    kept = placed.groupBy("component_id").agg(first).select("first.doc_id", "first.row_key", F.lit(True).alias("kept"))
+    return kept_rows(docs, kept)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

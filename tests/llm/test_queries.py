@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from cohortlens.llm import queries
 from cohortlens.llm.exact_dedup import kept_rows
+from cohortlens.llm.quality_rules import quality_verdicts
 from tests.llm.odd import odd_documents, odd_rows, similar, without_repeats
 from tests.test_oracle import comparable, in_order
 
@@ -93,3 +94,18 @@ def test_rows_without_id_are_kept_together(spark):
     docs = odd_documents(spark, [(None, "a"), (1, "b"), (None, "c")])
     decisions = spark.createDataFrame([(None, True), (1, False)], "doc_id long, kept boolean")
     assert sorted(r.text for r in kept_rows(docs, decisions).collect()) == ["a", "c"]
+
+
+def test_rows_loaded_twice_and_rows_without_id_are_decided_one_by_one(spark):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, prose(1)), (1, prose(1)), (2, prose(1)), (2, prose(2)), (None, prose(3)), (None, prose(3)), (None, prose(2) + " end"), (None, "bad")]
+    docs = odd_documents(spark, rows)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    left = kept_rows(docs, quality_verdicts(docs, none, with_key=True))
+    assert sorted(r.text for r in left.collect()) == sorted(t for _, t in rows if t != "bad")
+    left = corpus_pipeline.exact(spark, docs, SF_DIR)
+    want = {(1, prose(1)), (2, prose(2)), (None, prose(3)), (None, prose(2) + " end"), (None, "bad")}
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert set(got) == want and len(got) == len(want) and left.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, left, SF_DIR).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want - {(None, prose(2) + " end")}))
