@@ -127,6 +127,11 @@ def lookup_shard(index: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def shard_count(history: DataFrame, incoming: DataFrame, shard_keys: int) -> int:
+    """Shards for the larger of both frames, as a shard holds the digests of either."""
+    return max(1, -(-max(history.count(), incoming.count()) // shard_keys))
+
+
 def dedup(history: DataFrame, incoming: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per digest of either frame: ``digest``, ``keep_id``, ``group_size``, ``in_history``.
 
@@ -135,7 +140,7 @@ def dedup(history: DataFrame, incoming: DataFrame, shard_keys: int = SHARD_KEYS)
     def grouped(df: DataFrame) -> DataFrame:
         return df.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("rows"))
 
-    shards = max(1, -(-history.count() // shard_keys))
+    shards = shard_count(history, incoming, shard_keys)
     index = build_index(grouped(history), shards)
     return (
         _sharded(grouped(incoming), shards).groupBy("shard").cogroup(index.groupBy("shard"))

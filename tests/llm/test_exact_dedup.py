@@ -47,3 +47,13 @@ def test_odd_documents(spark):
 
 def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(odd_documents(spark, [])).collect() == []
+
+
+def test_a_small_history_does_not_put_all_incoming_digests_in_one_shard(spark, monkeypatch):
+    asked = []
+    sharded = exact_dedup._sharded
+    monkeypatch.setattr(exact_dedup, "_sharded", lambda df, shards: asked.append(shards) or sharded(df, shards))
+    rows = [(i, hashlib.sha256(str(i).encode()).digest()) for i in range(101)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, digest binary")
+    got = exact_dedup.dedup(frame(rows[:1]), frame(rows[1:]), 10).collect()
+    assert set(asked) == {10} and {bytes(r.digest) for r in got} == {d for _, d in rows}
