@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, sampled_pieces, token_counts, token_files, toxicity, url_filters
+from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, sampled_pieces, token_counts, token_files, toxicity, treap_search, url_filters
 from cohortlens.llm.spark_util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH digests AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
   FROM documents
 )
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -181,3 +181,30 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.sample_documents(read(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t
+  FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark
+), corpus AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM split WHERE len(t) > 0),
+cells AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM split) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM cells, corpus GROUP BY term, n_docs
+), lengths AS (SELECT doc_id, 10 + (90 * len(t) * n_docs) // n_terms AS m FROM split, corpus WHERE len(t) > 0),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN cells USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(treap_search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))

@@ -14,7 +14,7 @@ from tests.llm.odd import odd_documents, odd_rows, similar, without_repeats
 from tests.test_oracle import comparable, in_order
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = ["documents", "pages", "labels"]
+TABLES = ["documents", "pages", "labels", "benchmark"]
 
 
 @pytest.fixture(scope="module")
