@@ -15,7 +15,6 @@ Every document is indexed, and nothing but sums, the query terms and the best do
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,12 +30,12 @@ from cohortlens.llm.arrays import LOWER, Chunk, chunks
 from cohortlens.llm.spark_util import staged, texts
 
 #: Bytes of text that one block indexes, and documents at most; a longer text is indexed whole.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 BLOCK_DOCS = 1 << 16
 #: Items that are searched for together; more items are searched for in further passes over the index.
 ITEM_BLOCK = 2_000
 #: Numbers held for the ranges that are opened at once (ranges times terms).
-OPEN_AT_ONCE = 1 << 14
+OPEN_AT_ONCE = 2048
 
 #: Bytes of terms: ASCII letters and digits, and everything beyond ASCII.
 TERM_BYTES = np.zeros(256, bool)
@@ -160,33 +159,27 @@ class Treap:
         root = np.zeros((1, len(rows)), np.int64)
         if self.mask[0] == 0:
             root[0, rows != self.row[0]] = nothing
-        number, step = 0, max(1, OPEN_AT_ONCE // len(rows))
         found_cols, found_scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        bound = self.top[root] @ weights
-        queue = [(-int(bound[0]), number, 0, np.zeros(1, np.int64), root, bound)]
-        while queue and -queue[0][0] >= floor:
-            _, _, level, cols, nodes, bounds = heapq.heappop(queue)
-            if level == self.height:
-                found_cols, found_scores = np.concatenate([found_cols, cols]), np.concatenate([found_scores, bounds])
-                if len(found_scores) > k:
+        open_ranges = _Ranges(root, self.top[root] @ weights)
+        step = max(1, OPEN_AT_ONCE // len(rows))
+        while True:
+            levels, cols, nodes, bounds = open_ranges.take(step, floor)
+            if not len(cols):
+                return found_cols, found_scores
+            single = levels == self.height
+            if single.any():
+                found_cols, found_scores = np.concatenate([found_cols, cols[single]]), np.concatenate([found_scores, bounds[single]])
+                if len(found_scores) >= k:
                     floor = max(floor, int(np.partition(found_scores, -k)[-k]))
                     found_cols, found_scores = found_cols[found_scores >= floor], found_scores[found_scores >= floor]
-                continue
-            if len(cols) > step:
-                number += 1
-                heapq.heappush(queue, (-int(bounds[step]), number, level, cols[step:], nodes[step:], bounds[step:]))
-                cols, nodes = cols[:step], nodes[:step]
+                levels, cols, nodes = levels[~single], cols[~single], nodes[~single]
             for side in (0, 1):
-                below = self._open(nodes, rows, self.height - 1 - level, side, nothing)
+                below = self._open(nodes, rows, self.height - 1 - levels[:, None], side, nothing)
                 bound = self.top[below] @ weights
-                keep = np.flatnonzero(bound >= floor)
-                if len(keep):
-                    keep = keep[np.argsort(-bound[keep], kind="stable")]
-                    number += 1
-                    heapq.heappush(queue, (-int(bound[keep[0]]), number, level + 1, 2 * cols[keep] + side, below[keep], bound[keep]))
-        return found_cols, found_scores
-
-    def _open(self, nodes: np.ndarray, rows: np.ndarray, shift: int, side: int, nothing: int) -> np.ndarray:
+                keep = bound >= floor
+                open_ranges.put(levels[keep] + 1, 2 * cols[keep] + side, below[keep], bound[keep])
+
+    def _open(self, nodes: np.ndarray, rows: np.ndarray, shift: np.ndarray, side: int, nothing: int) -> np.ndarray:
         """The nodes of the rows in one half of the columns of ``nodes``."""
         mask = self.mask[nodes]
         part = (2 * ((rows >> shift) & 1) + side).astype(np.uint8)
@@ -196,6 +189,36 @@ class Treap:
         return np.where((self.mask[below] == 0) & (self.row[below] != rows), nothing, below)
 
 
+class _Ranges:
+    """Ranges of columns that may be opened: their level, number, nodes and bound."""
+
+    def __init__(self, nodes: np.ndarray, bounds: np.ndarray):
+        self.parts = [np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), nodes, bounds]
+        self.size = len(nodes)
+
+    def put(self, *more: np.ndarray) -> None:
+        need = self.size + len(more[0])
+        if need > len(self.parts[0]):
+            self.parts = [np.concatenate([p[:self.size], m, np.zeros((need, *p.shape[1:]), p.dtype)]) for p, m in zip(self.parts, more, strict=True)]
+        else:
+            for p, m in zip(self.parts, more, strict=True):
+                p[self.size:need] = m
+        self.size = need
+
+    def take(self, n: int, floor: int) -> list[np.ndarray]:
+        """Out come the ``n`` ranges with the largest bounds, none below ``floor``."""
+        bounds = self.parts[3][:self.size]
+        chosen = np.argpartition(-bounds, n - 1)[:n] if self.size > n else np.arange(self.size)
+        out = [p[chosen] for p in self.parts]
+        left = chosen < self.size - len(chosen)
+        last = np.setdiff1d(np.arange(self.size - len(chosen), self.size), chosen[~left], assume_unique=True)
+        for p in self.parts:  # ranges from the end fill the gaps
+            p[chosen[left]] = p[last]
+        self.size -= len(chosen)
+        good = out[3] >= floor
+        return [p[good] for p in out]
+
+
 def _pack(values: np.ndarray, kind: str) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype(kind)).tobytes())
 
