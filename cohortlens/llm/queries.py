@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, sampled_pieces, token_counts, token_files, toxicity, treap_search, url_filters
+from cohortlens.llm import exact_dedup, packing, parity_join, quality_rules, repeated_phrases, sampled_pieces, secret_scan, token_alignment, token_counts, token_files, toxicity, treap_search, url_filters
 from cohortlens.llm.spark_util import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +208,13 @@ SELECT * FROM ranked WHERE rank <= 10
 """)
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap_search.search(treap_search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(read(spark, sf_dir, "documents"))
