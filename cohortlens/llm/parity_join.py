@@ -9,8 +9,9 @@ bands it sends d + 1 keys, and one is enough. Bands depend on
 the size band of the documents; a document near the lower end of its size band sends keys to the one below as well.
 
 Meetings become links in two rounds. Keys with many documents pair each of them with one leader. First every document
-is compared with one partner, which joins groups of near copies in linear time. Then partners, and documents of one key,
-are compared where they lie in different components yet. Comparisons look at sizes, at the Hamming distance of dense sketches of 1,024 bits, and at last at the
+is compared with one partner, which joins groups of near copies in linear time. Then partners are compared where they lie in different
+components yet. What is left of a key with many documents is compared with a central one of them, its leader, and then only with
+documents that share a shingle which the leader lacks: two linked documents of which one is unlike the leader must have one. Comparisons look at sizes, at the Hamming distance of dense sketches of 1,024 bits, and at last at the
 sets themselves. Texts with equal sets are one node throughout.
 
 A task sorts its own keys before it sends them. Where many of its documents have one key it sends their leader alone, so a
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import chunks, mix
@@ -44,6 +45,9 @@ SKETCH_WORDS = 16
 LOCAL_RUN = 32
 #: Documents of a key up to which all their pairs are compared at once.
 SMALL_RUN = 4
+#: Rounds in which nodes of hot keys are compared with leaders, and nodes that may share a shingle to be paired at once.
+LEADER_ROUNDS = 4
+SMALL_GROUP = 8
 #: Keys that one task sorts.
 BUCKET_KEYS = 1_500_000
 EMPTY = np.uint64(0xA0761D6478BD642F)
@@ -322,6 +326,127 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets.mapInArrow(_linked, "a long, b long")
 
 
+def _placed(df: DataFrame, joined: DataFrame, name: str, component: str) -> DataFrame:
+    """The component of each node of the column ``name``; a node without links is its own."""
+    known = joined.select(F.col("node").alias(name), F.col("component").alias("_known"))
+    return df.join(known, name, "left").withColumn(component, F.coalesce("_known", name)).drop("_known")
+
+
+def _bridges(across: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components ``a, b`` that links among the pairs ``a, b`` of components ``ca, cb`` connect."""
+    across = staged(across.select("a", "b", "ca", "cb").distinct())
+    found = _verify(across.select("a", "b"), sets).join(across, ["a", "b"])
+    return staged(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+
+
+def _widened(joined: DataFrame, bridges: DataFrame) -> DataFrame:
+    """The components after ``bridges`` between them."""
+    if bridges.isEmpty():
+        return joined
+    wider = staged(components(bridges))
+    every = joined.unionByName(wider.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    final = every.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
+    return staged(final.select("node", F.coalesce("wider", "component").alias("component")))
+
+
+def _open_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    """``key, node, component`` of the groups whose nodes lie in different components."""
+    of = staged(_placed(groups, joined, "node", "component"))
+    several = of.groupBy("key").agg(F.min("component").alias("base"), F.max("component").alias("other")).where("base <> other")
+    return staged(of.join(several.select("key", "base"), "key"))
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles a node has in common with its leader, and those that the leader lacks."""
+    for batch in batches:
+        common, sizes, rest = [], [], []
+        for x, y in zip(batch.column("runs_a"), batch.column("runs_b"), strict=True):
+            leader, own = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            inside = is_in(own, leader)
+            common.append(int(inside.sum()))
+            sizes.append(len(leader))
+            rest.append(own[~inside].view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
+            names=["leader", "node", "n_leader", "common", "rest"],
+        )
+
+
+def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Compare the nodes of each open group with one leader, then with those that share what the leader lacks.
+
+    Let x and y link, with c(x) shingles of x in the leader. They have at least 3/7 of both sizes together in common. If c(x)
+    or c(y) is less than that, they share a shingle that the leader lacks, and meet there. Otherwise both nodes are close to the leader; if
+    both link with it they are in one component already, and if not, such pairs are few and are compared. A node that
+    does not link with the leader sends as many of its rarest lacking shingles as it must. Shingles that many nodes send are the groups of the next
+    round. Returns those groups, or nothing when none is open, and the components.
+    """
+    rest = _open_groups(groups, joined)
+    if rest.isEmpty():
+        return None, joined
+    central = rest.groupBy("node").agg(F.count("*").alias("keys")).join(nodes.select("node", "n"), "node")
+    of = rest.join(central, "node")
+    leaders = of.groupBy("key").agg(F.max(F.struct("keys", (-F.col("n")).alias("small"), "node")).alias("l")).select("key", F.col("l.node").alias("a"))
+    star = staged(rest.join(leaders, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    with_sets = star.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b"
+    )
+    measured = staged(with_sets.mapInArrow(_measured, "leader long, node long, n_leader long, common long, rest array<long>"))
+    n = F.col("common") + F.size("rest")
+    linked = 7 * F.col("common") >= 3 * (F.col("n_leader") + n)
+    found = measured.where(linked).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    met = _placed(_placed(found, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb")
+    joined = _widened(joined, staged(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
+
+    several = _open_groups(groups, joined)
+    if several.isEmpty():
+        return None, joined
+    # only where a node of a group is not in the component of the group's leader there is more to find
+    still = several.join(leaders, "key").select(F.col("a").alias("leader"), "node").distinct()
+    about = staged(_placed(measured.join(still, ["leader", "node"], "left_semi").withColumn("n", n).withColumn("linked", linked), joined, "node", "component"))
+    smallest = about.groupBy("leader").agg(F.min("n").alias("least"))
+    about = about.join(smallest, "leader")
+    partner = F.greatest("least", F.ceil(3 * F.col("n") / 4))
+    shared = F.greatest(F.lit(1), F.ceil((3 * (F.col("n") + partner) - 7 * F.col("common")) / 7))
+    wanted = F.when(F.col("linked"), F.size("rest")).otherwise(F.size("rest") - shared + 1)
+    sent = staged(about.select("leader", "node", "n", "linked", "component", wanted.alias("wanted"), F.explode("rest").alias("e")))
+    often = staged(sent.groupBy("leader", "e").agg(F.count("*").alias("times"), F.min("component").alias("one"), F.max("component").alias("other")))
+    # shingles of one node or of one component order the others, but nobody meets there
+    ranked = sent.join(often, ["leader", "e"]).withColumn("place", F.row_number().over(Window.partitionBy("leader", "node").orderBy("times", "e")))
+    ranked = staged(ranked.where((F.col("place") <= F.col("wanted")) & (F.col("one") != F.col("other"))))
+    small = ranked.where(F.col("times") <= SMALL_GROUP)
+    x = small.where("NOT linked").select("leader", "e", F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = small.select("leader", "e", F.col("node").alias("b"), F.col("component").alias("cb"))
+    shares = x.join(y, ["leader", "e"]).where("ca <> cb")
+    near = about.select("leader", "node", "n", "common", "linked", "component")
+    x = near.where("NOT linked").select("leader", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("in_a"))
+    y = near.select("leader", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("in_b"))
+    enough = 7 * F.least("in_a", "in_b") >= 3 * (F.col("na") + F.col("nb"))
+    fits = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & enough & (F.col("ca") != F.col("cb"))
+    close = x.join(y, (x["leader"] == y["leader"]) & fits)
+    pairs = shares.select("a", "b", "ca", "cb").unionByName(close.select("a", "b", "ca", "cb"))
+    joined = _widened(joined, _bridges(_ordered(pairs), sets))
+    return staged(ranked.where(F.col("times") > SMALL_GROUP).select(F.xxhash64("leader", "e").alias("key"), "node")), joined
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The pairs with the smaller node first."""
+    swap = F.col("a") > F.col("b")
+    return pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"),
+        F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"),
+    ).distinct()
+
+
+def _all_pairs(groups: DataFrame, joined: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The last way out, for groups that are still open after ``LEADER_ROUNDS``: all their pairs across components that may link."""
+    rest = _open_groups(groups, joined)
+    one = rest.where("component <> base").select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(left, "a")
+    two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "base").join(right, "b")
+    differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("base")) | (F.col("a") < F.col("b")))
+    return _ordered(one.join(two, (one["key"] == two["key"]) & differ & _may_link()).select("a", "b", "ca", "cb"))
+
+
 def similar_documents(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", local_run: int = LOCAL_RUN, small_run: int = SMALL_RUN,
 ) -> DataFrame:
@@ -358,33 +483,16 @@ def similar_documents(
     # one partner of each node first; most others lie in its component then
     links = staged(_verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
     joined = staged(components(links))
-
-    def placed_in(df: DataFrame, name: str, component: str) -> DataFrame:
-        known = joined.select(F.col("node").alias(name), F.col("component").alias("_known"))
-        return df.join(known, name, "left").withColumn(component, F.coalesce("_known", name)).drop("_known")
-
-    apart = placed_in(placed_in(close, "a", "ca"), "b", "cb").where("ca <> cb")
-    # keys whose documents lie in different components yet
-    of = staged(placed_in(members.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "node", "component"))
-    open_keys = of.groupBy("key").agg(F.min("component").alias("base"), F.max("component").alias("other")).where("base <> other")
-    rest = staged(of.join(open_keys.select("key", "base"), "key"))
-    one = rest.where("component <> base").select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(left, "a")
-    two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), "base").join(right, "b")
-    differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("base")) | (F.col("a") < F.col("b")))
-    more = one.join(two, (one["key"] == two["key"]) & differ & _may_link()).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"),
-        F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"),
-    )
-    across = staged(apart.select("a", "b", "ca", "cb").unionByName(more).distinct())
-    found = _verify(across.select("a", "b"), sets).join(across, ["a", "b"])
-    bridges = staged(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    wider = staged(components(bridges))
-    every = joined.unionByName(wider.select("node", F.col("node").alias("component"))).groupBy("node").agg(
-        F.min("component").alias("component")
-    )
-    final = every.join(wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
-    final = final.select("node", F.coalesce("wider", "component").alias("component"))
+    apart = _placed(_placed(close, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb")
+    joined = _widened(joined, _bridges(apart, sets))
+    groups = staged(members.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
+    for _ in range(LEADER_ROUNDS):
+        groups, joined = _leader_round(groups, joined, nodes, sets)
+        if groups is None:
+            break
+    else:
+        joined = _widened(joined, _bridges(_all_pairs(groups, joined, left, right), sets))
+    final = joined.select("node", "component")
     placed = nodes.join(final, "node", "left").select(
         "node", "first_id", "rows", F.coalesce("component", "node").alias("component")
     )

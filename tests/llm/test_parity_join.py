@@ -88,3 +88,40 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, **{200 + i: 100 for i in range(30)}, 299: 299, 300: 299}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def edited(rnd, words, times):
+    out = list(words)
+    for _ in range(times):
+        out[rnd.randrange(len(out))] = f"e{rnd.randrange(10**9)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("group", [8, 2])
+def test_copies_with_more_and_fewer_edits(spark, monkeypatch, group):
+    """Many that do not link with each other, but link with some copy of few edits; two bases that share a part."""
+    monkeypatch.setattr(parity_join, "SMALL_GROUP", group)
+    rnd = random.Random(8)
+    one = [f"b{i}" for i in range(120)]
+    two = [*one[:95], *(f"d{i}" for i in range(30))]
+    rows = [(i, edited(rnd, rnd.choice([one, one, two]), rnd.choice([0, 1, 2, 3, 3, 4, 5, 6]))) for i in range(160)]
+    got = parity_join.similar_documents(odd_documents(spark, rows), local_run=1, small_run=2).collect()
+    want = similar(dict(rows))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 5
+
+
+def test_documents_of_one_template_are_not_paired(spark, monkeypatch):
+    compared = []
+    plain = parity_join._verify
+
+    def counting(pairs, sets):
+        compared.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(parity_join, "_verify", counting)
+    rnd = random.Random(9)
+    template = [f"t{i}" for i in range(90)]
+    rows = [(i, " ".join([*template, *(f"u{rnd.randrange(10**9)}" for _ in range(22))])) for i in range(400)]
+    got = parity_join.similar_documents(odd_documents(spark, rows), local_run=1, small_run=2).collect()
+    assert {r.component_id for r in got} == set(range(400))
+    assert sum(compared) < 10 * 400  # all pairs are 79,800
