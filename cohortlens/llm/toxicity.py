@@ -7,7 +7,7 @@ words, around a lexicon match that clean documents have; a match inside such a p
 is a logistic function of its matched weight, normalised by length, fitted on the same labelled rows.
 
 Every labelled row of the fitting share is used up to ``FIT_ROWS`` (those with the smallest hashes of their ids); the lexicon is
-at most ``LEXICON`` entries and is sent to the tasks with the code. Scoring sees the text alone.
+what ``FIT_ROWS`` texts can give and is sent to the tasks with the code. Scoring sees the text alone.
 """
 
 from __future__ import annotations
@@ -21,16 +21,17 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.arrays import chunks, find_words, hash_runs, hash_words, run_starts
+from cohortlens.llm.arrays import chunks, find_words, hash_runs, hash_words, mix, run_starts
 from cohortlens.llm.spark_util import bounded_sample, staged, texts
 
-#: Labelled rows used for fitting, entries of the lexicon, and exception phrases, at most.
+#: Labelled rows used for fitting, at most; that bounds the lexicon and the exception phrases as well.
 FIT_ROWS = 20_000
-LEXICON = 20_000
-EXCEPTIONS = 20_000
+#: Smallest hashes that texts must share to count as near copies.
+MIN_HASHES = 3
 #: Least weight of a lexicon entry, and least evidence for it: the Poisson deviance of its toxic documents.
 MIN_WEIGHT = 2.5
 MIN_EVIDENCE = 9.0
@@ -165,17 +166,25 @@ def _term_counts(rows: DataFrame, terms) -> DataFrame:
 
 
 def _sketches(folded: pa.Array) -> np.ndarray:
-    """The smallest hash of five consecutive words of each text; near copies mostly share it."""
+    """A number that near copies mostly share: of their smallest hashes of five consecutive words under ``MIN_HASHES`` orders.
+
+    A text with fewer words has a hash of itself, so only equal ones share it.
+    """
     out = []
     for chunk in chunks(folded):
         words = find_words(chunk)
         runs = hash_runs(hash_words(chunk.data, words), 5)
         spots, lengths = run_starts(words.first, 5)
-        least = np.arange(chunk.first, chunk.first + chunk.rows, dtype=np.uint64)  # short texts stay apart
-        full = lengths > 0
-        if full.any():
-            least[full] = np.minimum.reduceat(runs[spots], (np.cumsum(lengths) - lengths)[full])
-        out.append(least)
+        whole = [xxhash.xxh64_intdigest(chunk.data[a:b].tobytes()) for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
+        sketch = np.array(whole, np.uint64)
+        full = np.flatnonzero(lengths > 0)
+        if len(full):
+            starts = (np.cumsum(lengths) - lengths)[full]
+            sketch[full] = 0
+            for k in range(MIN_HASHES):
+                least = np.minimum.reduceat(mix(runs[spots] ^ np.uint64(k << 56)), starts)
+                sketch[full] = mix(sketch[full] ^ least)
+        out.append(sketch)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -210,13 +219,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     terms = (
         _term_counts(rows, candidate_terms).where(_evidence(n_clean, n_toxic) >= MIN_EVIDENCE)
         .withColumn("weight", _log_odds(n_clean, n_toxic)).where(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(LEXICON).collect()
+        .orderBy(F.desc("weight"), F.desc("toxic"), "term").collect()
     )
     lexicon = Lexicon({r["term"]: r["weight"] for r in terms})
     spared = (
         _term_counts(rows, lambda folded: contexts(folded, lexicon))
         .where((F.col("clean") >= 2) & (_log_odds(n_clean, n_toxic) < 0))
-        .orderBy(F.desc("clean"), "term").limit(EXCEPTIONS).collect()
+        .orderBy(F.desc("clean"), "term").collect()
     )
     lexicon = Lexicon(lexicon.weights, frozenset(r["term"] for r in spared))
     return _calibrated(lexicon, rows)

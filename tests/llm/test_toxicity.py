@@ -64,3 +64,34 @@ def test_odd_documents(spark):
     only = spark.createDataFrame([(i, 0) for i in range(1, 20)], "doc_id long, toxic int")
     assert {r.predicted for r in t.toxicity(odd_documents(spark), only).collect()} == {0}
     assert t.toxicity(odd_documents(spark, []), none).collect() == []
+
+
+def test_short_texts_are_told_apart_on_any_partitioning(spark):
+    spell = lambda i: "q" + "".join("bcdfghjkmn"[int(d)] for d in str(i))
+    rows = [(i, f"{spell(i)} {'vile' if i % 2 else 'mild'} z{spell(i)}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    docs = odd_documents(spark, rows)
+    scores = []
+    for parts in (1, 4, 40):
+        got = t.toxicity(docs.repartition(parts), labels).collect()
+        assert {r.doc_id for r in got if r.predicted} == {i for i, _ in rows if i % 2}
+        scores.append({r.doc_id: r.score for r in got})
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_matches_against_plain_search():
+    """The automaton's weight against a look at every entry for every distinct word, the heaviest of a word counting."""
+    rnd = random.Random(3)
+    lexicon = t.Lexicon({" vile ": 3.0, " vil": 2.0, " scum ": 2.5, " scumb": 4.0, " ev": 1.0}, frozenset({" evening ", " no scum "}))
+    pool = ["vile", "vileness", "Vile,", "evil", "scum", "scumbag", "evening", "no", "v1le", "ѕсum", "plain", "villa", "ever", "\n", "!"]
+    for n in [0, 1, *range(2, 60)]:
+        folded = t.fold(" ".join(rnd.choice(pool) for _ in range(n)))
+        words, best = folded.split(), {}
+        for at, word in enumerate(words):
+            pairs = {f" {a} {b} " for a, b in [(words[at - 1] if at else "", word), (word, words[at + 1] if at + 1 < len(words) else "")]}
+            if ({f" {word} "} | pairs) & lexicon.exceptions:
+                continue
+            for entry, weight in lexicon.weights.items():
+                if f" {word} ".startswith(entry):
+                    best[word] = max(best.get(word, 0.0), weight)
+        assert lexicon.weight(folded) == pytest.approx(sum(best.values()) / (1.0 + len(words) / t.LENGTH_SCALE))
