@@ -65,18 +65,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    """The rounds of the propagation written out, one after another."""
-    rounds, p = url_filters.ROUNDS, url_filters.PASS_ON
-    steps = "".join(
-        f"""
-, a{k} AS (SELECT kind, dst AS host, sum(score * share) AS arrived FROM flows JOIN s{k - 1} ON src = host AND flows.kind = s{k - 1}.k
-  GROUP BY kind, dst)
-, s{k} AS (SELECT k, b.host, round(seed + {p} * coalesce(arrived, 0), 12) AS score
-  FROM base b LEFT JOIN a{k} ON b.host = a{k}.host AND b.k = a{k}.kind)"""
-        for k in range(1, rounds + 1)
-    )
+    """The propagation run for 150 rounds: what is left is less than 0.85 to that power, a ten-thousand-millionth."""
     return rf"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
@@ -114,10 +105,14 @@ WITH parsed AS (
   FROM hosts LEFT JOIN seeds USING (host) CROSS JOIN (VALUES ('trust'), ('distrust')) t(k)
 ), flows AS (
   SELECT kind, src, dst, (n / sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM steps
-), s0 AS (SELECT k, host, seed AS score FROM base){steps}
-, scores AS (
-  SELECT host, max(score) FILTER (k = 'trust') AS trust, max(score) FILTER (k = 'distrust') AS distrust
-  FROM s{rounds} GROUP BY host
+), added AS (
+  SELECT 0 AS round, k, host, seed AS score FROM base WHERE seed > 0
+  UNION ALL
+  SELECT round + 1, k, dst, sum({url_filters.PASS_ON} * score * share) FROM added JOIN flows ON kind = k AND src = host
+  WHERE round < 150 GROUP BY round, k, dst
+), scores AS (
+  SELECT host, coalesce(sum(score) FILTER (k = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (k = 'distrust'), 0) AS distrust
+  FROM added GROUP BY host
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

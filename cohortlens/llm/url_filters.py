@@ -7,12 +7,14 @@ allow or block. Hosts pass trust along the links of their pages, and between a h
 blocked where its distrust exceeds both its trust and ``BLOCK_FROM``.
 
 Everything is DataFrame operations. Links are counted per pair of hosts before anything is joined; each round joins that
-list with one small row per host and writes the new scores as a table, so a lost executor costs its tasks only. Rows of
+list with one small row per host and writes what it adds as a table, so a lost executor costs its tasks only. Rows of
 a hub host are spread over ``SPREAD`` parts of each join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ from cohortlens.llm.spark_util import staged
 
 #: Fixed values: (host and path, verdict) of the driver's rules.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Share of a host's score that it passes on in each round, and number of rounds.
+#: Share of a host's score that it passes on in each round.
 PASS_ON = 0.85
-ROUNDS = 8
+#: Rounds between two looks at what is still to come, and what may be left out where a verdict is a tie.
+ROUNDS = 10
+NEGLIGIBLE = 1e-9
 #: Distrust from which a host may be blocked; a host with all its pages blocked has at least 1.
 BLOCK_FROM = 0.5
 #: Weight of the link between a host and its parent domain, in pages.
@@ -90,11 +94,15 @@ def seeds(ruled: DataFrame) -> DataFrame:
     return ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
 
 
-def propagate(seed: DataFrame, links: DataFrame, rounds: int = ROUNDS, pass_on: float = PASS_ON) -> DataFrame:
-    """Scores after ``rounds`` rounds: ``host, trust, distrust``.
+def propagate(seed: DataFrame, links: DataFrame, pass_on: float = PASS_ON, block_from: float = BLOCK_FROM) -> DataFrame:
+    """Scores that settle all verdicts: ``host, trust, distrust``.
 
     A score is the host's seed and ``pass_on`` times what arrives (personalised PageRank, in units of a seed). ``links``
     (``src, dst, n``) name any hosts; those without pages have no seed. What a host without a link on has stays with it.
+
+    Each round passes on what the round before has added, so scores only grow. All later rounds together add at most
+    ``pass_on / (1 - pass_on)`` times the last round's sum to any host. Rounds go on until that cannot change whether a
+    host's distrust reaches ``block_from`` and exceeds its trust, or is below ``NEGLIGIBLE``.
     """
     found = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
     start = staged(
@@ -106,19 +114,24 @@ def propagate(seed: DataFrame, links: DataFrame, rounds: int = ROUNDS, pass_on:
     )
     out_weight = steps.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     flows = staged(_spread_join(steps, out_weight).withColumn("share", F.col("n") / F.col("total")).drop("n", "total"))
-    base = staged(_by_kind(start))
-    scores = base
-    for _ in range(rounds):
-        moved = _spread_join(flows, scores.select("kind", F.col("host").alias("src"), "score").where("score > 0"))
-        arrived = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("arrived"))
-        scores = staged(
-            base.withColumnRenamed("score", "seed").join(arrived, ["kind", "host"], "left").select(
-                "kind", "host",
-                F.round(F.col("seed") + pass_on * F.coalesce("arrived", F.lit(0.0)), 12).alias("score"),
-            )
-        )
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)
-    return scores.groupBy("host").agg(pick("trust"), pick("distrust"))
+    added = staged(_by_kind(start))
+    scores = added
+    while True:
+        news = []
+        for _ in range(ROUNDS):
+            moved = _spread_join(flows, added.select("kind", F.col("host").alias("src"), "score").where("score > 0"))
+            arrived = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("arrived"))
+            added = staged(arrived.select("kind", "host", F.round(pass_on * F.col("arrived"), 15).alias("score")))
+            news.append(added)
+        every = reduce(DataFrame.unionByName, news, scores)
+        scores = staged(every.groupBy("kind", "host").agg(F.round(F.sum("score"), 12).alias("score")))
+        to_come = (added.agg(F.sum("score")).first()[0] or 0.0) * pass_on / (1 - pass_on) + NEGLIGIBLE
+        pick = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
+        out = scores.groupBy("host").agg(pick("trust"), pick("distrust"))
+        blocked = (F.col("distrust") >= block_from) & (F.col("distrust") > F.col("trust") + to_come)
+        allowed = (F.col("distrust") + to_come < block_from) | (F.col("distrust") + to_come < F.col("trust"))
+        if to_come <= 2 * NEGLIGIBLE or out.where(~blocked & ~allowed).isEmpty():
+            return out
 
 
 def _by_kind(scores: DataFrame) -> DataFrame:
