@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import mix
-from cohortlens.llm.spark_util import attach_groups, row_key, staged, texts
+from cohortlens.llm.spark_util import attach_groups, row_key, staged, texts, unused
 
 DIGEST = 32
 #: Bits per key on each level of the hash.
@@ -180,9 +180,10 @@ def kept_rows(docs: DataFrame, decisions: DataFrame, text: str = "text", doc_id:
     By id alone, rows without an id stay if one of them is kept.
     """
     keyed = "row_key" in decisions.columns
-    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept_id"), *([F.col("row_key").alias("_kept_key")] if keyed else []))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id"))
-    return docs.join(kept.distinct(), same & (row_key(text, doc_id) == F.col("_kept_key")) if keyed else same, "left_semi")
+    name, key = unused(docs, "_kept_id", "_kept_key")
+    kept = decisions.where("kept").select(F.col("doc_id").alias(name), *([F.col("row_key").alias(key)] if keyed else []))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(name))
+    return docs.join(kept.distinct(), same & (row_key(text, doc_id) == F.col(key)) if keyed else same, "left_semi")
 
 
 def one_of_equal(docs: DataFrame) -> DataFrame:
@@ -197,5 +198,6 @@ def one_of_equal(docs: DataFrame) -> DataFrame:
         return single
     repeated = kept_rows(docs, kept.where("several"))
     row = F.struct(*(F.col(c) for c in docs.columns))
-    one = repeated.groupBy(F.col("doc_id").alias("_id"), row_key().alias("_key")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    # as text, because maps have no hash
+    one = repeated.groupBy(F.col("doc_id").alias("_id"), row_key().alias("_key")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
     return single.unionByName(one.select("_row.*"))

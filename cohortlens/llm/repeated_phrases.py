@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.arrays import Chunk, chunks, find_words, hash_runs, hash_words, mix, run_starts
 from cohortlens.llm.frequent import frequent_runs, is_in
-from cohortlens.llm.spark_util import staged, texts
+from cohortlens.llm.spark_util import staged, texts, unused
 
 WINDOW = 20
 ANCHOR = 8
@@ -66,7 +66,7 @@ def anchors(chunk: Chunk, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 #: What a row of the first pass holds: anchors to sort, the first of anchors that the batch repeats, repeated anchors.
 SORT, FIRST, REPEATED = 0, 1, 2
 PLACES = ["key", "doc", "tag", "start", "n"]
-PLACE_TYPES = [np.uint64, np.int64, np.int32, np.int32, np.int32]
+PLACE_TYPES = [np.uint64, np.int64, np.int64, np.int32, np.int32]
 BLOBS = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in PLACES)
 
 
@@ -86,8 +86,13 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, bucke
         new = np.r_[True, key[1:] != key[:-1]]
         again = ~np.r_[new[1:], True] | ~new  # the key occurs twice or more in this batch
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        for kind, chosen in ((SORT, ~again), (FIRST, again & new), (REPEATED, again)):
+        for kind, chosen in ((SORT, ~again), (FIRST, again & new)):
             yield from _blobs([p[chosen] for p in places], bucket[chosen], kind)
+        # these need no sorting; they go where their document says, so that a frequent anchor fills no bucket
+        places = [p[again] for p in places]
+        bucket = ((mix(places[1].view(np.uint64) ^ places[2].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        yield from _blobs([p[order] for p in places], bucket[order], REPEATED)
 
 
 def _by_byte(values: np.ndarray) -> bytes:
@@ -134,7 +139,7 @@ def _recurring(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(p[chosen]) for c, p in zip(PLACES, places, strict=True)})
 
 
-FRAGMENTS = "key long, doc long, tag int, start int, n int, words binary"
+FRAGMENTS = "key long, doc long, tag long, start int, n int, words binary"
 
 
 def _send_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +177,12 @@ def _send_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         anywhere = mix(ids[row].view(np.uint64) + start.astype(np.uint64)).view(np.int64)
         spread = np.where(words_out.is_null().to_numpy(zero_copy_only=False), anywhere, key)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(spread, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(tags[row], pa.int32()), pa.array(start, pa.int32()),
+            [pa.array(spread, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(tags[row], pa.int64()), pa.array(start, pa.int32()),
              pa.array(n, pa.int32()), words_out], names=["key", "doc", "tag", "start", "n", "words"],
         ).filter(pa.array(~twice))
 
 
-REMOVED = "doc long, tag int, start int, stop int"
+REMOVED = "doc long, tag long, start int, stop int"
 
 
 class Shard:
@@ -264,7 +269,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(doc, tag, start, stop) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     values = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip((doc, tag, start, stop), types, strict=True)]
     return pa.RecordBatch.from_arrays([v.cast(t) for v, t in zip(values, types, strict=True)], names=["doc", "tag", "start", "stop"])
 
@@ -293,30 +298,30 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_left(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values, stays = [], []
-        for value, cuts in zip(batch.column(text).to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
+        for value, cuts in zip(batch.column(text).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             kept = _kept_words(value.encode().split(), cuts) if cuts else []
             values.append(b" ".join(kept).decode() if cuts else value)
             stays.append(not cuts or bool(kept))
-        batch = batch.drop_columns(["_cuts"])
+        batch = batch.select(range(batch.num_columns - 1))
         batch = batch.set_column(batch.schema.get_field_index(text), text, pa.array(values, pa.string()))
         yield batch.filter(pa.array(stays, pa.bool_()))
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return texts(docs, text, doc_id).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("tag"), "text")
+    return texts(docs, text, doc_id).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
 
 
 def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Intervals of words to remove, a written table: ``doc, tag`` (id and hash of the text), ``cuts`` (start, stop)."""
+    """Intervals of words to remove, a written table: ``doc, tag`` (id and 64-bit hash of the text), ``cuts`` (start, stop)."""
     plain = _keyed(docs, text, doc_id)
     frequent, _, n_runs = frequent_runs(plain, ANCHOR, False)
     buckets = max(1, -(-n_runs // 6 // BUCKET_KEYS))
     sent = plain.mapInArrow(lambda it: _send_anchors(it, frequent, buckets), BLOBS)
-    recurring = sent.groupBy("bucket").applyInArrow(_recurring, "key long, doc long, tag int, start int, n int")
-    places = recurring.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "n")).alias("places"))
+    recurring = sent.groupBy("bucket").applyInArrow(_recurring, "key long, doc long, tag long, start int, n int")
+    places = recurring.groupBy("doc", "tag").agg(F.collect_set(F.struct("key", "start", "n")).alias("places"))
     fragments = plain.join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(_send_fragments, FRAGMENTS)
     located = fragments.repartition("key").sortWithinPartitions("key", "doc", "tag", "start").mapInArrow(_locate, REMOVED)
-    return staged(located.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
+    return staged(located.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("cuts")))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -336,7 +341,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the words left as text; a row of which no word is left goes, one that loses none stays as it is."""
-    cuts = find_repeats(docs, text, doc_id).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("cuts").alias("_cuts"))
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_doc")
-    joined = docs.join(cuts, key & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_tag")), "left")
-    return joined.select(*(docs[c] for c in docs.columns), "_cuts").mapInArrow(lambda it: _texts_left(it, text), docs.schema)
+    doc, tag, cuts = unused(docs, "_doc", "_tag", "_cuts")
+    found = find_repeats(docs, text, doc_id).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("cuts").alias(cuts))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col(doc)
+    joined = docs.join(found, key & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(tag)), "left")
+    return joined.select(*(docs[c] for c in docs.columns), cuts).mapInArrow(lambda it: _texts_left(it, text), docs.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.sources.materialize import staged
 
-__all__ = ["attach_groups", "bounded_sample", "read", "row_key", "staged", "texts"]
+__all__ = ["attach_groups", "bounded_sample", "read", "row_key", "staged", "texts", "unused"]
 
 #: A group with more than this share of the rows is hot; so there are at most ``1 / HOT_SHARE`` of them.
 HOT_SHARE = 0.001
@@ -22,6 +22,18 @@ def texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(text: str = "text", doc_id: str = "doc_id"):
     """Names a row by its id and text, so that rows that share an id or have none stay apart; equal rows share it."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.lit(0), F.coalesce(F.col(text), F.lit("")))

@@ -7,7 +7,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, doc string, tag int, digest string, key long, node long, n long, kept boolean, n_words long"
+SCHEMA = "doc_id long, text string, lang string, doc string, tag int, digest string, key long, node long, n long, kept boolean, n_words long, _cuts int, _doc long, _tag int, _kept_id long, _kept_key string, props map<string,int>"
 
 
 def words(text: str | None) -> list[str]:
@@ -37,7 +37,7 @@ def odd_rows(seed: int = 1) -> list[tuple]:
 
 def odd_documents(spark, rows=None):
     rows = odd_rows() if rows is None else rows
-    return spark.createDataFrame([(i, t, "en", "d", 1, "x", 2, 3, 4, True, 5) for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", "d", 1, "x", 2, 3, 4, True, 5, 6, 7, 8, 9, "k", {"a": 1}) for i, t in rows], SCHEMA).repartition(3)
 
 
 def similar(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:

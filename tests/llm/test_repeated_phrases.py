@@ -49,3 +49,26 @@ def test_texts_left(spark):
     left = repeated_phrases.drop_repeats(docs)
     assert left.columns == docs.columns
     assert {r.doc_id: r.text for r in left.collect()} == {1: rows[0][1], 2: "x y", 4: None}
+
+
+def test_texts_that_share_an_id_and_a_32_bit_hash_stay_apart(spark):
+    """Two texts of equal 32-bit hash, one of a single word, the other a copy: none loses words of the other."""
+    seen, pair = {}, None
+    words = spark.range(400_000).selectExpr("concat('w', id) AS t").selectExpr("t", "hash(t) AS h").groupBy("h").agg({"t": "collect_list"})
+    for r in words.where("size(`collect_list(t)`) > 1").limit(1).collect():
+        pair = r[1][:2]
+    assert pair and not seen
+    passage = " ".join(f"p{i}" for i in range(30))
+    for doc_id in (None, 7):
+        rows = [(1, passage), (doc_id, pair[0]), (doc_id, pair[1]), (doc_id, passage), (doc_id, passage)]
+        got = repeated_phrases.remove_repeats(odd_documents(spark, rows)).collect()
+        assert sorted((r.n_words, r.n_removed) for r in got) == [(1, 0), (1, 0), (30, 0), (30, 30), (30, 30)]
+        left = repeated_phrases.drop_repeats(odd_documents(spark, rows)).collect()
+        assert sorted(r.text for r in left) == sorted([passage, *pair])
+
+
+def test_many_equal_rows_send_their_places_once(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, "x " + passage)] + [(None, passage + " y")] * 60
+    got = repeated_phrases.remove_repeats(odd_documents(spark, rows).repartition(6)).collect()
+    assert sorted({(r.doc_id is None, r.n_words, r.n_removed) for r in got}) == [(False, 41, 0), (True, 41, 40)] and len(got) == 61
