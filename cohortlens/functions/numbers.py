@@ -36,6 +36,34 @@ def percent_of(part: Column | str, total: Column | str, digits: int = 2) -> Colu
     return F.round(F.try_divide(part * 100.0, F.col(total) if isinstance(total, str) else total), digits)
 
 
+#: Where a value is cut in two, and beyond which a sum is a plain one.
+_LOW_PART, _BEYOND = 2.0**30, 1e27
+
+
+def repeatable_sum(c: Column | str) -> Column:
+    """Sum of a DOUBLE column that comes out the same, to the last bit, in whatever order the rows are added.
+
+    A plain sum of doubles rounds after each step, so another partitioning or a recomputed task may end in another
+    digit, and a comparison of two branches of a plan then fails. Here each value is cut into a multiple of 2^30 and the
+    rest to 16 decimals; both are added as whole numbers, which is exact, up to 10^10 rows of the largest values. NaN, infinities and numbers from
+    10^27 on are added as doubles. NULL if there is no value.
+    """
+    column = (F.col(c) if isinstance(c, str) else c).cast("double")
+    usual = F.abs(column) < _BEYOND
+    high = F.rint(column / _LOW_PART) * _LOW_PART
+    low = F.sum(F.when(usual, (column - high).cast("decimal(27,16)"))).cast("double")
+    top = F.sum(F.when(usual & (high != 0), high.cast("decimal(28,0)"))).cast("double")
+    rest = F.sum(F.when(~usual, column))
+    some = [F.coalesce(part, F.lit(0.0)) for part in (low, top, rest)]
+    return F.when(F.count(column) > 0, some[0] + some[1] + some[2])
+
+
+def repeatable_mean(c: Column | str) -> Column:
+    """Mean of a DOUBLE column, from ``repeatable_sum``."""
+    column = F.col(c) if isinstance(c, str) else c
+    return F.try_divide(repeatable_sum(column), F.count(column))
+
+
 # Fixed value: the 97.5 % point of the standard normal distribution.
 Z_975 = 1.959964
 

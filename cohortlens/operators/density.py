@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.distribution import quantiles
+from cohortlens.sources.materialize import staged
+
+#: What a partial grid says about where it lies.
+EXTENT = ("x0", "x1", "y0", "y1")
 
 # Fixed values of the normal-reference bandwidth rule.
 BANDWIDTH_FACTOR = 1.06
@@ -61,15 +65,16 @@ def density_2d(
 ) -> DataFrame:
     """Kernel density on a regular grid over the extent of the points.
 
-    Points are first summed per coordinate. The Gaussian kernel is a product of one factor per axis, so a
+    Points are first summed per coordinate and written. The Gaussian kernel is a product of one factor per axis, so a
     batch of points adds ``Kx * W * Ky'`` to the grid: one small matrix product instead of a row per point
-    and cell. Every task sends at most one partial grid to the final sum.
+    and cell. A task sends its partial grid as one row. These are added in two levels, each task of the first one adding
+    about the square root of their number.
     """
     nx, ny = grid
     if min(grid) < 2:
         raise ValueError("the grid needs at least 2 cells per axis")
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    points = (
+    points = staged(
         df.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
         .groupBy(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
         .agg(measure.cast("double").alias("w"))
@@ -93,17 +98,32 @@ def density_2d(
             ky = np.exp(-0.5 * ((gy - batch.y.to_numpy()) / last.sy) ** 2)
             cells += (kx * batch.w.to_numpy()) @ ky.T
         if last is not None:
-            ix, iy = np.indices(cells.shape)
+            cells /= 2 * math.pi * last.sx * last.sy * last.total
+            yield pd.DataFrame({**{c: [last[c]] for c in EXTENT}, "grid": [cells.tobytes()]})
+
+    def added(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, last = np.zeros((nx, ny)), None
+        for batch in batches:
+            for grid_ in batch.grid:
+                cells += np.frombuffer(grid_).reshape(nx, ny)
+            last = last if batch.empty else batch.iloc[0]
+        if last is not None:
+            yield pd.DataFrame({**{c: [last[c]] for c in EXTENT}, "grid": [cells.tobytes()]})
+
+    def cells_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for total in added(batches):
+            last = total.iloc[0]
+            ix, iy = (i.ravel() for i in np.indices((nx, ny)))
             yield pd.DataFrame({
-                "ix": ix.ravel(),
-                "iy": iy.ravel(),
-                "gx": np.linspace(last.x0, last.x1, nx)[ix.ravel()],
-                "gy": np.linspace(last.y0, last.y1, ny)[iy.ravel()],
-                "part": cells.ravel() / (2 * math.pi * last.sx * last.sy * last.total),
+                "ix": ix, "iy": iy, "gx": np.linspace(last.x0, last.x1, nx)[ix], "gy": np.linspace(last.y0, last.y1, ny)[iy],
+                "density": np.frombuffer(last.grid),
             })
 
-    parts = prepared.mapInPandas(partial_grid, "ix int, iy int, gx double, gy double, part double")
-    return parts.groupBy("ix", "iy", "gx", "gy").agg(F.sum("part").alias("density"))
+    schema = ", ".join(f"{c} double" for c in EXTENT) + ", grid binary"
+    parts = staged(prepared.mapInPandas(partial_grid, schema))
+    tasks = max(1, math.isqrt(parts.count()))
+    levels = parts.repartition(tasks, F.xxhash64("grid")).mapInPandas(added, schema)
+    return levels.repartition(1).mapInPandas(cells_of, "ix int, iy int, gx double, gy double, density double")
 
 
 def density_bands(density: DataFrame, bins: int = 16, value: str = "density") -> DataFrame:

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import t_critical
 from cohortlens.operators.joins import null_safe_join
 from cohortlens.operators.ranking import category_order, ordered_positions
+from cohortlens.sources.materialize import staged
+
+#: Cells that one pass of a quantile cuts a range of values into, and groups up to which that is done.
+CELLS = 4096
+MOST_GROUPS = 10_000
 
 
 def _measure(weight: str | None):
@@ -43,28 +50,111 @@ def _value_positions(df: DataFrame, value: str, by: Sequence[str], weight: str |
     return ordered_positions(present.withColumn(value, F.col(value).cast("double")), [value], by, weight)
 
 
+def _same_group(left: DataFrame, right: DataFrame, on: dict[str, str]) -> Column:
+    """Columns of ``left`` equal those of ``right``, NULL like NULL."""
+    return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in on.items()])
+
+
+def _size(x: Column) -> Column:
+    """Grows with ``x`` as its logarithm does, on both sides of zero."""
+    return F.when(x > 0, F.ln(x) + 746).when(x < 0, -746 - F.ln(-x)).otherwise(F.lit(0.0))
+
+
+def _needed_positions(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], weight: str | None) -> DataFrame:
+    """The order statistics that the probabilities ask for, as ``ordered_positions`` has them, by repeated counting.
+
+    One pass counts how many values of a group lie in each of ``CELLS`` cells between its lowest and highest one. Cells that hold a
+    wanted rank are counted again, cut as finely between their own extremes, until each holds one value. Every pass is
+    a scan with map-side counts: values are neither sorted nor shuffled. The cells looked into (two per group and
+    probability at most) are broadcast; with more than ``MOST_GROUPS`` groups values are sorted instead.
+    """
+    by = list(by)
+    copies = F.lit(1).cast("long") if weight is None else F.col(weight)
+    groups_of = {c: f"_by{i}" for i, c in enumerate(by)} | {"_all": "_one"}
+    x = F.col("_x")
+    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    present = df.filter(F.col(value).isNotNull()).select(
+        *by, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_x"), copies.alias("_w"), F.lit(0).cast("long").alias("_cell"),
+    )
+    groups = staged(present.groupBy(*by, "_all").agg(
+        F.sum("_w").alias("n_total"), F.min(F.when(finite, x)).alias("_lo"), F.max(F.when(finite, x)).alias("_hi"),
+    ))
+    if groups.count() > MOST_GROUPS:
+        return _value_positions(df, value, by, weight)
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("n_total") - 1) * float(p)), F.ceil((F.col("n_total") - 1) * float(p))) for p in probs
+    ])))
+    wanted = groups.withColumn("_ranks", ranks).withColumnsRenamed(groups_of)
+    into = wanted.select(*groups_of.values(), F.lit(0).cast("long").alias("_in"), F.lit(0).cast("long").alias("_before"), "_lo", "_hi", "n_total", "_ranks")
+    rows, found = present, []
+    while True:
+        # the cells of the last pass that are looked into; a row in none of them is left out from here on
+        same = _same_group(rows, into, groups_of) & (rows["_cell"] == into["_in"])
+        inside = rows.join(F.broadcast(into.select(*groups_of.values(), "_in", "_lo", "_hi")), same)
+        width = F.col("_hi") - F.col("_lo")
+        half = (x / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # where the width itself is too large
+        part = F.when(width < F.lit(float("inf")), (x - F.col("_lo")) / width).otherwise(half)
+        if len(found) % 2:  # what is still far apart after even cells is cut by size
+            small, large = F.least(F.abs("_lo"), F.abs("_hi")), F.greatest(F.abs("_lo"), F.abs("_hi"))
+            wide = (F.signum("_lo") != F.signum("_hi")) | (large / 1e3 > small)
+            by_size = (_size(x) - _size(F.col("_lo"))) / (_size(F.col("_hi")) - _size(F.col("_lo")))
+            part = F.when(wide, by_size).otherwise(part)
+        part = F.floor(part * CELLS)
+        cell = (
+            F.when(F.isnan(x), CELLS + 1).when(x == F.lit(float("inf")), CELLS).when(x == F.lit(float("-inf")), -1)
+            .when(F.col("_hi") > F.col("_lo"), F.least(part, F.lit(CELLS - 1))).otherwise(0)
+        )
+        # the number of a cell in all passes so far: few cells are looked into, so they are numbered by their first rank
+        rows = inside.withColumn("_cell", cell.cast("long")).select(*by, "_all", "_x", "_w", "_cell", F.col("_in").alias("_over"))
+        counted = rows.groupBy(*by, "_all", "_over", "_cell").agg(F.sum("_w").alias("n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        to = into.select(*groups_of.values(), F.col("_in").alias("_over_"), "_before", "n_total", "_ranks")
+        placed = counted.join(F.broadcast(to), _same_group(counted, to, groups_of) & (counted["_over"] == to["_over_"]))
+        order = Window.partitionBy(*by, "_all", "_over").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first = F.col("_before") + F.sum("n").over(order) - F.col("n")
+        hit = F.exists("_ranks", lambda r: (r >= F.col("n_before")) & (r < F.col("n_before") + F.col("n")))
+        hits = staged(placed.withColumn("n_before", first).where(hit).select(
+            *by, "_all", "_over", "_cell", "n", "n_before", "n_total", "_low", "_high", "_ranks",
+        ))
+        alone = F.col("_low").eqNullSafe(F.col("_high"))
+        found.append(hits.where(alone).select(*by, F.col("_low").alias(value), "n", "n_before", "n_total"))
+        more = hits.where(~alone)
+        if more.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        # a cell goes by its number of rows before it, which no other cell of the group shares
+        into = more.withColumnsRenamed(groups_of).select(
+            *groups_of.values(), F.col("n_before").alias("_in"), F.col("n_before").alias("_before"),
+            F.col("_low").alias("_lo"), F.col("_high").alias("_hi"), "n_total", "_ranks", F.col("_over").alias("_at_over"), F.col("_cell").alias("_at_cell"),
+        )
+        at = into.select(*[F.col(c).alias(f"{c}_") for c in groups_of.values()], "_at_over", "_at_cell", F.col("_in").alias("_next"))
+        same = _same_group(rows, at, {a: f"{b}_" for a, b in groups_of.items()}) & (rows["_over"] == at["_at_over"]) & (rows["_cell"] == at["_at_cell"])
+        rows = rows.join(F.broadcast(at), same).select(*by, "_all", "_x", "_w", F.col("_next").alias("_cell"))
+
+
 def quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours: one row per group and probability.
 
-    Missing values are left out. The order statistics come from ``ordered_positions``, so no task holds all
-    values of a group.
+    Missing values are left out. The order statistics are found by counting ranges of values, so no task holds all
+    values of a group, and none is shuffled. Runs jobs: one per pass, few where values are spread.
     """
-    return _quantiles_of(_value_positions(df, value, by, weight), value, probs, list(by))
+    return _quantiles_of(_needed_positions(df, value, probs, by, weight), value, probs, list(by))
 
 
 def _with_fences(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
-    """Distinct values of each group with its quartiles and the 1.5 IQR fences."""
+    """The values with the quartiles of their group and the 1.5 IQR fences; ``n`` says how often a row counts."""
     by = list(by)
-    positions = _value_positions(df, value, by, weight)
-    tall = _quantiles_of(positions, value, (0.25, 0.5, 0.75), by)
-    quartiles = tall.groupBy(*by).agg(*[
+    tall = quantiles(df, value, (0.25, 0.5, 0.75), by, weight)
+    quartiles = staged(tall.groupBy(*by).agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
-    ])
+    ]))
     iqr = F.col("q3") - F.col("q1")
-    return null_safe_join(positions, quartiles, by).withColumns(
+    copies = F.lit(1).cast("long") if weight is None else F.col(weight)
+    present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value), copies.alias("n"))
+    if quartiles.count() <= MOST_GROUPS:
+        quartiles = F.broadcast(quartiles)
+    return null_safe_join(present, quartiles, by).withColumns(
         {"_low": F.col("q1") - iqr * 1.5, "_high": F.col("q3") + iqr * 1.5}
     )
 
@@ -83,7 +173,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], weight: str | None =
 def box_outliers(df: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
     """The values outside the fences, with how often each occurs."""
     fenced = _with_fences(df, value, by, weight)
-    return fenced.filter(~F.col(value).between(F.col("_low"), F.col("_high"))).select(*by, value, "n")
+    return fenced.filter(~F.col(value).between(F.col("_low"), F.col("_high"))).groupBy(*by, value).agg(F.sum("n").alias("n"))
 
 
 def histogram(

@@ -12,32 +12,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cohortlens.functions.numbers import repeatable_mean
 from cohortlens.operators.joins import null_safe_join, skew_join
-from cohortlens.sources.materialize import staged
 
 SAMPLES_PER_CHUNK = 8
 MIN_CHUNKS = 8
 
 
-def _settled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``df``, written as a table first when one of the columns is floating point.
-
-    The functions below compare values of one evaluation with those of another. A sum of doubles may change in
-    its last digit when it is computed again (another branch of the plan, a lost executor); a table does not.
-    """
-    fractional = any(isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in columns)
-    return staged(df) if fractional else df
-
-
 def ordered_positions(
     df: DataFrame,
     keys: Sequence[str],
     within: Sequence[str] = (),
     weight: str | None = None,
     chunks: int | None = None,
-    settle: bool = False,
     with_distinct: bool = False,
 ) -> DataFrame:
     """The distinct ``keys`` of every group in ascending order, with their place in that order.
@@ -52,8 +40,8 @@ def ordered_positions(
     before it. The sample only decides where the cuts are, so
     the positions are exact, and it is chosen by hash, so a repeated task makes the same cuts.
 
-    Keys must come out the same when they are computed again. Columns of a table do, also rounded or cast;
-    ``settle`` is for floating-point aggregates, which are written as a table first.
+    Keys must come out the same when they are computed again. Columns of a table do, also rounded or cast, and so do
+    whole numbers; sums and means of doubles do as ``functions.repeatable_sum`` and ``repeatable_mean``.
     """
     within, keys = list(within), list(keys)
     if chunks is None:
@@ -61,7 +49,6 @@ def ordered_positions(
         chunks = max(partitions, MIN_CHUNKS)
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
     distinct = df.groupBy(*within, *keys).agg(measure.alias("n"))
-    distinct = _settled(distinct, [*within, *keys]) if settle else distinct
 
     # Reads the same columns as the main branch, so both share one shuffle.
     sample = (
@@ -120,10 +107,11 @@ def add_rank(
 ) -> DataFrame:
     """Add the dense rank of ``by``, over the whole result or inside groups. Rows with a NULL ``by`` get NULL.
 
-    ``by`` may have any type that can be ordered; NaN is higher than every number, as in ``top_n``.
+    ``by`` may have any type that can be ordered; NaN is higher than every number, as in ``top_n``. Nothing is
+    written: values are compared with those of another branch of the plan, so sums and means of doubles should be
+    ``functions.repeatable_sum`` and ``repeatable_mean``.
     """
     within = list(within)
-    df = _settled(df, [*within, by])
     present = df.filter(F.col(by).isNotNull()).select(*within, F.col(by).alias("_by"))
     from_below = F.col("position")
     place = F.col("n_distinct") - from_below + 1 if descending else from_below
@@ -140,10 +128,9 @@ def top_n(
     ``rank`` names an optional dense-rank column; above the cut it equals the dense rank over all rows.
 
     The ``n`` highest values are found first. Ties beyond them never travel together: a row is kept by
-    comparing it with that short list, wherever it is.
+    comparing it with that short list, wherever it is. For sums and means of doubles see ``add_rank``.
     """
     within = list(within)
-    df = _settled(df, [*within, by])
     values = df.filter(F.col(by).isNotNull())
     highest = F.sort_array(F.collect_set(by), asc=False)
     if not within:
@@ -213,8 +200,8 @@ def sort_desc(df: DataFrame, by: str, *then: str) -> DataFrame:
 
 def category_order(df: DataFrame, category: str, measure: str, name: str = "category_order") -> DataFrame:
     """Categories ordered by descending mean of a measure, ties by category name; adds the place 1, 2, ..."""
-    means = df.groupBy(category).agg(F.avg(-F.col(measure)).alias("_score"))
-    placed = ordered_positions(means, ["_score", category], settle=True)
+    means = df.groupBy(category).agg(repeatable_mean(-F.col(measure)).alias("_score"))
+    placed = ordered_positions(means, ["_score", category])
     return placed.select(
         category, (-F.col("_score")).alias("mean_measure"), F.col("position").cast("int").alias(name)
     )

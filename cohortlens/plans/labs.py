@@ -53,9 +53,13 @@ def followup_of_positive(
     labs: DataFrame, first_test: str = "Occult Blood Test", positive: str = "Positive",
     second_test: str = "Helminths parasite/Ova/Cyst/Trophozoites",
 ) -> DataFrame:
-    """Results of a second test for the persons whose first test was positive."""
-    positives = labs.filter((F.col("lab_test") == first_test) & (F.col("value_text") == positive))
-    followups = labs.filter(F.col("lab_test") == second_test)
+    """Results of a second test for the persons whose first test was positive.
+
+    The rows that matter are taken from ``labs`` in one pass and written; persons and results are read from there.
+    """
+    is_first = (F.col("lab_test") == first_test) & (F.col("value_text") == positive)
+    rows = staged(labs.filter(is_first | (F.col("lab_test") == second_test)))
+    positives, followups = rows.filter(is_first), rows.filter(F.col("lab_test") == second_test)
     return semi_join(followups, positives, "person_id")
 
 
@@ -67,8 +71,9 @@ def paired_lab_results(
     ``pairs`` counts the low results of the person as often as the cohort join lists them; the lowest, highest
     and mean low value stand for the single partners. ``cohort_rows`` is how often the row itself is listed.
     """
-    low = labs.filter((F.col("lab_test") == low_test) & (F.col("value_numeric") <= limit))
-    paired = pair_measures(labs.filter(F.col("lab_test") == paired_test), low, weight="cohort_rows")
+    is_low = (F.col("lab_test") == low_test) & (F.col("value_numeric") <= limit)
+    rows = staged(labs.filter(is_low | (F.col("lab_test") == paired_test)))  # one pass over ``labs`` for both tests
+    paired = pair_measures(rows.filter(F.col("lab_test") == paired_test), rows.filter(is_low), weight="cohort_rows")
     return paired.withColumn("partner_test", F.lit(low_test))
 
 

@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from cohortlens import operators as op
+from cohortlens.operators import distribution
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +157,35 @@ def test_drill_counts_and_summary(spark):
     ]
     summary = op.column_summary(df, {"s": "count_distinct", "v": "avg"}).first().asDict()
     assert summary == {"count_c": 3, "count_distinct_s": 2, "avg_v": 1.5}
+
+
+def test_quantiles_of_odd_values(spark):
+    """Far apart, equal, infinite, not a number; weights of zero; groups without a name."""
+    rnd = np.random.default_rng(11)
+    values = [*(10.0 ** rnd.uniform(-300, 300, 200)), *(-(10.0 ** rnd.uniform(-12, 12, 100))), 0.0, -0.0, 1.7e308, -1.7e308, 5e-324, *[3.25] * 50]
+    data = [("a", float(v), 1 + i % 3) for i, v in enumerate(values)] + [(None, float(i), i % 2) for i in range(9)] + [("b", 1.0, 1), ("b", None, 5)]
+    df = spark.createDataFrame(data, "g string, v double, w int").repartition(7)
+    probs = [0, 0.01, 0.25, 0.5, 0.9, 1]
+    got = {(r.g, r.prob): r.quantile for r in op.quantiles(df, "v", probs, ["g"], weight="w").collect()}
+    for g in ("a", None, "b"):
+        full = np.array(sorted(v for k, v, w in data if k == g and v is not None for _ in range(w)))
+        for p in probs:
+            h = (len(full) - 1) * p
+            low, high = full[int(np.floor(h))], full[int(np.ceil(h))]
+            assert got[g, p] == pytest.approx(low + (high - low) * (h - np.floor(h)), rel=1e-12), (g, p)
+    ends = spark.createDataFrame([(v,) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("nan"))], "v double")
+    got = {r.prob: r.quantile for r in op.quantiles(ends, "v", [0.25, 0.5]).collect()}
+    assert got == {0.25: 1.0, 0.5: 2.0}
+    assert op.quantiles(df.limit(0), "v", probs, ["g"]).collect() == []
+
+
+def test_quantiles_of_very_many_groups_and_no_shuffle_of_values(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id % 40 AS g", "CAST((id * 7919) % 5003 AS DOUBLE) AS v")
+    few = {tuple(r) for r in op.quantiles(df, "v", [0.1, 0.5], ["g"]).collect()}
+    monkeypatch.setattr(distribution, "MOST_GROUPS", 10)
+    assert {tuple(r) for r in op.quantiles(df, "v", [0.1, 0.5], ["g"]).collect()} == few
+    monkeypatch.undo()
+    found = distribution._needed_positions(df, "v", [0.5], ["g"], None)
+    assert found.count() <= 2 * 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # tables of single order statistics are left

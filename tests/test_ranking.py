@@ -1,4 +1,6 @@
+import math
 import random
+import sys
 
 import pytest
 from conftest import rows
@@ -6,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens import operators as op
+from cohortlens.functions import repeatable_mean, repeatable_sum
 
 
 @pytest.fixture(scope="module")
@@ -105,12 +108,38 @@ def test_sort_desc_puts_missing_last(spark):
 
 
 def test_rank_and_top_of_sums_of_doubles(spark):
-    df = spark.range(2000).selectExpr("id % 50 AS k", "CAST(id * 0.1 AS DOUBLE) / 3 AS v").groupBy("k").agg(F.sum("v").alias("v"))
+    df = spark.range(2000).selectExpr("id % 50 AS k", "CAST(id * 0.1 AS DOUBLE) / 3 AS v").groupBy("k").agg(repeatable_sum("v").alias("v"))
     ranked = op.add_rank(df, "v").collect()
     assert sorted(r.inv_rank for r in ranked) == list(range(1, 51))
     assert op.top_n(df, 7, "v").count() == 7
 
 
+def test_sums_of_doubles_are_the_same_bits_on_any_partitioning(spark):
+    values = "CAST((id * 7919 % 100003) * 0.1 AS DOUBLE) / 3 * pow(10, id % 9) * (1 - 2 * (id % 2))"
+    df = spark.range(20000).selectExpr("id % 7 AS k", f"{values} AS v")
+    found = []
+    for parts in (1, 5, 31):
+        sums = df.repartition(parts, F.xxhash64("v", F.lit(parts))).groupBy("k").agg(repeatable_sum("v").alias("s"), repeatable_mean("v").alias("m"))
+        found.append({r.k: (r.s.hex(), r.m.hex()) for r in sums.collect()})
+    assert found[0] == found[1] == found[2]
+    exact = {}
+    for r in df.collect():
+        exact.setdefault(r.k, []).append(r.v)
+    for k, (s, m) in found[0].items():
+        assert float.fromhex(s) == pytest.approx(math.fsum(exact[k]), rel=1e-15, abs=1e-9)
+        assert float.fromhex(m) == pytest.approx(math.fsum(exact[k]) / len(exact[k]), rel=1e-15)
+    odd = spark.createDataFrame([(1, None), (2, 1.5), (2, None), (3, float("nan")), (4, float("inf")), (4, 1.0), (5, 1e300), (5, 1e300)], "k int, v double")
+    got = {r.k: r.s for r in odd.groupBy("k").agg(repeatable_sum("v").alias("s")).collect()}
+    assert got[1] is None and got[2] == 1.5 and math.isnan(got[3]) and got[4] == float("inf") and got[5] == 2e300
+
+
+def test_ranks_write_nothing(spark, monkeypatch):
+    monkeypatch.setattr(sys.modules["cohortlens.sources.materialize"], "shared_folder", lambda spark: (_ for _ in ()).throw(AssertionError("a table was written")))
+    df = spark.range(500).selectExpr("id % 50 AS k", "id * 0.1D AS v").groupBy("k").agg(repeatable_sum("v").alias("v"))
+    assert op.add_rank(df, "v").agg(F.max("inv_rank")).first()[0] == 50 and op.top_n(df, 3, "v").count() == 3
+    assert op.category_order(df, "k", "v").count() == 50
+
+
 def test_rank_of_nan_dates_and_text(spark):
     nan = spark.createDataFrame([(2.0,), (float("nan"),), (1.0,), (None,)], "v double")
     assert {str(r.v): r.inv_rank for r in op.add_rank(nan, "v").collect()} == {"nan": 1, "2.0": 2, "1.0": 3, "None": None}
