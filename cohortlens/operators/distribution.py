@@ -17,6 +17,8 @@ from cohortlens.sources.materialize import staged
 #: Cells that one pass of a quantile cuts a range of values into, and groups up to which that is done.
 CELLS = 4096
 MOST_GROUPS = 10_000
+#: Rows of a cell that are sorted rather than counted again.
+SORT_ROWS = 50_000
 
 
 def _measure(weight: str | None):
@@ -64,8 +66,8 @@ def _needed_positions(df: DataFrame, value: str, probs: Sequence[float], by: Seq
     """The order statistics that the probabilities ask for, as ``ordered_positions`` has them, by repeated counting.
 
     One pass counts how many values of a group lie in each of ``CELLS`` cells between its lowest and highest one. Cells that hold a
-    wanted rank are counted again, cut as finely between their own extremes, until each holds one value. Every pass is
-    a scan with map-side counts: values are neither sorted nor shuffled. The cells looked into (two per group and
+    wanted rank are counted again, cut as finely between their own extremes, until each holds one value, or so few rows
+    (``SORT_ROWS``) that these are put in order. Every pass is a scan with map-side counts; no other values are shuffled. The cells looked into (two per group and
     probability at most) are broadcast; with more than ``MOST_GROUPS`` groups values are sorted instead.
     """
     by = list(by)
@@ -118,7 +120,8 @@ def _needed_positions(df: DataFrame, value: str, probs: Sequence[float], by: Seq
         alone = F.col("_low").eqNullSafe(F.col("_high"))
         found.append(hits.where(alone).select(*by, F.col("_low").alias(value), "n", "n_before", "n_total"))
         more = hits.where(~alone)
-        if more.isEmpty():
+        most = more.agg(F.max("n")).first()[0]
+        if most is None:
             return reduce(DataFrame.unionByName, found)
         # a cell goes by its number of rows before it, which no other cell of the group shares
         into = more.withColumnsRenamed(groups_of).select(
@@ -128,6 +131,14 @@ def _needed_positions(df: DataFrame, value: str, probs: Sequence[float], by: Seq
         at = into.select(*[F.col(c).alias(f"{c}_") for c in groups_of.values()], "_at_over", "_at_cell", F.col("_in").alias("_next"))
         same = _same_group(rows, at, {a: f"{b}_" for a, b in groups_of.items()}) & (rows["_over"] == at["_at_over"]) & (rows["_cell"] == at["_at_cell"])
         rows = rows.join(F.broadcast(at), same).select(*by, "_all", "_x", "_w", F.col("_next").alias("_cell"))
+        if most <= SORT_ROWS:
+            distinct = rows.groupBy(*by, "_all", "_cell", "_x").agg(F.sum("_w").alias("n"))
+            totals = into.select(*groups_of.values(), "_in", "n_total")
+            placed = distinct.join(F.broadcast(totals), _same_group(distinct, totals, groups_of) & (distinct["_cell"] == totals["_in"]))
+            order = Window.partitionBy(*by, "_all", "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            before = F.col("_cell") + F.sum("n").over(order) - F.col("n")  # a cell's number is that of the rows before it
+            found.append(placed.withColumn("n_before", before).select(*by, F.col("_x").alias(value), "n", "n_before", "n_total"))
+            return reduce(DataFrame.unionByName, found)
 
 
 def quantiles(

@@ -159,8 +159,10 @@ def test_drill_counts_and_summary(spark):
     assert summary == {"count_c": 3, "count_distinct_s": 2, "avg_v": 1.5}
 
 
-def test_quantiles_of_odd_values(spark):
+@pytest.mark.parametrize("sort_rows", [0, 20])
+def test_quantiles_of_odd_values(spark, monkeypatch, sort_rows):
     """Far apart, equal, infinite, not a number; weights of zero; groups without a name."""
+    monkeypatch.setattr(distribution, "SORT_ROWS", sort_rows)
     rnd = np.random.default_rng(11)
     values = [*(10.0 ** rnd.uniform(-300, 300, 200)), *(-(10.0 ** rnd.uniform(-12, 12, 100))), 0.0, -0.0, 1.7e308, -1.7e308, 5e-324, *[3.25] * 50]
     data = [("a", float(v), 1 + i % 3) for i, v in enumerate(values)] + [(None, float(i), i % 2) for i in range(9)] + [("b", 1.0, 1), ("b", None, 5)]
@@ -185,6 +187,8 @@ def test_quantiles_of_very_many_groups_and_no_shuffle_of_values(spark, monkeypat
     monkeypatch.setattr(distribution, "MOST_GROUPS", 10)
     assert {tuple(r) for r in op.quantiles(df, "v", [0.1, 0.5], ["g"]).collect()} == few
     monkeypatch.undo()
+    monkeypatch.setattr(distribution, "SORT_ROWS", 0)
+    assert {tuple(r) for r in op.quantiles(df, "v", [0.1, 0.5], ["g"]).collect()} == few
     found = distribution._needed_positions(df, "v", [0.5], ["g"], None)
     assert found.count() <= 2 * 40
     plan = found._jdf.queryExecution().optimizedPlan().toString()
