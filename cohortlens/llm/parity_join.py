@@ -46,7 +46,7 @@ LOCAL_RUN = 32
 #: Documents of a key up to which all their pairs are compared at once.
 SMALL_RUN = 4
 #: Rounds in which nodes of hot keys are compared with leaders, and nodes that may share a shingle to be paired at once.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 SMALL_GROUP = 8
 #: Keys that one task sorts.
 BUCKET_KEYS = 1_500_000
