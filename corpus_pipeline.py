@@ -20,12 +20,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null, empty or very short text goes. Repeated rows share a verdict; rows without an id are judged one by one. All
+    columns stay as they are, whatever their names; an empty table gives none.
+    """
     return kept_rows(docs, quality_verdicts(docs, read(spark, sf_dir, "labels"), with_key=True))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that of the smallest id."""
+    """One document of each group of equal texts, that of the smallest id; a document without an id only if all of the group have none.
+
+    Null and empty texts are equal. Of repeated rows one stays. All columns stay; an empty table gives none.
+    """
     return one_of_equal(docs)
 
 
@@ -52,7 +59,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents as pieces of sequences of at most 2,048 tokens."""
+    """The remaining documents as pieces of sequences of at most 2,048 tokens.
+
+    A null or empty text is one piece of one token; repeated rows are packed once each; a null id stays null; other columns are
+    not read; an empty table gives none.
+    """
     return pack_documents(docs)
 
 
@@ -60,12 +71,15 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality), ("exact dedup", exact), ("similarity join", near), ("substring dedup", repeats), ("packing", packed),
 ]
 
-#: The forest of the first stage has no SQL; tests compare each stage with brute force.
+#: The forest of the first stage has no SQL; tests compare exact dedup, the similarity join and substring dedup with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    Nulls, ties, repeated rows and clashing columns are as the stages say; an empty table gives no row.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
