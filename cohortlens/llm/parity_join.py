@@ -48,6 +48,8 @@ SMALL_RUN = 4
 #: Rounds in which nodes of hot keys are compared with leaders, and nodes that may share a shingle to be paired at once.
 LEADER_ROUNDS = 2
 SMALL_GROUP = 8
+#: Nodes of a leader up to which one task compares their sketches; each meets fewer others than it would send shingles.
+LEADER_GROUP = 512
 #: Keys that one task sorts.
 BUCKET_KEYS = 1_500_000
 EMPTY = np.uint64(0xA0761D6478BD642F)
@@ -357,7 +359,7 @@ def _open_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles a node has in common with its leader, and those that the leader lacks."""
+    """How many shingles a node has in common with its leader, and those that the leader lacks, with their parity sketch."""
     for batch in batches:
         common, sizes, rest = [], [], []
         for x, y in zip(batch.column("runs_a"), batch.column("runs_b"), strict=True):
@@ -365,16 +367,43 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = is_in(own, leader)
             common.append(int(inside.sum()))
             sizes.append(len(leader))
-            rest.append(own[~inside].view(np.int64))
+            rest.append(own[~inside])
+        lacking = np.array([len(r) for r in rest], np.int64)
+        sketches = dense_sketches(np.concatenate([*rest, np.zeros(0, np.uint64)]), lacking)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
-            names=["leader", "node", "n_leader", "common", "rest"],
+            [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()),
+             pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64())), pa.array([k.tobytes() for k in sketches], pa.binary())],
+            names=["leader", "node", "n_leader", "common", "rest", "sketch"],
         )
 
 
+def _near_members(table: pa.Table) -> pa.Table:
+    """Pairs of one leader's nodes, at most ``LEADER_GROUP``, that lie in different components and may link.
+
+    Two sets differ in at least as many shingles of the leader as their counts of these differ, and outside it in at least as many as
+    the sketches of what it lacks. Of linked sets the sum is at most a seventh of both sizes.
+    """
+    node, n, common, component = (table.column(c).to_numpy() for c in ("node", "n", "common", "component"))
+    linked = table.column("linked").to_numpy(zero_copy_only=False)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+    first, second = [], []
+    for i in np.flatnonzero(~linked):
+        # a pair of two nodes that do not link with the leader is looked at once
+        other = np.flatnonzero((component != component[i]) & (linked | (node > node[i])) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+        differ = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64) + np.abs(common[other] - common[i])
+        other = other[7 * differ <= n[other] + n[i]]
+        first.append(np.full(len(other), i))
+        second.append(other)
+    a, b = (np.concatenate([*part, np.zeros(0, np.int64)]).astype(np.int64) for part in (first, second))
+    return pa.table({"a": node[a], "b": node[b], "ca": component[a], "cb": component[b]})
+
+
 def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """Compare the nodes of each open group with one leader, then with those that share what the leader lacks.
 
+    Where a leader has few nodes, a task compares the sketches of what it lacks; its work is linear in the nodes, as their number per
+    leader is bounded. The nodes of other leaders meet by shingles.
+
     Let x and y link, with c(x) shingles of x in the leader. They have at least 3/7 of both sizes together in common. If c(x)
     or c(y) is less than that, they share a shingle that the leader lacks, and meet there. Otherwise both nodes are close to the leader; if
     both link with it they are in one component already, and if not, such pairs are few and are compared. A node that
@@ -391,7 +420,7 @@ def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets:
     with_sets = star.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b"
     )
-    measured = staged(with_sets.mapInArrow(_measured, "leader long, node long, n_leader long, common long, rest array<long>"))
+    measured = staged(with_sets.mapInArrow(_measured, "leader long, node long, n_leader long, common long, rest array<long>, sketch binary"))
     n = F.col("common") + F.size("rest")
     linked = 7 * F.col("common") >= 3 * (F.col("n_leader") + n)
     found = measured.where(linked).select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -404,8 +433,11 @@ def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets:
     # only where a node of a group is not in the component of the group's leader there is more to find
     still = several.join(leaders, "key").select(F.col("a").alias("leader"), "node").distinct()
     about = staged(_placed(measured.join(still, ["leader", "node"], "left_semi").withColumn("n", n).withColumn("linked", linked), joined, "node", "component"))
-    smallest = about.groupBy("leader").agg(F.min("n").alias("least"))
+    smallest = about.groupBy("leader").agg(F.min("n").alias("least"), F.count("*").alias("of_leader"))
     about = about.join(smallest, "leader")
+    few = about.where(F.col("of_leader") <= LEADER_GROUP).select("leader", "node", "n", "common", "linked", "component", "sketch")
+    similar = few.groupBy("leader").applyInArrow(_near_members, "a long, b long, ca long, cb long")
+    about = about.where(F.col("of_leader") > LEADER_GROUP)
     partner = F.greatest("least", F.ceil(3 * F.col("n") / 4))
     shared = F.greatest(F.lit(1), F.ceil((3 * (F.col("n") + partner) - 7 * F.col("common")) / 7))
     wanted = F.when(F.col("linked"), F.size("rest")).otherwise(F.size("rest") - shared + 1)
@@ -424,7 +456,7 @@ def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets:
     enough = 7 * F.least("in_a", "in_b") >= 3 * (F.col("na") + F.col("nb"))
     fits = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & enough & (F.col("ca") != F.col("cb"))
     close = x.join(y, (x["leader"] == y["leader"]) & fits)
-    pairs = shares.select("a", "b", "ca", "cb").unionByName(close.select("a", "b", "ca", "cb"))
+    pairs = shares.select("a", "b", "ca", "cb").unionByName(close.select("a", "b", "ca", "cb")).unionByName(similar)
     joined = _widened(joined, _bridges(_ordered(pairs), sets))
     return staged(ranked.where(F.col("times") > SMALL_GROUP).select(F.xxhash64("leader", "e").alias("key"), "node")), joined
 

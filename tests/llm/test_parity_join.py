@@ -97,10 +97,11 @@ def edited(rnd, words, times):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("group", [8, 2])
-def test_copies_with_more_and_fewer_edits(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "of_leader"), [(8, 512), (8, 0), (2, 0)])
+def test_copies_with_more_and_fewer_edits(spark, monkeypatch, group, of_leader):
     """Many that do not link with each other, but link with some copy of few edits; two bases that share a part."""
     monkeypatch.setattr(parity_join, "SMALL_GROUP", group)
+    monkeypatch.setattr(parity_join, "LEADER_GROUP", of_leader)
     rnd = random.Random(8)
     one = [f"b{i}" for i in range(120)]
     two = [*one[:95], *(f"d{i}" for i in range(30))]
@@ -110,7 +111,9 @@ def test_copies_with_more_and_fewer_edits(spark, monkeypatch, group):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 5
 
 
-def test_documents_of_one_template_are_not_paired(spark, monkeypatch):
+@pytest.mark.parametrize("of_leader", [512, 0])
+def test_documents_of_one_template_are_not_paired(spark, monkeypatch, of_leader):
+    monkeypatch.setattr(parity_join, "LEADER_GROUP", of_leader)
     compared = []
     plain = parity_join._verify
 
@@ -125,3 +128,26 @@ def test_documents_of_one_template_are_not_paired(spark, monkeypatch):
     got = parity_join.similar_documents(odd_documents(spark, rows), local_run=1, small_run=2).collect()
     assert {r.component_id for r in got} == set(range(400))
     assert sum(compared) < 10 * 400  # all pairs are 79,800
+
+
+def test_members_of_a_leader_that_link_are_found():
+    rng = np.random.default_rng(10)
+    leader = rng.integers(0, 1 << 62, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(12):
+        base = np.concatenate([rng.permutation(leader)[:rng.integers(60, 190)], rng.integers(0, 1 << 62, 90, dtype=np.uint64)])
+        sets += [rng.permutation(base)[:rng.integers(len(base) * 2 // 3, len(base))] for _ in range(5)]
+    rest = [s[~np.isin(s, leader)] for s in sets]
+    sketches = parity_join.dense_sketches(np.concatenate(rest), np.array([len(r) for r in rest]))
+    n, common = [len(s) for s in sets], [len(s) - len(r) for s, r in zip(sets, rest, strict=True)]
+    linked = [7 * c >= 3 * (200 + k) for c, k in zip(common, n, strict=True)]
+    component = [0 if x else i + 1 for i, x in enumerate(linked)]
+    got = parity_join._near_members(pa.table({
+        "node": list(range(60)), "n": n, "common": common, "linked": linked, "component": component, "sketch": [k.tobytes() for k in sketches],
+    })).to_pylist()
+    found = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got]
+    inside = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    want = {(i, j) for i in range(60) for j in range(i) if 7 * inside(i, j) >= 3 * (n[i] + n[j]) and component[i] != component[j]}
+    want = {(j, i) for i, j in want}
+    assert len(want) > 10 and want <= set(found) and len(found) == len(set(found)) < 60 * 59 // 4
+    assert all(component[r["a"]] == r["ca"] and component[r["b"]] == r["cb"] for r in got)
