@@ -320,12 +320,16 @@ def _described(nodes: DataFrame, name: str, size: str, prefix: str) -> DataFrame
     return nodes.select(F.col("node").alias(name), F.col("n").alias(size), *words)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the sets of both nodes. ``a`` names fewer nodes than ``b``; of its side only the sets asked for are sent."""
+    asked = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    second = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
+    return second.join(asked.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link, by their whole sets."""
-    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b"
-    )
-    return with_sets.mapInArrow(_linked, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(_linked, "a long, b long")
 
 
 def _placed(df: DataFrame, joined: DataFrame, name: str, component: str) -> DataFrame:
@@ -417,10 +421,7 @@ def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets:
     of = rest.join(central, "node")
     leaders = of.groupBy("key").agg(F.max(F.struct("keys", (-F.col("n")).alias("small"), "node")).alias("l")).select("key", F.col("l.node").alias("a"))
     star = staged(rest.join(leaders, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct())
-    with_sets = star.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b"
-    )
-    measured = staged(with_sets.mapInArrow(_measured, "leader long, node long, n_leader long, common long, rest array<long>, sketch binary"))
+    measured = staged(_with_sets(star, sets).mapInArrow(_measured, "leader long, node long, n_leader long, common long, rest array<long>, sketch binary"))
     n = F.col("common") + F.size("rest")
     linked = 7 * F.col("common") >= 3 * (F.col("n_leader") + n)
     found = measured.where(linked).select(F.col("leader").alias("a"), F.col("node").alias("b"))
