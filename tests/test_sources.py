@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from cohortlens.sources import (
     TableSource, literal_frame, materialize, read_csv, read_table, shared_folder, staged, write_csv,
 )
-from cohortlens.sources.tables import jdbc_options
+from cohortlens.sources.tables import bounds_query, jdbc_options, range_predicates
 
 SCHEMA = "city_village string, count long, day date, at timestamp_ntz, lon double"
 DATA = [
@@ -64,6 +64,67 @@ def test_jdbc_options_split_the_scan():
     assert "partitionColumn" not in jdbc_options("concept", source)
 
 
+KEYS = {
+    "gaps": [*range(100), *range(10**12, 10**12 + 100)],
+    "skew": [*range(50), *[7] * 300, *[None] * 20],
+    "few": [5, 5, None],
+    "none": [None],
+    "empty": [],
+    "words": ["O'Neil", "b", "a", None, "", "a"],
+}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_every_row_meets_one_range(spark, name):
+    kind = "string" if name == "words" else "long"
+    df = spark.createDataFrame([(k,) for k in KEYS[name]], f"k {kind}")
+    df.createOrReplaceTempView("ranged")
+    bounds = [r.bound for r in spark.sql(bounds_query("ranged", "k", 8)).collect()]
+    # the doubled quote is a quote in a database; Spark joins neighbouring literals instead
+    conditions = [c.replace("''N", "\\'N") for c in range_predicates("k", bounds)]
+    sizes = [df.where(c).count() for c in conditions]
+    assert len(bounds) <= 8 and sum(sizes) == len(KEYS[name])
+    beyond = spark.createDataFrame([(k,) for k in ("", "zz")] if name == "words" else [(-5,), (10**15,)], f"k {kind}")
+    assert sum(beyond.where(c).count() for c in conditions) == 2
+    if name == "gaps":
+        assert sizes == [25] * 8 + [0]
+    if name == "skew":  # the repeated key has a range of its own with few others
+        assert sizes[-1] == 20 and sorted(sizes)[-1] <= 300 + 350 // 8 + 1
+
+
+def test_table_is_read_by_ranges(spark):
+    asked = []
+
+    class Reader:
+        def format(self, kind):
+            return self
+
+        def options(self, **options):
+            asked.append(options["dbtable"])
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(1,), (40,), (90,)], "bound long")
+
+        def jdbc(self, url, table, predicates, properties):
+            asked.append((url, table, predicates, sorted(properties)))
+            return spark.createDataFrame([(1, True)], "obs_id long, voided boolean")
+
+    class Session:
+        read = Reader()
+
+    source = TableSource(jdbc={"url": "jdbc:x", "user": "u"}, ranges={"obs": ("obs_id", 3)})
+    assert rows(read_table(Session(), "obs", source)) == [(1, 1)]
+    assert asked[0].startswith("(SELECT MIN(range_key)") and "NTILE(3)" in asked[0]
+    want = ["obs_id < 40", "obs_id >= 40 AND obs_id < 90", "obs_id >= 90", "obs_id IS NULL"]
+    assert asked[1] == ("jdbc:x", "obs", want, ["fetchsize", "preferTimestampNTZ", "user"])
+    both = TableSource(jdbc={"url": "jdbc:x"}, ranges={"obs": ("obs_id", 3)}, split={"obs": ("obs_id", 1, 9, 2)})
+    with pytest.raises(ValueError):
+        read_table(Session(), "obs", both)
+    with pytest.raises(ValueError):
+        bounds_query("obs", "obs_id", 0)
+
+
 def test_materialize_marks_for_reuse(spark):
     df = materialize(spark.range(10).withColumnRenamed("id", "kept"))
     try:
