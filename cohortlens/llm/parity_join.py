@@ -365,6 +365,8 @@ def _open_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles a node has in common with its leader, and those that the leader lacks, with their parity sketch."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         common, sizes, rest = [], [], []
         for x, y in zip(batch.column("runs_a"), batch.column("runs_b"), strict=True):
             leader, own = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
