@@ -39,6 +39,9 @@ def column_summary(df: DataFrame, overrides: Mapping[str, str] | None = None) ->
     Numbers are summed, strings counted, dates and timestamps give the number of distinct years. An entry
     of ``overrides`` picks another aggregate for a column: ``sum``, ``avg``, ``count``, ``count_distinct``,
     ``min``, ``max`` or ``years``. Output columns are named ``<aggregate>_<column>``.
+
+    Where several columns have ``count_distinct``, each is counted in a pass over that column alone, combined before its shuffle,
+    instead of copying every row once per column. Give a table, not a costly frame, which would be computed once per pass.
     """
     overrides = dict(overrides or {})
     unknown = set(overrides) - set(df.columns)
@@ -50,7 +53,8 @@ def column_summary(df: DataFrame, overrides: Mapping[str, str] | None = None) ->
         # years are few, so their set is small; several distinct counts would copy every row once per column
         "years": lambda c: F.size(F.collect_set(F.year(c))).cast("long"),
     }
-    measures = []
+    several = sum(kind == "count_distinct" for kind in overrides.values()) > 1
+    measures, passes, names = [], {}, []
     for field in df.schema:
         kind = overrides.get(field.name)
         if kind is None:
@@ -60,8 +64,14 @@ def column_summary(df: DataFrame, overrides: Mapping[str, str] | None = None) ->
                 kind = "years"
             else:
                 kind = "count"
-        measures.append(build[kind](F.col(f"`{field.name}`")).alias(f"{kind}_{field.name}"))
-    return df.agg(*measures)
+        column, name = F.col(f"`{field.name}`"), f"{kind}_{field.name}"
+        names.append(name)
+        if several and kind == "count_distinct":
+            passes[name] = df.select(column.alias("level")).distinct().agg(F.count("level")).scalar()
+        else:
+            measures.append(build[kind](column).alias(name))
+    summary = df.agg(*measures or [F.count(F.lit(1)).alias("_rows")])
+    return summary.select(*[passes[n].alias(n) if n in passes else F.col(f"`{n}`") for n in names])
 
 
 def drill_counts(df: DataFrame, path: Sequence[str], name: str = "count") -> DataFrame:

@@ -107,3 +107,17 @@ def test_labels(spark):
 def test_t_critical(spark, dof, want, tolerance):
     got = spark.createDataFrame([(float(dof),)], "v double").select(fn.t_critical(F.col("v"))).first()[0]
     assert got == pytest.approx(want, abs=tolerance)
+
+
+def test_several_distinct_counts_copy_no_rows(spark):
+    from cohortlens.operators import column_summary
+
+    df = spark.createDataFrame([(1, "a", 1.5, 7), (1, None, 2.5, 8), (2, "b", 2.5, None), (2, "b", None, 9)], "`x.y` int, s string, d double, n long")
+    kinds = {"x.y": "count_distinct", "s": "count_distinct", "d": "count_distinct"}
+    got = column_summary(df, kinds)
+    assert got.columns == ["count_distinct_x.y", "count_distinct_s", "count_distinct_d", "sum_n"]
+    assert tuple(got.first()) == (2, 2, 2, 24)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(column_summary(df, {**kinds, "n": "count_distinct"}).first()) == (2, 2, 2, 3)
+    assert tuple(column_summary(df.limit(0), kinds).first()) == (0, 0, 0, None)
+    assert tuple(column_summary(df, {"s": "count_distinct"}).first()) == (6, 2, 6.5, 24)
