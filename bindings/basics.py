@@ -383,6 +383,15 @@ def _(v):
     return out.withColumns({"avg_lon": F.round("avg_lon", 6), "avg_lat": F.round("avg_lat", 6)})
 
 
+@query("column_summary_distinct", """SELECT count(DISTINCT l_shipdate) AS count_distinct_l_shipdate,
+    count(DISTINCT l_partkey) AS count_distinct_l_partkey, count(DISTINCT l_returnflag) AS count_distinct_l_returnflag,
+    count(l_linestatus) AS count_l_linestatus, max(l_linenumber) AS max_l_linenumber FROM lineitem""")
+def _(v):
+    lines = v.table("lineitem").select("l_shipdate", "l_partkey", "l_returnflag", "l_linestatus", "l_linenumber")
+    distinct = dict.fromkeys(("l_shipdate", "l_partkey", "l_returnflag"), "count_distinct")
+    return op.column_summary(lines, {**distinct, "l_linenumber": "max"})
+
+
 @query("attr_single_value", """SELECT l_orderkey, CASE WHEN min(l_returnflag) = max(l_returnflag)
     THEN min(l_returnflag) ELSE '*' END AS flag FROM lineitem GROUP BY 1""")
 def _(v):
