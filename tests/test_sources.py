@@ -2,11 +2,13 @@ import datetime
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.sources import (
-    TableSource, literal_frame, materialize, read_csv, read_table, shared_folder, staged, write_csv,
+    TableSource, literal_frame, materialize, read_csv, read_table, shared_folder, staged, staged_by, write_csv,
 )
+from cohortlens.sources.materialize import CLEAN_UP
 from cohortlens.sources.tables import bounds_query, jdbc_options, range_predicates
 
 SCHEMA = "city_village string, count long, day date, at timestamp_ntz, lon double"
@@ -165,3 +167,35 @@ def test_shared_folder():
     assert shared_folder(local) == shared_folder(local) == local.folder
     with pytest.raises(ValueError):
         shared_folder(FakeSession(master="spark://host:7077"))
+
+
+def test_staged_by_joins_without_shuffling_the_table(no_broadcast):
+    spark = no_broadcast
+    wide = spark.range(1000).select((F.col("id") % 300).alias("k"), F.col("id").alias("v"), F.lit("x").alias("k_"))
+    few = spark.range(0, 300, 7).withColumnRenamed("id", "k")
+    names = {row.tableName for row in spark.sql("SHOW TABLES").collect()}
+    with staged_by(wide, "k", 3) as table:
+        joined = few.join(table.select("k", "v"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # of the few keys
+        got = sorted(tuple(r) for r in joined.collect())
+    assert got == sorted((v % 300, v) for v in range(1000) if v % 300 % 7 == 0)
+    assert {row.tableName for row in spark.sql("SHOW TABLES").collect()} == names
+
+
+def test_staged_by_of_an_empty_table_and_of_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (5, 3)], "k long, v long")
+    with staged_by(rows, "k") as table:
+        assert sorted(r.v for r in table.collect()) == [1, 2, 3]
+    with staged_by(rows.limit(0), "k") as table:
+        assert table.columns == ["k", "v"] and table.collect() == []
+
+
+def test_a_failed_block_leaves_no_name_and_no_setting(spark):
+    before = spark.conf.get(CLEAN_UP)
+    with pytest.raises(ZeroDivisionError), staged_by(spark.range(5), "id"):
+        raise ZeroDivisionError
+    assert not [r for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("cohortlens_")]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        staged(spark.range(5).select((F.lit(1) / (F.col("id") - 2)).alias("q")))
+    assert spark.conf.get(CLEAN_UP) == before
