@@ -31,6 +31,7 @@ from cohortlens.llm.arrays import chunks, mix
 from cohortlens.llm.components import components
 from cohortlens.llm.frequent import BlockCounts, distinct_runs, is_in, summarise
 from cohortlens.llm.spark_util import attach_groups, staged, texts
+from cohortlens.sources import staged_by
 
 SHINGLE = 5
 #: Neighbouring size bands have this ratio; partners lie in the same or the next band, as it exceeds 4/3.
@@ -52,6 +53,8 @@ SMALL_GROUP = 8
 LEADER_GROUP = 512
 #: Keys that one task sorts.
 BUCKET_KEYS = 1_500_000
+#: Shingles of one bucket of whole sets.
+BUCKET_RUNS = 16_000_000
 EMPTY = np.uint64(0xA0761D6478BD642F)
 #: This bit of a key says that it is enough for a meeting.
 ENOUGH = np.uint64(1)
@@ -321,7 +324,7 @@ def _described(nodes: DataFrame, name: str, size: str, prefix: str) -> DataFrame
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with the sets of both nodes. ``a`` names fewer nodes than ``b``; of its side only the sets asked for are sent."""
+    """``pairs`` with the sets of both nodes. The sets lie in buckets by node; those of ``b`` alone are sent, to ``a``."""
     asked = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
     return second.join(asked.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
@@ -482,6 +485,25 @@ def _all_pairs(groups: DataFrame, joined: DataFrame, left: DataFrame, right: Dat
     return _ordered(one.join(two, (one["key"] == two["key"]) & differ & _may_link()).select("a", "b", "ca", "cb"))
 
 
+def _joined_components(pairs: DataFrame, members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The component of each node that links, from the pairs that met and the members of hot keys. A written table."""
+    left, right = _described(nodes, "a", "na", "x"), _described(nodes, "b", "nb", "y")
+    close = staged(pairs.join(left, "a").join(right, "b").where(_may_link()).select("a", "b"))
+    # one partner of each node first; most others lie in its component then
+    links = staged(_verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
+    joined = staged(components(links))
+    apart = _placed(_placed(close, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb")
+    joined = _widened(joined, _bridges(apart, sets))
+    groups = staged(members.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
+    for _ in range(LEADER_ROUNDS):
+        groups, joined = _leader_round(groups, joined, nodes, sets)
+        if groups is None:
+            break
+    else:
+        joined = _widened(joined, _bridges(_all_pairs(groups, joined, left, right), sets))
+    return joined
+
+
 def similar_documents(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", local_run: int = LOCAL_RUN, small_run: int = SMALL_RUN,
 ) -> DataFrame:
@@ -511,22 +533,10 @@ def similar_documents(
     ends = [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")), members.select(F.col("b").alias("node"))]
     concerned = ends[0].unionByName(ends[1]).unionByName(ends[2])
     first_ids = concerned.distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"))
-    sets = staged(plain.join(first_ids.distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, runs binary"))
-
-    left, right = _described(nodes, "a", "na", "x"), _described(nodes, "b", "nb", "y")
-    close = staged(pairs.join(left, "a").join(right, "b").where(_may_link()).select("a", "b"))
-    # one partner of each node first; most others lie in its component then
-    links = staged(_verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
-    joined = staged(components(links))
-    apart = _placed(_placed(close, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb")
-    joined = _widened(joined, _bridges(apart, sets))
-    groups = staged(members.select(F.col("a").alias("key"), F.col("b").alias("node")).distinct())
-    for _ in range(LEADER_ROUNDS):
-        groups, joined = _leader_round(groups, joined, nodes, sets)
-        if groups is None:
-            break
-    else:
-        joined = _widened(joined, _bridges(_all_pairs(groups, joined, left, right), sets))
+    whole = plain.join(first_ids.distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, runs binary")
+    # every comparison joins the sets with a few nodes, so they are dealt by node once
+    with staged_by(whole, "node", -(-n_runs // BUCKET_RUNS)) as sets:
+        joined = _joined_components(pairs, members, nodes, sets)
     final = joined.select("node", "component")
     placed = nodes.join(final, "node", "left").select(
         "node", "first_id", "rows", F.coalesce("component", "node").alias("component")
