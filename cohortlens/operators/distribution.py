@@ -75,8 +75,10 @@ def _needed_positions(df: DataFrame, value: str, probs: Sequence[float], by: Seq
     groups_of = {c: f"_by{i}" for i, c in enumerate(by)} | {"_all": "_one"}
     x = F.col("_x")
     finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    # always 0, but not a literal: a join on it alone stays a hash join where there are no groups
+    zero = F.pmod(F.hash(value), F.lit(1))
     present = df.filter(F.col(value).isNotNull()).select(
-        *by, F.lit(0).alias("_all"), F.col(value).cast("double").alias("_x"), copies.alias("_w"), F.lit(0).cast("long").alias("_cell"),
+        *by, zero.alias("_all"), F.col(value).cast("double").alias("_x"), copies.alias("_w"), F.lit(0).cast("long").alias("_cell"),
     )
     groups = staged(present.groupBy(*by, "_all").agg(
         F.sum("_w").alias("n_total"), F.min(F.when(finite, x)).alias("_lo"), F.max(F.when(finite, x)).alias("_hi"),
