@@ -67,8 +67,10 @@ class Packer:
 
     def __post_init__(self) -> None:
         self.pieces: list[Piece] = []
-        self.demand = np.zeros((2 * self.pool_size, 3))
         self.scale = self.limits.array()
+        #: What each piece asks for, and the same as shares of the limits.
+        self.demand = np.zeros((2 * self.pool_size, 3))
+        self.shares = np.zeros_like(self.demand)
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         while self.may_cut and len(piece.ids) >= self.limits.tokens:
@@ -94,50 +96,58 @@ class Packer:
 
     @staticmethod
     def _of(piece: Piece) -> np.ndarray:
-        return np.array([len(piece.ids), 1, int(piece.loss.sum())], np.float64)
+        return np.array([len(piece.ids), 1, np.count_nonzero(piece.loss)], np.float64)
 
     @staticmethod
     def _fits(demand: np.ndarray, free: np.ndarray) -> np.ndarray:
-        return (demand <= free).all(axis=-1)
+        tokens, segments, loss = demand.T
+        return (tokens <= free[0]) & (segments <= free[1]) & (loss <= free[2])
 
     def _put(self, piece: Piece) -> None:
-        if len(self.pieces) == len(self.demand):
+        n = len(self.pieces)
+        if n == len(self.demand):
             self.demand = np.vstack([self.demand, np.zeros_like(self.demand)])
-        self.demand[len(self.pieces)] = self._of(piece)
+            self.shares = np.vstack([self.shares, np.zeros_like(self.shares)])
+        self.demand[n] = self._of(piece)
+        self.shares[n] = self.demand[n] / self.scale
         self.pieces.append(piece)
 
-    def _take(self, k: int) -> Piece:
-        piece, last = self.pieces[k], self.pieces.pop()
+    def _take(self, k: int) -> tuple[Piece, np.ndarray]:
+        piece, demand, last = self.pieces[k], self.demand[k].copy(), self.pieces.pop()
         if piece is not last:
-            self.pieces[k] = last
-            self.demand[k] = self.demand[len(self.pieces)]
-        return piece
+            self.pieces[k], n = last, len(self.pieces)
+            self.demand[k], self.shares[k] = self.demand[n], self.shares[n]
+        return piece, demand
 
     def _fill(self) -> list[Piece]:
         free, sequence = self.scale.copy(), []
         while self.pieces and free[0] > 0 and free[1] > 0:
-            demand = self.demand[:len(self.pieces)]
-            products = (demand / self.scale) @ (free / self.scale)
-            fits = self._fits(demand, free)
-            if fits.any():
-                piece = self._take(int(np.argmax(np.where(fits, products, -1.0))))
+            n = len(self.pieces)
+            products = self.shares[:n] @ (free / self.scale)
+            fits = self._fits(self.demand[:n], free)
+            best = int(np.argmax(np.where(fits, products, -1.0)))
+            if fits[best]:
+                piece, demand = self._take(best)
             elif not self.may_cut or (free[0] < MIN_CUT and sequence):
                 break
             else:
-                piece = self._take(int(np.argmax(products)))
+                piece, _ = self._take(int(np.argmax(products)))
                 size = self._longest_head(piece, int(free[0]), int(free[2]))
                 if not size:
                     self._put(piece)
                     break
                 piece, rest = piece.cut(size)
                 self._put(rest)
+                demand = self._of(piece)
             sequence.append(piece)
-            free -= self._of(piece)
+            free -= demand
         return sequence
 
     @staticmethod
     def _longest_head(piece: Piece, tokens: int, loss_tokens: int) -> int:
-        return min(tokens, int(np.searchsorted(np.cumsum(piece.loss), loss_tokens, "right")))
+        if tokens <= loss_tokens:
+            return min(tokens, len(piece.loss))
+        return int(np.searchsorted(np.cumsum(piece.loss[:tokens]), loss_tokens, "right"))
 
 
 def _powers_of_two(sequence: list[Piece]) -> Iterator[list[Piece]]:
@@ -173,8 +183,9 @@ def _rows(sequences: list[tuple[int, list[Piece]]], with_ids: bool) -> pa.Record
     for number, pieces in sequences:
         offset = 0
         for p in pieces:
-            raw = p.ids.astype("<u4").tobytes()
-            row = (p.doc_id, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, number, offset, int(p.loss.sum()), raw)
+            raw = p.ids.astype("<u4", copy=False).tobytes()
+            loss = np.count_nonzero(p.loss)
+            row = (p.doc_id, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, number, offset, loss, raw)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
             offset += len(p.ids)
@@ -208,7 +219,7 @@ def pack_documents(
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, ids, counts in encode_texts(batch.column(1).to_pylist(), path, end_id):
+            for first, ids, counts in encode_texts(batch.column(1), path, end_id):
                 ends = np.cumsum(counts)
                 for k, (end, size) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
                     own = ids[end - size:end].copy()

@@ -131,7 +131,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_i
             docs_sink = system.open_output_stream(f"{names['docs']}.{attempt}")
             writer = SequenceWriter(ids_sink, id_type, length)
             docs_writer = pa.ipc.new_file(docs_sink, DOCS_SCHEMA)
-        for first, ids, counts in encode_texts(batch.column(1).to_pylist(), path, end_id):
+        for first, ids, counts in encode_texts(batch.column(1), path, end_id):
             writer.write(ids)
             starts = n_tokens + np.cumsum(counts) - counts
             docs_writer.write_batch(pa.record_batch(

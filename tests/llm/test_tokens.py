@@ -35,6 +35,59 @@ def test_counts_and_ids_are_the_librarys(texts):
     assert got == [library_ids(t, 7) for t in texts]
 
 
+def texts_ids(texts):
+    got = []
+    for first, ids, counts in token_ids.encode_texts(texts, PATH):
+        assert first == len(got)
+        got += [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+    return got
+
+
+def test_ids_beside_signs_are_the_librarys():
+    odd = [chr(i) for i in range(1, 0x3100)] + list("\ufeff\ufb01\uff0c\uff21日本\U0001f600\U00010400")
+    texts = [f"K{c},a{c}'s1{c}.{c}-T{c} {c}A{c}<|x{c}" for c in odd]
+    texts += ["", ",", "a<", "|b", "A", "\u030c", "A<|endoftext|>,B.", "É,\tÉ,\rx", "J", "\u0308,"]
+    assert texts_ids(texts) == [library_ids(t) for t in texts]
+    for alone in ([], [""], [","], ["a"], ["é"], [" "], ["", ".", ""]):
+        assert texts_ids(alone) == [library_ids(t) for t in alone]
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    import tokenizers
+
+    sent = []
+
+    class Counting:
+        def __init__(self, path):
+            self.library = LIBRARY
+
+        from_file = classmethod(lambda cls, path: cls(path))
+
+        def encode(self, text, **kwargs):
+            sent.extend(text.split(" "))
+            return self.library.encode(text, **kwargs)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            sent.extend(w for t in texts for w in t.split(" "))
+            return self.library.encode_batch_fast(texts, **kwargs)
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    monkeypatch.setattr(token_ids, "_memos", {})
+    for name in ("MEMO_WORDS", "MEMO_PARTS"):
+        monkeypatch.setattr(token_ids, name, 100, raising=False)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = iter(x + y + z + "q" for x in letters for y in letters for z in letters)
+    for _ in range(40):
+        texts = [" ".join(["Common", "often,", "common.", *(next(rare) for _ in range(30))])]
+        assert texts_ids(texts) == [library_ids(t) for t in texts]
+    assert sent.count("common") == 1 and sent.count("often") == 1
+    memo = token_ids._memos[PATH]
+    assert len(memo) <= 140 and memo.ids.size < 2000
+
+
 def test_merged_ids_are_the_librarys():
     table = token_counts.MergeTable(PATH)
     pieces = [b"thousands", b"aaaaaaa", b"a", "é".encode(), b"qzqzqzq"]
