@@ -23,9 +23,7 @@ import pyarrow as pa
 from cohortlens.llm.arrays import LOWER, SPACE, Chunk, Column, chunks, ragged, sums_by_row
 
 #: Parts whose ids a task keeps; when there are more, those met in one chunk only are forgotten.
-MEMO_PARTS = 800_000
-#: Bytes of text whose distinct parts are looked up at once; a longer text is a chunk of its own.
-PARTS_BYTES = 1 << 22
+MEMO_PARTS = 250_000
 #: Parts that go to the library as one text, and the mark of ids that end a word.
 JOINED = 512
 WORD_END = "</w>"
@@ -183,7 +181,7 @@ def encode_texts(values: pa.Array | list[str], path: str, end_id: int | None = N
     memo = _memos[path]
     if isinstance(values, list):
         values = pa.array(values, pa.large_string())
-    for chunk in chunks(values, PARTS_BYTES):
+    for chunk in chunks(values):
         parts, first = cut_parts(chunk)
         parts = parts.dictionary_encode()
         numbers = memo.numbers(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
