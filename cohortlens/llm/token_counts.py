@@ -40,6 +40,7 @@ class MergeTable:
     """Vocabulary, merge ranks and pre-token rule of a tokenizer file."""
 
     def __init__(self, path: str):
+        self._path, self._library = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -78,12 +79,24 @@ class MergeTable:
                 special += 1
                 continue
             if not part.isascii():
+                if any(unicodedata.category(c) == "Cn" for c in part):
+                    found += self._pre_tokens_by_library(part)
+                    continue
                 part = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
             else:
                 part = part.lower()
             found += self.pre_token.findall(part)
         return [x.encode() for x in found], special
 
+    def _pre_tokens_by_library(self, part: str) -> list[str]:
+        """For characters that not every version of Unicode knows; ``regex`` may call one a letter that the library does not."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        part = self._library.normalizer.normalize_str(part)
+        return [part[start:end] for _, (start, end) in self._library.pre_tokenizer.pre_tokenize_str(part)]
+
     def ranks(self, pairs: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self._keys, pairs), len(self._keys) - 1)
         return np.where(self._keys[at] == pairs, self._ranks[at], NO_RANK)

@@ -88,6 +88,12 @@ def test_words_met_again_are_not_encoded_again(monkeypatch):
     assert len(memo) <= 140 and memo.ids.size < 2000
 
 
+def test_counts_beside_characters_of_newer_unicode_are_the_librarys():
+    new = [*range(0x0530, 0x0590), *range(0xA7C0, 0xA800), *range(0x3D000, 0x3D020), 0x2B73A, 0x12550, 0x16EA0, 0x1E6C0]
+    texts = [f"Î{chr(i)} a{chr(i)},{chr(i)}1" for i in new]
+    assert token_counts.count_batch(texts, PATH).tolist() == [len(library_ids(t)) for t in texts]
+
+
 def test_merged_ids_are_the_librarys():
     table = token_counts.MergeTable(PATH)
     pieces = [b"thousands", b"aaaaaaa", b"a", "é".encode(), b"qzqzqzq"]
