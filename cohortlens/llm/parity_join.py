@@ -20,7 +20,9 @@ key that a third of all documents share arrives once per block of documents, not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +51,20 @@ SMALL_RUN = 4
 #: Rounds in which nodes of hot keys are compared with leaders, and nodes that may share a shingle to be paired at once.
 LEADER_ROUNDS = 2
 SMALL_GROUP = 8
-#: Nodes of a leader up to which one task compares their sketches; each meets fewer others than it would send shingles.
+#: Nodes of a leader, and shingles of their sets, up to which one task compares them; each meets fewer others than it would send shingles.
 LEADER_GROUP = 512
+GROUP_RUNS = 4_000_000
 #: Keys that one task sorts.
 BUCKET_KEYS = 1_500_000
 #: Shingles of one bucket of whole sets.
 BUCKET_RUNS = 16_000_000
+#: Share of the shingles of all documents that comparisons send at once, or so many if that is more; the others are sent when the files of
+#: the first have gone.
+SENT_SHARE = 1 / 8
+SENT_RUNS = 1 << 24
+#: Whole sets are written in so many parts at most, one for each so many shingles of all documents.
+PARTS = 4
+PART_RUNS = 1 << 27
 EMPTY = np.uint64(0xA0761D6478BD642F)
 #: This bit of a key says that it is enough for a meeting.
 ENOUGH = np.uint64(1)
@@ -290,14 +300,21 @@ def _summed_pairs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.
     return a[starts], b[starts], np.add.reduceat(weight, starts) if len(starts) else weight
 
 
+class Sets(NamedTuple):
+    """The whole sets ``node, n, runs``, in buckets by node, and how many shingles of them may be sent at once."""
+
+    table: DataFrame
+    most: float
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column(0)):
             runs, sizes, _ = distinct_runs(chunk, SHINGLE, True)
             parts = np.split(runs, np.cumsum(sizes)[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node_names(runs, sizes), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["node", "runs"],
+                [pa.array(node_names(runs, sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["node", "n", "runs"],
             )
 
 
@@ -323,16 +340,27 @@ def _described(nodes: DataFrame, name: str, size: str, prefix: str) -> DataFrame
     return nodes.select(F.col("node").alias(name), F.col("n").alias(size), *words)
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _sent_in_parts(pairs: DataFrame, sets: Sets, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``compare`` of all ``pairs``, which sends the set of each ``b`` to its ``a``: in parts by ``a``, each written before the next is sent.
+
+    So the shuffle files on disk at any time have a bound, however many pairs there are.
+    """
+    sent = pairs.join(sets.table.select(F.col("node").alias("b"), F.col("n").alias("_sent")), "b").agg(F.sum("_sent")).first()[0] or 0
+    parts = max(1, int(np.ceil(sent / sets.most)))
+    part_of = F.pmod(F.xxhash64(F.lit(parts), "a"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [staged(compare(pairs.where(part_of == i) if parts > 1 else pairs)) for i in range(parts)])
+
+
+def _with_sets(pairs: DataFrame, sets: Sets) -> DataFrame:
     """``pairs`` with the sets of both nodes. The sets lie in buckets by node; those of ``b`` alone are sent, to ``a``."""
-    asked = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    second = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
+    asked = sets.table.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    second = pairs.join(sets.table.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
     return second.join(asked.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link, by their whole sets."""
-    return _with_sets(pairs, sets).mapInArrow(_linked, "a long, b long")
+def _verify(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs ``a, b`` that link, by their whole sets. Written tables."""
+    return _sent_in_parts(pairs, sets, lambda part: _with_sets(part, sets).mapInArrow(_linked, "a long, b long"))
 
 
 def _placed(df: DataFrame, joined: DataFrame, name: str, component: str) -> DataFrame:
@@ -341,7 +369,7 @@ def _placed(df: DataFrame, joined: DataFrame, name: str, component: str) -> Data
     return df.join(known, name, "left").withColumn(component, F.coalesce("_known", name)).drop("_known")
 
 
-def _bridges(across: DataFrame, sets: DataFrame) -> DataFrame:
+def _bridges(across: DataFrame, sets: Sets) -> DataFrame:
     """The components ``a, b`` that links among the pairs ``a, b`` of components ``ca, cb`` connect."""
     across = staged(across.select("a", "b", "ca", "cb").distinct())
     found = _verify(across.select("a", "b"), sets).join(across, ["a", "b"])
@@ -366,23 +394,19 @@ def _open_groups(groups: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles a node has in common with its leader, and those that the leader lacks, with their parity sketch."""
+    """How many shingles a node has in common with its leader, and those that the leader lacks."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
         common, sizes, rest = [], [], []
         for x, y in zip(batch.column("runs_a"), batch.column("runs_b"), strict=True):
             leader, own = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             inside = is_in(own, leader)
             common.append(int(inside.sum()))
             sizes.append(len(leader))
-            rest.append(own[~inside])
-        lacking = np.array([len(r) for r in rest], np.int64)
-        sketches = dense_sketches(np.concatenate([*rest, np.zeros(0, np.uint64)]), lacking)
+            rest.append(own[~inside].view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()),
-             pa.array([r.view(np.int64) for r in rest], pa.list_(pa.int64())), pa.array([k.tobytes() for k in sketches], pa.binary())],
-            names=["leader", "node", "n_leader", "common", "rest", "sketch"],
+             pa.array([len(r) for r in rest], pa.int64()), pa.array(rest, pa.list_(pa.int64()))],
+            names=["leader", "node", "n_leader", "common", "lacking", "rest"],
         )
 
 
@@ -407,10 +431,61 @@ def _near_members(table: pa.Table) -> pa.Table:
     return pa.table({"a": node[a], "b": node[b], "ca": component[a], "cb": component[b]})
 
 
-def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+def _leader_links(table: pa.Table) -> pa.Table:
+    """The components ``a, b`` that links among one leader's nodes, itself included, connect.
+
+    ``_near_members`` names the pairs that may link. What they have in common of the leader is counted by bits; the rest of their sets
+    is compared where it is long enough to make a link.
+    """
+    node, at = np.unique(table.column("node").to_numpy(), return_index=True)  # rows loaded twice have their set twice
+    table = table.take(at)
+    component = table.column("component").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("runs")]
+    n = np.array([len(s) for s in sets], np.int64)
+    leader = np.searchsorted(node, table.column("leader")[0].as_py())
+    inside = [is_in(s, sets[leader]) for s in sets]
+    common = np.array([int(i.sum()) for i in inside], np.int64)
+    linked = 7 * common >= 3 * (n[leader] + n)
+    first, second = [component[linked]], [np.full(int(linked.sum()), component[leader])]
+    # what links with the leader is in one component from here on
+    merged = np.where(is_in(component, np.unique(first[0])), component[leader], component)
+    if (merged != component[leader]).any():
+        rest = [s[~i] for s, i in zip(sets, inside, strict=True)]
+        sketch = dense_sketches(np.concatenate(rest), n - common)
+        near = _near_members(pa.table({
+            "node": np.arange(len(node)), "n": n, "common": common, "linked": linked, "component": merged, "sketch": [k.tobytes() for k in sketch],
+        }))
+        x, y = near.column("a").to_numpy(), near.column("b").to_numpy()
+        bits = np.stack([np.packbits(is_in(sets[leader], s)) for s in sets])
+        step = max(1, (1 << 24) // bits.shape[1])
+        both = np.concatenate([np.zeros(0, np.int64), *(
+            np.bitwise_count(bits[x[i:i + step]] & bits[y[i:i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), step)
+        )])
+        lacking = n - common
+        may = 7 * (both + np.minimum(lacking[x], lacking[y])) >= 3 * (n[x] + n[y])
+        x, y, both = x[may], y[may], both[may]
+        both = both + np.array([int(is_in(rest[i], rest[j]).sum()) for i, j in zip(x, y, strict=True)], np.int64)
+        link = 7 * both >= 3 * (n[x] + n[y])
+        first.append(component[x[link]])
+        second.append(component[y[link]])
+    a, b = np.concatenate(first), np.concatenate(second)
+    a, b, _ = _summed_pairs(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64))
+    return pa.table({"a": a, "b": b})
+
+
+def _among_few(star: DataFrame, sets: Sets) -> DataFrame:
+    """The components that links among the nodes of leaders with few nodes connect: all sets of a leader's nodes go to one task."""
+    def compare(part: DataFrame) -> DataFrame:
+        whole = part.join(sets.table.select(F.col("node").alias("b"), "runs"), "b").select(F.col("a").alias("leader"), F.col("b").alias("node"), "component", "runs")
+        return whole.groupBy("leader").applyInArrow(_leader_links, "a long, b long").distinct()
+
+    return _sent_in_parts(star, sets, compare)
+
+
+def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets: Sets) -> tuple[DataFrame | None, DataFrame]:
     """Compare the nodes of each open group with one leader, then with those that share what the leader lacks.
 
-    Where a leader has few nodes, a task compares the sketches of what it lacks; its work is linear in the nodes, as their number per
+    Where a leader has few nodes, a task compares all of them; its work is linear in the nodes, as their number per
     leader is bounded. The nodes of other leaders meet by shingles.
 
     Let x and y link, with c(x) shingles of x in the leader. They have at least 3/7 of both sizes together in common. If c(x)
@@ -424,45 +499,54 @@ def _leader_round(groups: DataFrame, joined: DataFrame, nodes: DataFrame, sets:
         return None, joined
     central = rest.groupBy("node").agg(F.count("*").alias("keys")).join(nodes.select("node", "n"), "node")
     of = rest.join(central, "node")
-    leaders = of.groupBy("key").agg(F.max(F.struct("keys", (-F.col("n")).alias("small"), "node")).alias("l")).select("key", F.col("l.node").alias("a"))
-    star = staged(rest.join(leaders, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct())
-    measured = staged(_with_sets(star, sets).mapInArrow(_measured, "leader long, node long, n_leader long, common long, rest array<long>, sketch binary"))
-    n = F.col("common") + F.size("rest")
+    leaders = staged(of.groupBy("key").agg(F.max(F.struct("keys", (-F.col("n")).alias("small"), "node")).alias("l")).select("key", F.col("l.node").alias("a")))
+    star = staged(of.join(leaders, "key").select("a", F.col("node").alias("b"), "component", "n").distinct())
+    of_leader = star.groupBy("a").agg(F.count("*").alias("nodes"), F.sum("n").alias("runs"))
+    large = staged(of_leader.where((F.col("nodes") > LEADER_GROUP) | (F.col("runs") > GROUP_RUNS)).select("a"))
+    bridges = _among_few(star.join(large, "a", "left_anti"), sets)
+    if large.isEmpty():
+        return None, _widened(joined, staged(bridges.distinct()))
+
+    many = star.join(large, "a", "left_semi").where("a <> b").select("a", "b")
+    about = "leader long, node long, n_leader long, common long, lacking long, rest array<long>"
+    measured = _sent_in_parts(many, sets, lambda part: _with_sets(part, sets).mapInArrow(_measured, about))
+    n = F.col("common") + F.col("lacking")
     linked = 7 * F.col("common") >= 3 * (F.col("n_leader") + n)
     found = measured.where(linked).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     met = _placed(_placed(found, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb")
-    joined = _widened(joined, staged(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
+    joined = _widened(joined, staged(bridges.unionByName(met.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct()))
 
-    several = _open_groups(groups, joined)
+    large_keys = leaders.join(large, "a")
+    several = _open_groups(groups.join(large_keys.select("key"), "key", "left_semi"), joined)
     if several.isEmpty():
         return None, joined
     # only where a node of a group is not in the component of the group's leader there is more to find
-    still = several.join(leaders, "key").select(F.col("a").alias("leader"), "node").distinct()
-    about = staged(_placed(measured.join(still, ["leader", "node"], "left_semi").withColumn("n", n).withColumn("linked", linked), joined, "node", "component"))
-    smallest = about.groupBy("leader").agg(F.min("n").alias("least"), F.count("*").alias("of_leader"))
-    about = about.join(smallest, "leader")
-    few = about.where(F.col("of_leader") <= LEADER_GROUP).select("leader", "node", "n", "common", "linked", "component", "sketch")
-    similar = few.groupBy("leader").applyInArrow(_near_members, "a long, b long, ca long, cb long")
-    about = about.where(F.col("of_leader") > LEADER_GROUP)
+    still = several.join(large_keys, "key").select(F.col("a").alias("leader"), "node").distinct()
+    about = measured.select("leader", "node", "common", "lacking", n.alias("n"), linked.alias("linked")).distinct()
+    about = staged(_placed(about.join(still, ["leader", "node"], "left_semi"), joined, "node", "component"))
+    about = about.join(about.groupBy("leader").agg(F.min("n").alias("least")), "leader")
     partner = F.greatest("least", F.ceil(3 * F.col("n") / 4))
     shared = F.greatest(F.lit(1), F.ceil((3 * (F.col("n") + partner) - 7 * F.col("common")) / 7))
-    wanted = F.when(F.col("linked"), F.size("rest")).otherwise(F.size("rest") - shared + 1)
-    sent = staged(about.select("leader", "node", "n", "linked", "component", wanted.alias("wanted"), F.explode("rest").alias("e")))
-    often = staged(sent.groupBy("leader", "e").agg(F.count("*").alias("times"), F.min("component").alias("one"), F.max("component").alias("other")))
-    # shingles of one node or of one component order the others, but nobody meets there
-    ranked = sent.join(often, ["leader", "e"]).withColumn("place", F.row_number().over(Window.partitionBy("leader", "node").orderBy("times", "e")))
-    ranked = staged(ranked.where((F.col("place") <= F.col("wanted")) & (F.col("one") != F.col("other"))))
+    wanted = F.when(F.col("linked"), F.col("lacking")).otherwise(F.col("lacking") - shared + 1)
+    lists = measured.select("leader", "node", "rest").join(about.select("leader", "node", "component"), ["leader", "node"])
+    sent = staged(lists.select("leader", "node", "component", F.explode("rest").alias("e")))
+    often = sent.groupBy("leader", "e").agg(F.count("*").alias("times"), F.min("component").alias("one"), F.max("component").alias("other"))
+    # shingles of one node or of one component come before the others, but nobody meets there, so of them only the number is needed
+    meeting = sent.join(often.where("one <> other").select("leader", "e", "times"), ["leader", "e"])
+    own = Window.partitionBy("leader", "node")
+    meeting = meeting.withColumn("place", F.row_number().over(own.orderBy("times", "e"))).withColumn("meeting", F.count("*").over(own))
+    ranked = meeting.join(about.select("leader", "node", "linked", "lacking", wanted.alias("wanted")), ["leader", "node"])
+    ranked = staged(ranked.where(F.col("lacking") - F.col("meeting") + F.col("place") <= F.col("wanted")).select("leader", "e", "node", "linked", "component", "times"))
     small = ranked.where(F.col("times") <= SMALL_GROUP)
     x = small.where("NOT linked").select("leader", "e", F.col("node").alias("a"), F.col("component").alias("ca"))
     y = small.select("leader", "e", F.col("node").alias("b"), F.col("component").alias("cb"))
     shares = x.join(y, ["leader", "e"]).where("ca <> cb")
-    near = about.select("leader", "node", "n", "common", "linked", "component")
-    x = near.where("NOT linked").select("leader", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("in_a"))
-    y = near.select("leader", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("in_b"))
+    x = about.where("NOT linked").select("leader", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("in_a"))
+    y = about.select("leader", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("in_b"))
     enough = 7 * F.least("in_a", "in_b") >= 3 * (F.col("na") + F.col("nb"))
     fits = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & enough & (F.col("ca") != F.col("cb"))
     close = x.join(y, (x["leader"] == y["leader"]) & fits)
-    pairs = shares.select("a", "b", "ca", "cb").unionByName(close.select("a", "b", "ca", "cb")).unionByName(similar)
+    pairs = shares.select("a", "b", "ca", "cb").unionByName(close.select("a", "b", "ca", "cb"))
     joined = _widened(joined, _bridges(_ordered(pairs), sets))
     return staged(ranked.where(F.col("times") > SMALL_GROUP).select(F.xxhash64("leader", "e").alias("key"), "node")), joined
 
@@ -485,12 +569,10 @@ def _all_pairs(groups: DataFrame, joined: DataFrame, left: DataFrame, right: Dat
     return _ordered(one.join(two, (one["key"] == two["key"]) & differ & _may_link()).select("a", "b", "ca", "cb"))
 
 
-def _joined_components(pairs: DataFrame, members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The component of each node that links, from the pairs that met and the members of hot keys. A written table."""
-    left, right = _described(nodes, "a", "na", "x"), _described(nodes, "b", "nb", "y")
-    close = staged(pairs.join(left, "a").join(right, "b").where(_may_link()).select("a", "b"))
+def _joined_components(close: DataFrame, members: DataFrame, nodes: DataFrame, sets: Sets) -> DataFrame:
+    """The component of each node that links, from the pairs that met and may link and the members of hot keys. A written table."""
     # one partner of each node first; most others lie in its component then
-    links = staged(_verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
+    links = _verify(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
     joined = staged(components(links))
     apart = _placed(_placed(close, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb")
     joined = _widened(joined, _bridges(apart, sets))
@@ -500,6 +582,7 @@ def _joined_components(pairs: DataFrame, members: DataFrame, nodes: DataFrame, s
         if groups is None:
             break
     else:
+        left, right = _described(nodes, "a", "na", "x"), _described(nodes, "b", "nb", "y")
         joined = _widened(joined, _bridges(_all_pairs(groups, joined, left, right), sets))
     return joined
 
@@ -530,13 +613,20 @@ def similar_documents(
     members = met.where(F.col("kind") == MEMBERS).select("a", "b")
     pairs = staged(met.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.sum("weight").alias("w")).where("w >= 2").select("a", "b"))
 
-    ends = [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")), members.select(F.col("b").alias("node"))]
+    close = pairs.join(_described(nodes, "a", "na", "x"), "a").join(_described(nodes, "b", "nb", "y"), "b")
+    close = staged(close.where(_may_link()).select("a", "b"))
+    ends = [close.select(F.col("a").alias("node")), close.select(F.col("b").alias("node")), members.select(F.col("b").alias("node"))]
     concerned = ends[0].unionByName(ends[1]).unionByName(ends[2])
-    first_ids = concerned.distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id"))
-    whole = plain.join(first_ids.distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, runs binary")
-    # every comparison joins the sets with a few nodes, so they are dealt by node once
-    with staged_by(whole, "node", -(-n_runs // BUCKET_RUNS)) as sets:
-        joined = _joined_components(pairs, members, nodes, sets)
+    first_ids = staged(concerned.distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id")).distinct())
+    # every comparison joins the sets with a few nodes, so they are dealt by node once; a part's texts are shuffled by id, then its sets
+    n_parts = min(PARTS, 1 + n_runs // PART_RUNS)
+    part_of = F.pmod(F.xxhash64(F.lit(n_parts), "doc_id"), F.lit(n_parts))
+    whole = [
+        plain.where(part_of == i).join(first_ids.where(part_of == i), "doc_id", "left_semi").select("text")
+        .mapInArrow(_sets, "node long, n long, runs binary") for i in range(n_parts)
+    ]
+    with staged_by(whole, "node", -(-n_runs // BUCKET_RUNS)) as table:
+        joined = _joined_components(close, members, nodes, Sets(table, max(SENT_RUNS, SENT_SHARE * n_runs)))
     final = joined.select("node", "component")
     placed = nodes.join(final, "node", "left").select(
         "node", "first_id", "rows", F.coalesce("component", "node").alias("component")

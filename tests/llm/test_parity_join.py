@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from cohortlens.llm import components, parity_join
 from cohortlens.llm.arrays import chunks
 from cohortlens.llm.frequent import distinct_runs, frequent_runs
+from cohortlens.sources import shared_folder
 from tests.llm.odd import odd_documents, odd_rows, similar
 
 
@@ -151,3 +153,72 @@ def test_members_of_a_leader_that_link_are_found():
     want = {(j, i) for i, j in want}
     assert len(want) > 10 and want <= set(found) and len(found) == len(set(found)) < 60 * 59 // 4
     assert all(component[r["a"]] == r["ca"] and component[r["b"]] == r["cb"] for r in got)
+
+
+def passages(rnd, n):
+    """Documents of ``n`` templates, twelve of each: a third of the words is the template's, the others are their own; and a near copy."""
+    out = []
+    for t in range(n):
+        template = [f"t{t}x{i}" for i in range(40)]
+        out += [" ".join([*template, *(f"u{rnd.randrange(10**9)}" for _ in range(80))]) for _ in range(12)]
+        out.append(f"{out[-1]} end")
+    return list(enumerate(out))
+
+
+def test_sets_are_not_written_once_more_for_each_leader(spark):
+    rows = passages(random.Random(11), 40)
+    folder = shared_folder(spark).removeprefix("file:")
+    held = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+    frame, before = odd_documents(spark, rows), held()
+    got = parity_join.similar_documents(frame, local_run=1, small_run=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == similar(dict(rows))
+    # the sets have 8 bytes a shingle; tables with some numbers a document stay, lists of shingles do not
+    assert held() - before < 8 * sum(r.n_shingles for r in got)
+
+
+def test_comparisons_are_sent_in_parts(spark, monkeypatch):
+    """With a low bound, parts stay below what is sent in all, and nothing is lost between them, of rows loaded twice as well."""
+    monkeypatch.setattr(parity_join, "SENT_RUNS", 2_000)
+    monkeypatch.setattr(parity_join, "SENT_SHARE", 0.0)
+    monkeypatch.setattr(parity_join, "PART_RUNS", 10_000)
+    asked, plain = [], parity_join._with_sets
+
+    def counting(pairs, sets):
+        asked.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(parity_join, "_with_sets", counting)
+    rnd = random.Random(12)
+    one = [f"b{i}" for i in range(120)]
+    rows = [*enumerate([t for _ in range(60) for t in variants(rnd, 60)] + [edited(rnd, one, rnd.choice([0, 1, 3, 5])) for _ in range(40)])]
+    got = parity_join.similar_documents(odd_documents(spark, [*rows, *rows[:30], *rows[-10:]]), local_run=1, small_run=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == similar(dict(rows))
+    assert len(asked) > 2 and max(asked) < 0.7 * sum(asked)
+
+
+def test_leader_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(13)
+    leader = np.sort(rng.integers(0, 1 << 62, 200, dtype=np.uint64))
+    sets = [leader]
+    for _ in range(12):
+        base = np.concatenate([rng.permutation(leader)[:rng.integers(60, 190)], rng.integers(0, 1 << 62, 90, dtype=np.uint64)])
+        sets += [np.sort(rng.permutation(base)[:rng.integers(len(base) * 2 // 3, len(base))]) for _ in range(5)]
+    nodes = [100 + i for i in range(len(sets))]
+    order = [*rng.permutation(len(sets)), 3, 0]  # two rows come twice
+    got = parity_join._leader_links(pa.table({
+        "leader": [100] * len(order), "node": [nodes[i] for i in order], "component": [nodes[i] - i % 2 for i in order], "runs": [sets[i].tobytes() for i in order],
+    }))
+
+    def joined(links):
+        parent = {n: n for n in nodes}
+        for a, b in links:
+            x, y = parent[a], parent[b]
+            parent = {n: min(x, y) if p in (x, y) else p for n, p in parent.items()}
+        return parent
+
+    link = lambda x, y: 7 * len(np.intersect1d(x, y)) >= 3 * (len(x) + len(y))
+    own = [(n, n - i % 2) for i, n in enumerate(nodes)]
+    every = [(nodes[i], nodes[j]) for i in range(len(sets)) for j in range(i) if link(sets[i], sets[j])]
+    found = list(zip(*(got.column(c).to_pylist() for c in "ab"), strict=True))
+    assert joined(own + found) == joined(own + every) and len(set(joined(own + every).values())) > 5
+    assert all(a < b for a, b in found) and len(set(found)) == len(found)

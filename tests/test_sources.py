@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import pytest
 from conftest import rows
@@ -191,6 +192,19 @@ def test_staged_by_of_an_empty_table_and_of_null_keys(spark):
         assert table.columns == ["k", "v"] and table.collect() == []
 
 
+def test_staged_by_of_several_frames_is_one_table_whose_files_go(no_broadcast):
+    spark = no_broadcast
+    rows = spark.range(100).select((F.col("id") % 30).alias("k"), "id")
+    with staged_by([rows.where("id % 3 = 0"), rows.where("id % 3 > 0"), rows.limit(0)], "k", 3) as table:
+        plan = spark.range(5).withColumnRenamed("id", "k").join(table, "k")
+        assert sorted(r.id for r in table.collect()) == list(range(100))
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(r.id for r in plan.collect()) == [i for i in range(100) if i % 30 < 5]
+        files = [f.removeprefix("file://") for f in table.inputFiles()]
+        assert files and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files))
+
+
 def test_a_failed_block_leaves_no_name_and_no_setting(spark):
     before = spark.conf.get(CLEAN_UP)
     with pytest.raises(ZeroDivisionError), staged_by(spark.range(5), "id"):
